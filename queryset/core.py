@@ -28,6 +28,11 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def micros(name: str):
+    """A time stamp that may be missing, as a double (exact up to 2**53)."""
+    return F.unix_micros(name).cast("double").alias(name)
+
+
 def query(key: str, sql: str | None = None, *, stamps: str = "", dates: str = "", doubles: str = ""):
     """Register ``fn(spark, sf_dir)``; the SQL twin is put into the same output form by column name."""
 

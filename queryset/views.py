@@ -17,7 +17,7 @@ from tapeloom.operators.ordered import Running, Series, running, uncut
 DAY = 86_400
 BAR_SERIES = Series(width_sec=365 * DAY)
 QUOTE_SERIES = Series(order=("ts", "event_id"), width_sec=DAY)
-SCAN = replace(Scan(), rvol_min=0.5, min_volume=1000.0)
+SCAN = replace(Scan(), rvol_min=0.5, min_volume=1000.0, scan_interval_sec=3600)
 CONFIRM = replace(Confirm(), window_sec=21_600, tick_multiple=0.2)
 ENGINE = replace(Engine(), scan=SCAN, confirm=CONFIRM)
 
@@ -66,6 +66,7 @@ def _polls(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("value") * (1 - (F.col("event_id") % 7) * F.lit(4e-3))).alias("bid"),
         (F.col("value") * (1 + (F.col("event_id") % 5) * F.lit(4e-3))).alias("ask"),
         F.when(F.col("event_id") % 10 != 3, F.floor(second / 20) + k).alias("total_volume"),
+        k.alias("k"), "event_type",
         F.when(F.col("event_type") == "error", "Halted").otherwise("Normal").alias("security_status"))
 
 
@@ -75,7 +76,27 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
     daily = daily.withColumn("day_ts", F.col("d").cast("timestamp"))
     days = Series(order=("day_ts",), width_sec=365 * DAY)
     prior = uncut(running(daily, days, [Running("previous_close", "last", F.col("c"), inclusive=False)]))
-    return polls.join(prior.select("ticker", "d", "previous_close"), ["ticker", "d"], "left").drop("d")
+    return polls.join(prior.select("ticker", "d", "previous_close"), ["ticker", "d"], "left").drop("d", "k", "event_type")
+
+
+def quote_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Minute bars of the polled tickers; the k of a poll is its traded quantity."""
+    return B.from_ticks(_polls(spark, sf), "last", "k", ["event_id"])
+
+
+def holdings(spark: SparkSession, sf: str) -> DataFrame:
+    """Each view event holds its ticker for k minutes."""
+    return _polls(spark, sf).filter(F.col("event_type") == "view").select("ticker", F.col("ts").alias("entry_time"),
+                    F.timestamp_micros(F.unix_micros("ts") + F.col("k").cast("bigint") * 60_000_000).alias("exit_time"))
+
+
+def trade_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases enter, sign-ups leave."""
+    e = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "signup"))
+    return e.select(
+        "event_id", F.concat(F.lit("T"), F.col("user_id") % 5).alias("ticker"), _ts("ts").alias("ts"),
+        F.when(F.col("event_type") == "purchase", "ENTRY").otherwise("EXIT").alias("event"),
+        F.col("value").alias("price"))
 
 
 def adv(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,11 +258,20 @@ SQL: dict[str, str] = {
         value * (1 - (event_id % 7) * 4e-3) AS bid, value * (1 + (event_id % 5) * 4e-3) AS ask,
         CASE WHEN event_id % 10 <> 3 THEN floor((epoch_us(ts) % 86400000000) / 1000000 / 20)
              + CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS total_volume,
+        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_type,
         CASE WHEN event_type = 'error' THEN 'Halted' ELSE 'Normal' END AS security_status FROM events""",
-    "quotes": """SELECT p.* EXCLUDE (d), x.previous_close FROM polls p JOIN (
+    "quotes": """SELECT p.* EXCLUDE (d, k, event_type), x.previous_close FROM polls p JOIN (
         SELECT ticker, d, lag(c) OVER (PARTITION BY ticker ORDER BY d) AS previous_close FROM (
           SELECT ticker, d, max_by(last, ts) AS c FROM polls GROUP BY ticker, d)) x
         ON p.ticker = x.ticker AND p.d = x.d""",
+    "quote_bars": """SELECT ticker, date_trunc('minute', ts) AS ts, min_by(last, p.ts) AS open, max(last) AS high,
+        min(last) AS low, max_by(last, p.ts) AS close, sum(k) AS volume FROM polls p GROUP BY ticker, date_trunc('minute', p.ts)""",
+    "holdings": """SELECT ticker, ts AS entry_time, ts + to_seconds(CAST(k AS BIGINT) * 60) AS exit_time
+        FROM polls WHERE event_type = 'view'""",
+    "trade_events": """SELECT event_id, ticker, ts, CASE event_type WHEN 'purchase' THEN 'ENTRY' ELSE 'EXIT' END AS event,
+        last AS price FROM polls WHERE event_type IN ('purchase', 'signup')""",
+    "news_tickers": """SELECT id, unnest(symbols) AS ticker, len(symbols) AS num_symbols, headline, summary,
+        created_at FROM news_once""",
     "adv": """SELECT ticker, avg(v) AS adv FROM (SELECT ticker, d, max(total_volume) AS v FROM polls
         GROUP BY ticker, d) GROUP BY ticker""",
     "news_once": r"""SELECT doc_id AS id,
@@ -314,7 +344,8 @@ SQL: dict[str, str] = {
     "positions": "SELECT * FROM stops",
 }
 NEEDS: dict[str, tuple[str, ...]] = {
-    "bars_calm": ("ticks",), "bars_wild": ("ticks",), "quotes": ("polls",), "adv": ("polls",),
+    "bars_calm": ("ticks",), "bars_wild": ("ticks",), "quotes": ("polls",), "adv": ("polls",), "quote_bars": ("polls",),
+    "holdings": ("polls",), "trade_events": ("polls",), "news_tickers": ("news_once",),
     "backfill": ("news_once",), "news": ("news_once", "backfill"), "share_counts": ("fundamentals_text",),
     "true_range": ("bars_calm",), "atr": ("true_range",), "entries": ("atr",), "stops": ("entries",),
     "positions": ("stops",),
