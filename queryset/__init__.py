@@ -1,6 +1,6 @@
 """All registered queries, by the keys of the operator inventory."""
 
-from . import bars, quotes
+from . import bars, news, quotes
 from .core import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bars", "quotes"]
+__all__ = ["ORACLES", "QUERIES", "bars", "news", "quotes"]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import News, Sentiment
 from ..constants import (
@@ -47,30 +47,32 @@ def red_flag(text: Column) -> Column:
     return F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in RED_FLAG_PHRASES])
 
 
-def text_score(text: Column, compound: Column, pos_words: Column, neg_words: Column,
-               cfg: Sentiment = Sentiment()) -> Column:
-    """Probabilities and label from a compound tone in [-1, 1], dictionary hits and red flags."""
-    flag = red_flag(text)
-    tone = (compound + 1.0) / 2.0
-    bonus = flag.isNull() & (pos_words >= 2) & (neg_words == 0)
+def score_texts(rows: DataFrame, cfg: Sentiment = Sentiment()) -> DataFrame:
+    """Probabilities, label and red flag from ``text, compound, pos_words, neg_words``.
 
-    def unit(x: Column) -> Column:
-        return round_exact(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), 4)
+    Built in steps of columns, so that each rounded value is computed once.
+    """
+    bonus = F.col("red_flag").isNull() & (F.col("pos_words") >= 2) & (F.col("neg_words") == 0)
+    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    rows = rows.withColumns({"red_flag": red_flag(F.col("text")), "_blank": is_blank(F.col("text")),
+                             "_tone": (F.col("compound") + 1.0) / 2.0})
+    rows = rows.withColumns({
+        "_n": unit(F.when(F.col("red_flag").isNotNull(), F.lit(1.0)).otherwise(1.0 - F.col("_tone"))),
+        "_p": unit(F.when(bonus, F.col("_tone") + cfg.dictionary_bonus).otherwise(F.col("_tone")))})
+    rows = rows.withColumns({"_n": round_exact(F.col("_n"), 4), "_p": round_exact(F.col("_p"), 4)})
+    rows = rows.withColumn("_u", F.greatest(F.lit(0.0), 1.0 - F.greatest("_n", "_p")))
+    rows = rows.withColumn("_u", round_exact(F.col("_u"), 4))
+    label = (F.when(F.col("_blank"), "neutral")
+             .when((F.col("_n") >= 0.5) & (F.col("_n") >= F.col("_p")), "negative")
+             .when(F.col("_p") >= 0.5, "positive").otherwise("neutral"))
 
-    negative = unit(F.when(flag.isNotNull(), F.lit(1.0)).otherwise(1.0 - tone))
-    positive = unit(F.when(bonus, F.least(F.lit(1.0), tone + cfg.dictionary_bonus)).otherwise(tone))
-    neutral = round_exact(F.greatest(F.lit(0.0), 1.0 - F.greatest(negative, positive)), 4)
-    label = (F.when((negative >= 0.5) & (negative >= positive), "negative")
-             .when(positive >= 0.5, "positive").otherwise("neutral"))
+    def unless_blank(default: float, value: Column) -> Column:
+        return F.when(F.col("_blank"), F.lit(default)).otherwise(value)
 
-    def pack(label: Column, conf: Column, neg: Column, pos: Column, neu: Column, flag: Column) -> Column:
-        return F.struct(label.alias("label"), conf.alias("confidence"), neg.alias("p_negative"),
-                        pos.alias("p_positive"), neu.alias("p_neutral"), flag.alias("red_flag"))
-
-    blank = pack(F.lit("neutral"), F.lit(0.0), F.lit(0.5), F.lit(0.5), F.lit(1.0),
-                 F.lit(None).cast("string"))
-    scored = pack(label, F.greatest(negative, positive, neutral), negative, positive, neutral, flag)
-    return F.when(is_blank(text), blank).otherwise(scored)
+    return rows.withColumns({
+        "label": label, "confidence": unless_blank(0.0, F.greatest("_n", "_p", "_u")),
+        "p_negative": unless_blank(0.5, F.col("_n")), "p_positive": unless_blank(0.5, F.col("_p")),
+        "p_neutral": unless_blank(1.0, F.col("_u"))}).drop("_blank", "_tone", "_n", "_p", "_u")
 
 
 def sentiment_pass(worst_negative: Column, worst_positive: Column, cfg: Sentiment = Sentiment()) -> Column:
@@ -98,7 +100,7 @@ def is_relevant(ticker: Column, headline: Column, summary: Column, num_symbols:
     return (num_symbols < cfg.fan_out) | anchor.isNull() | mentioned | overlap
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
