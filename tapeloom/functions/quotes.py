@@ -39,7 +39,7 @@ def session_baseline(ts: Column, adv: Column, cfg: Scan = Scan()) -> Column:
 
 
 def is_liquid(bid: Column, ask: Column, cfg: Entry = Entry()) -> Column:
-    spread = (ask - bid) / ((bid + ask) / 2.0)
+    spread = F.try_divide(ask - bid, (bid + ask) / 2.0)
     return F.coalesce((bid > 0) & (ask > 0) & (spread <= cfg.max_spread), F.lit(False))
 
 

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..config import Exit
+from ..functions.clock import PACIFIC, hour_of_day
+from ..operators.bars import recent_bars
+from ..operators.matching import asof_join, range_join
 from ..operators.ordered import Running, Series, running, uncut
 
 
@@ -21,3 +25,72 @@ def peak_pnl(bars: DataFrame, positions: DataFrame, s: Series = Series()) -> Dat
 
 def pnl_pct(price: Column, entry: Column) -> Column:
     return F.when(entry != 0, (price - entry) / entry * 100.0).otherwise(F.lit(0.0))
+
+
+def secondary_armed(ts: Column, price: Column, entry: Column, cfg: Exit = Exit()) -> Column:
+    """The secondary exit arms by Pacific hour, or once price has moved far enough either way."""
+    moved = F.when(entry != 0, F.abs(price - entry) / entry * 100.0).otherwise(F.lit(0.0))
+    return (hour_of_day(ts, PACIFIC) >= cfg.armed_hour_pt) | (moved >= cfg.armed_move_pct)
+
+
+def _net_ratio(bars: str, n: int) -> str:
+    """Net up-volume ratio of the last n changes of an array of {close, volume}; SQL text."""
+    moves = (f"transform(sequence(greatest(1, size({bars}) - {n}), size({bars}) - 1), "
+             f"i -> struct({bars}[i].close - {bars}[i - 1].close AS c, {bars}[i].volume AS v))")
+    sums = (f"aggregate({moves}, struct(0D AS up, 0D AS down), (a, m) -> struct("
+            "a.up + CASE WHEN m.c >= 0 THEN m.v ELSE 0D END AS up, a.down + CASE WHEN m.c < 0 THEN m.v ELSE 0D END AS down), "
+            "a -> CASE WHEN a.up + a.down > 0 THEN (a.up - a.down) / (a.up + a.down) ELSE 0D END)")
+    return f"CASE WHEN size({bars}) >= 2 THEN {sums} ELSE 0D END"
+
+
+def _diverges(bars: str, w: int) -> str:
+    """Do the last two swing highs of the array rise in close while OBV falls between them? SQL text."""
+    beats = " AND ".join(f"{bars}[i].close > {bars}[i - {k}].close AND {bars}[i].close > {bars}[i + {k}].close"
+                         for k in range(1, w + 1))
+    swings = f"filter(sequence({w}, size({bars}) - {w + 1}), i -> {beats})"
+    flow = (f"aggregate(sequence(p.old + 1, p.new), 0D, (a, j) -> a + "
+            f"signum({bars}[j].close - {bars}[j - 1].close) * {bars}[j].volume)")
+    last = f"transform(array({swings}), s -> struct(get(s, size(s) - 1) AS new, get(s, size(s) - 2) AS old, size(s) AS n))"
+    rule = f"CASE WHEN p.n < 2 THEN false ELSE {bars}[p.new].close > {bars}[p.old].close AND {flow} < 0 END"
+    return f"CASE WHEN size({bars}) >= {2 * w + 3} THEN transform({last}, p -> {rule})[0] ELSE false END"
+
+
+def exit_signals(bars: DataFrame, positions: DataFrame, s: Series = Series(), cfg: Exit = Exit()) -> DataFrame:
+    """First exit of each position: the stop, else (once armed) divergence, else significant bearish volume.
+
+    A position is followed bar by bar only up to a time by which it must have closed: the first bar, enough
+    bars after its entry, on which the volume rule holds while the hour arms it. That bar does not depend on
+    the position, so it is found by an as-of join on the bar number; the pairs formed after that are the
+    bars a position really lived through.
+    """
+    rows = running(bars.select("ticker", "ts", "close", "volume"), s,
+                   [Running("idx", "count", F.lit(1), inclusive=False)])
+    rows = recent_bars(rows, s, cfg.lookback_bars, ("close", "volume"), "_bars")
+    rows = uncut(rows).withColumn("_ratio", F.expr(_net_ratio("_bars", cfg.cvd_bars)))
+    certain = rows.filter((F.col("_ratio") <= cfg.cvd_threshold) & (F.col("idx") >= cfg.cvd_bars)
+                          & (hour_of_day(F.col("ts"), PACIFIC) >= cfg.armed_hour_pt))
+
+    # entry bar number: the first bar at or after the entry
+    held = asof_join(positions, rows.select("ticker", "ts", F.col("idx").alias("entry_idx")), ["entry_idx"],
+                     left_ts="entry_time", width_sec=s.width_sec, forward=True)
+    held = held.filter(F.col("entry_idx").isNotNull()).withColumn("_from", F.col("entry_idx") + cfg.cvd_bars)
+    as_time = lambda c: F.timestamp_seconds(c)  # bar numbers on a time axis for the as-of join
+    bound = certain.select("ticker", as_time("idx").alias("_at"), F.col("ts").alias("_until"))
+    held = asof_join(held.withColumn("_n", as_time("_from")), bound, ["_until"], left_ts="_n", right_ts="_at",
+                     width_sec=4096, forward=True).drop("_n", "_from")
+    last = rows.groupBy("ticker").agg(F.max("ts").alias("_last"))
+    held = held.join(last, "ticker", "left").withColumn("_until", F.coalesce("_until", "_last")).drop("_last")
+
+    pairs = range_join(rows.select("ticker", "ts", "close", "idx", "_bars"), held, F.col("entry_time"), F.col("_until"),
+                       width_sec=s.width_sec).withColumnRenamed("point_ts", "exit_time")
+    since = F.least(F.col("idx") - F.col("entry_idx") + 1, F.lit(cfg.lookback_bars)).cast("int")
+    pairs = pairs.withColumn("_n", since).withColumn("_bars", F.slice("_bars", F.size("_bars") - F.col("_n") + 1, F.col("_n")))
+    armed = secondary_armed(F.col("exit_time"), F.col("close"), F.col("entry_price"), cfg) & (F.col("_n") >= 2)
+    weak = F.expr(_net_ratio("_bars", cfg.cvd_bars)) <= cfg.cvd_threshold
+    reason = (F.when(F.col("close") <= F.col("stop_price"), "STOP")
+              .when(armed & F.expr(_diverges("_bars", cfg.swing_window)), "SWING_DIVERGENCE")
+              .when(armed & weak, "BEARISH_VOLUME"))
+    fired = pairs.withColumn("exit_reason", reason).filter(F.col("exit_reason").isNotNull())
+    exits = fired.groupBy("ticker", "entry_time").agg(F.min_by(
+        F.struct("exit_time", F.col("close").alias("exit_price"), "exit_reason"), "exit_time").alias("_x"))
+    return positions.join(exits.select("ticker", "entry_time", "_x.*"), ["ticker", "entry_time"], "left")
