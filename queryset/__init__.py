@@ -1,6 +1,6 @@
 """All registered queries, by the keys of the operator inventory."""
 
-from . import bars, news, plans, quotes
+from . import bars, news, plans, quotes, research
 from .core import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bars", "news", "plans", "quotes"]
+__all__ = ["ORACLES", "QUERIES", "bars", "news", "plans", "quotes", "research"]
