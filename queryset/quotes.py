@@ -175,12 +175,6 @@ NEW = """SELECT ticker, scan_ts, gap_pct, rvol FROM scans s WHERE NOT EXISTS (SE
     WHERE p.ticker = s.ticker AND p.scan_ts = s.scan_ts - INTERVAL 1 HOUR)"""
 
 
-@query("st_market_scan", with_views("quotes adv", "SELECT ticker, scan_ts, event_id, gap_pct, rvol FROM scans",
-                                    metrics_scan=METRICS_SCAN, scans=SCANS), stamps="scan_ts", doubles="gap_pct rvol")
-def st_market_scan(spark, sf):
-    return _scan(spark, sf).select("ticker", "scan_ts", "event_id", "gap_pct", "rvol")
-
-
 @query("win_newly_added", with_views("quotes adv", NEW, metrics_scan=METRICS_SCAN, scans=SCANS), stamps="scan_ts",
        doubles="gap_pct rvol")
 def win_newly_added(spark, sf):

@@ -56,7 +56,11 @@ def bars_wild(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- quotes
 
 def _polls(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    return polls_of(table(spark, sf, "events"))
+
+
+def polls_of(e: DataFrame) -> DataFrame:
+    """Event rows (batch or stream) as quote polls."""
     ts = _ts("ts")
     second = F.floor(F.pmod(F.unix_micros(ts), F.lit(DAY * 1_000_000)) / F.lit(1e6))
     k = F.get_json_object("props", "$.k").cast("double")
@@ -70,13 +74,18 @@ def _polls(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "Halted").otherwise("Normal").alias("security_status"))
 
 
-def quotes(spark: SparkSession, sf: str) -> DataFrame:
+def prior_closes(spark: SparkSession, sf: str) -> DataFrame:
+    """Close of the ticker's previous day with polls, per day."""
     polls = _polls(spark, sf)
     daily = polls.groupBy("ticker", "d").agg(F.max_by("last", F.struct("ts", "event_id")).alias("c"))
     daily = daily.withColumn("day_ts", F.col("d").cast("timestamp"))
     days = Series(order=("day_ts",), width_sec=365 * DAY)
     prior = uncut(running(daily, days, [Running("previous_close", "last", F.col("c"), inclusive=False)]))
-    return polls.join(prior.select("ticker", "d", "previous_close"), ["ticker", "d"], "left").drop("d", "k", "event_type")
+    return prior.select("ticker", "d", "previous_close")
+
+
+def quotes(spark: SparkSession, sf: str) -> DataFrame:
+    return _polls(spark, sf).join(prior_closes(spark, sf), ["ticker", "d"], "left").drop("d", "k", "event_type")
 
 
 def quote_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,11 +127,15 @@ def _headline_prefix() -> Column:
 
 
 def news_once(spark: SparkSession, sf: str) -> DataFrame:
+    return news_of(table(spark, sf, "documents"))
+
+
+def news_of(documents: DataFrame) -> DataFrame:
     """Whole documents as articles: the first sentence is the headline, all the rest the summary."""
     t = lambda n: F.concat(F.lit("T"), (F.col("doc_id") + n) % 5)
     first = F.regexp_extract("text", r"^[^.\n]*", 0)
     seconds = F.lit(1_704_067_200) + (F.col("doc_id") * 7919) % 2_592_000
-    return table(spark, sf, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.when(F.col("doc_id") % 3 == 0, F.array(t(0), t(1), t(2), F.lit("X9")))
         .otherwise(F.array(t(0))).alias("symbols"),
@@ -228,8 +241,11 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def quote_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Each purchase event asks for an entry into its ticker at its own time."""
-    e = table(spark, sf, "events").filter(F.col("event_type") == "purchase")
-    return e.select(F.col("event_id").alias("signal_id"), F.concat(F.lit("T"), F.col("user_id") % 5).alias("ticker"),
+    return quote_signals_of(table(spark, sf, "events"))
+
+
+def quote_signals_of(e: DataFrame) -> DataFrame:
+    return e.filter(F.col("event_type") == "purchase").select(F.col("event_id").alias("signal_id"), F.concat(F.lit("T"), F.col("user_id") % 5).alias("ticker"),
                     _ts("ts").alias("ts"), (1 + F.col("event_id") % 6).cast("int").alias("request"),
                     (F.col("event_id") % 31 == 0).alias("is_fda"))
 
