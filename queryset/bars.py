@@ -118,9 +118,10 @@ def agg_entry_stop(spark, sf):
        stamps="entry_time ts", doubles="peak_price pnl_pct")
 def win_peak_pnl(spark, sf):
     from tapeloom.plans.exits import peak_pnl
-    last = V.positions(spark, sf).groupBy("ticker").agg(
+    bars = V.stored(V.bars_calm(spark, sf), "bars")
+    last = V.positions(spark, sf, bars).groupBy("ticker").agg(
         F.max("entry_time").alias("entry_time"), F.max_by("entry_price", "entry_time").alias("entry_price"))
-    return peak_pnl(V.bars_calm(spark, sf), last, S).select("ticker", "entry_time", "ts", "peak_price", "pnl_pct")
+    return peak_pnl(bars, last, S).select("ticker", "entry_time", "ts", "peak_price", "pnl_pct")
 
 
 @query("top_tail_n", with_views("bars_calm", """SELECT ticker, ts, open, high, low, close, volume FROM t

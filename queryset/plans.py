@@ -103,7 +103,7 @@ def breakout_sql(events: str, rvol: str) -> str:
                                     **confirm_from("SELECT event_id AS signal_id, ticker, ts FROM tier"), scored=breakout_sql("tier", "rvol")),
        doubles="composite")
 def score_breakout(spark, sf):
-    quotes, adv = V.quotes(spark, sf), V.adv(spark, sf)
+    quotes, adv = _feeds(spark, sf)
     tier = P.gap_rvol_tier(quotes, adv, V.SCAN).withColumnRenamed("rvol", "scan_rvol").drop("adv", "baseline")
     won = G._confirmed(tier, quotes, adv, "event_id", V.ENGINE, ["event_id"])
     return sizing.breakout(won, V.ENGINE.sizing, V.CONFIRM).select("event_id", "composite", "slots")
@@ -118,8 +118,14 @@ BULLISH = f"""SELECT id, ticker, created_at AS ts FROM (SELECT n.*, lower(headli
 TIERS = {"metrics": QQ.METRICS.replace(" AS baseline", " AS session_base"), "tier": QQ.TIER, "verdicts": QN.VERDICTS, "bullish": BULLISH}
 
 
-def _bullish(spark, sf):
-    tier = P.gap_rvol_tier(V.quotes(spark, sf), V.adv(spark, sf), V.SCAN)
+def _feeds(spark, sf):
+    return V.stored(V.quotes(spark, sf), "quotes"), V.stored(V.adv(spark, sf), "adv")
+
+
+def _bullish(spark, sf, quotes=None, adv=None):
+    if quotes is None:
+        quotes, adv = V.quotes(spark, sf), V.adv(spark, sf)
+    tier = P.gap_rvol_tier(quotes, adv, V.SCAN)
     scored = V.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     return G.bullish_tier(tier.select("ticker"), V.news_once(spark, sf), N.parse_verdicts(V.verdicts_raw(spark, sf)), scored,
                           "2024-01-31", V.ENGINE)
@@ -140,7 +146,8 @@ BREAKS = """SELECT * FROM (SELECT b.*, n.ts AS bullish_ts FROM (SELECT * FROM (S
                                        **confirm_from("SELECT event_id AS signal_id, ticker, ts FROM breaks"), won=breakout_sql("breaks", "rvol")),
        stamps="ts bullish_ts", doubles="composite")
 def pipe_rolling_high(spark, sf):
-    out = G.rolling_high(V.quotes(spark, sf), V.adv(spark, sf), _bullish(spark, sf), V.QUOTE_SERIES, V.ENGINE)
+    quotes, adv = _feeds(spark, sf)
+    out = G.rolling_high(quotes, adv, V.stored(_bullish(spark, sf, quotes, adv), "bullish"), V.QUOTE_SERIES, V.ENGINE)
     return out.select("event_id", "ticker", "ts", "bullish_ts", "composite", "slots", "reason")
 
 
@@ -154,7 +161,8 @@ OPENED = """SELECT *, coalesce(gap0, 0) AS gap_pct, CASE WHEN session_base > 0 T
                                       **confirm_from("SELECT event_id AS signal_id, ticker, ts FROM opened"), won=breakout_sql("opened", "open_rvol")),
        stamps="ts", doubles="gap_pct composite")
 def pipe_halt_reopen(spark, sf):
-    out = G.halt_reopen(V.quotes(spark, sf), V.adv(spark, sf), V.QUOTE_SERIES, V.ENGINE)
+    quotes, adv = _feeds(spark, sf)
+    out = G.halt_reopen(quotes, adv, V.QUOTE_SERIES, V.ENGINE)
     return out.select("event_id", "ticker", "ts", "gap_pct", "composite", "slots", "reason")
 
 
@@ -169,8 +177,9 @@ NEWS_SQL = {
 
 
 def _news_signals(spark, sf, check_recycled):
+    quotes, adv = _feeds(spark, sf)
     return G.news_signals(V.news(spark, sf), QN.watchlist(spark, sf), N.parse_verdicts(V.verdicts_raw(spark, sf)), V.lexicon(spark),
-                          V.quotes(spark, sf), V.adv(spark, sf), V.quote_bars(spark, sf),
+                          quotes, adv, V.stored(V.quote_bars(spark, sf), "bars"),
                           V.fundamentals_snapshots(spark, sf).drop("event_id"), V.ENGINE, tie=["event_id"],
                           check_recycled=check_recycled).select("id", "ticker", "ts", "reason", "composite", "slots")
 
@@ -213,7 +222,7 @@ ENTRY_VIEWS = "quotes quote_bars holdings quote_signals"
 
 
 def _entries(spark, sf):
-    return B.entry_gates(V.quote_signals(spark, sf), V.quotes(spark, sf), V.quote_bars(spark, sf), V.holdings(spark, sf), 100.0, tie=("event_id",))
+    return B.entry_gates(V.quote_signals(spark, sf), V.stored(V.quotes(spark, sf), "quotes"), V.stored(V.quote_bars(spark, sf), "bars"), V.holdings(spark, sf), 100.0, tie=("event_id",))
 
 
 @query("pipe_entry_gates", with_views(ENTRY_VIEWS, "SELECT signal_id, outcome, CAST(slots_used AS INTEGER) AS slots_used, quantity, hour(ny) < 7 AS pre_session FROM labelled", **ENTRY))
@@ -352,7 +361,8 @@ EXIT = {
 
 
 def _exits(spark, sf):
-    return X.exit_signals(V.bars_calm(spark, sf), V.positions(spark, sf), V.BAR_SERIES)
+    bars = V.stored(V.bars_calm(spark, sf), "bars")
+    return X.exit_signals(bars, V.stored(V.positions(spark, sf, bars), "positions"), V.BAR_SERIES)
 
 
 @query("pipe_exit_signal", with_views("positions bars_calm", """SELECT ticker, entry_time, CAST(epoch_us(exit_time) AS DOUBLE) AS exit_time, exit_price,

@@ -150,7 +150,8 @@ def win_tick_classify(spark, sf):
 
 def _confirmed(spark, sf):
     sig = V.quote_signals(spark, sf).select("signal_id", "ticker", "ts")
-    return P.confirm_volume(sig, V.quotes(spark, sf), V.adv(spark, sf), signal_id="signal_id",
+    quotes = V.stored(V.quotes(spark, sf), "quotes")
+    return P.confirm_volume(sig, quotes, V.adv(spark, sf), signal_id="signal_id",
                             cfg=V.CONFIRM, tie=["event_id"])
 
 

@@ -114,6 +114,7 @@ def st_bullish_refresh(spark, sf):
     WHERE exit_time IS NOT NULL""", **QP.EXIT), stamps="entry_time exit_time", doubles="exit_price")
 def st_position_monitor(spark, sf):
     folder = fresh_folder(spark, "bars")
-    bars = V.bars_calm(spark, sf)
-    bars.write.parquet(folder)
-    return drain(SP.monitor(file_stream(spark, folder, bars.schema), V.positions(spark, sf)), "positions")
+    V.bars_calm(spark, sf).write.parquet(folder)
+    bars = spark.read.parquet(folder)
+    held = V.stored(V.positions(spark, sf, bars), "positions")
+    return drain(SP.monitor(file_stream(spark, folder, bars.schema), held), "exits")

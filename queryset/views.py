@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tapeloom.config import Confirm, Engine, Scan
 from tapeloom.operators import bars as B
 from tapeloom.operators.ordered import Running, Series, running, uncut
+from tapeloom.session import materialise
 
 DAY = 86_400
 BAR_SERIES = Series(width_sec=365 * DAY)
@@ -38,19 +39,15 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_partkey").alias("ticker"), _ts("l_shipdate").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("wild_px"),
         (F.col("p_retailprice") * (1 - F.col("l_discount"))).alias("calm_px"),
-        F.col("l_quantity").alias("qty"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
-        "l_discount", "l_tax"))
-
-
-TIE = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "qty", "l_discount", "l_tax"]
+        F.col("l_quantity").alias("qty"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")))
 
 
 def bars_calm(spark: SparkSession, sf: str) -> DataFrame:
-    return B.from_ticks(ticks(spark, sf), "calm_px", "qty", TIE)
+    return B.from_ticks(ticks(spark, sf), "calm_px", "qty", F.col("seq"))
 
 
 def bars_wild(spark: SparkSession, sf: str) -> DataFrame:
-    return B.from_ticks(ticks(spark, sf), "wild_px", "qty", TIE)
+    return B.from_ticks(ticks(spark, sf), "wild_px", "qty", F.col("seq"))
 
 
 # ---------------------------------------------------------------- quotes
@@ -90,7 +87,7 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 def quote_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Minute bars of the polled tickers; the k of a poll is its traded quantity."""
-    return B.from_ticks(_polls(spark, sf), "last", "k", ["event_id"])
+    return B.from_ticks(_polls(spark, sf), "last", "k", F.col("event_id"))
 
 
 def holdings(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,9 +218,14 @@ def balances(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- trading
 
-def positions(spark: SparkSession, sf: str) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A derived feed written once, as a collector would, for queries that read it many times."""
+    return materialise(df, label)
+
+
+def positions(spark: SparkSession, sf: str, bars: DataFrame | None = None) -> DataFrame:
     """Every calm bar that sets a new closing high of its ticker opens a position, with its stop."""
-    rows = B.atr(bars_calm(spark, sf), BAR_SERIES)
+    rows = B.atr(bars if bars is not None else bars_calm(spark, sf), BAR_SERIES)
     rows = uncut(running(rows, BAR_SERIES, [Running("_high", "max", F.col("close"), inclusive=False)]))
     rows = rows.filter(F.col("close") > F.col("_high")).select(
         "ticker", F.col("ts").alias("entry_time"), F.col("close").alias("entry_price"),
@@ -263,8 +265,7 @@ def lexicon(spark: SparkSession) -> DataFrame:
 SQL: dict[str, str] = {
     "ticks": """SELECT l_partkey AS ticker, l_shipdate AS ts, l_extendedprice / l_quantity AS wild_px,
         p_retailprice * (1 - l_discount) AS calm_px, l_quantity AS qty,
-        {'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'e': l_extendedprice, 'q': l_quantity,
-         'd': l_discount, 't': l_tax} AS ord
+        l_orderkey * 8 + l_linenumber AS ord
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "bars_calm": """SELECT ticker, ts, min_by(calm_px, ord) AS open, max(calm_px) AS high,
         min(calm_px) AS low, max_by(calm_px, ord) AS close, sum(qty) AS volume FROM ticks GROUP BY ticker, ts""",

@@ -8,13 +8,13 @@ from ..config import Exit, Stop
 from .ordered import Running, Series, core_rows, decayed, running, tail_rows, uncut, with_halo
 
 
-def from_ticks(ticks: DataFrame, price: str, qty: str, tie: list[str], unit: str = "minute",
+def from_ticks(ticks: DataFrame, price: str, qty: str, order: Column, unit: str = "minute",
                keys: tuple[str, ...] = ("ticker",), ts: str = "ts") -> DataFrame:
-    """Ticks to bars. All five aggregates are partial, so a hot bar is reduced before the shuffle."""
-    at = F.struct(ts, *tie)
+    """Ticks to bars. ``order`` is a total order of the ticks of a bar; a numeric one keeps the aggregate
+    hash-based. All five aggregates are partial, so a hot bar is reduced before the shuffle."""
     return (ticks.groupBy(*keys, F.date_trunc(unit, F.col(ts)).alias("ts")).agg(
-        F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max_by(price, at).alias("close"), F.sum(qty).alias("volume")))
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, order).alias("close"), F.sum(qty).alias("volume")))
 
 
 def _previous_close(bars: DataFrame, s: Series) -> DataFrame:
@@ -105,7 +105,7 @@ def swing_lows(bars: DataFrame, s: Series = Series(), w: int = 2) -> DataFrame:
 def last_swing_low(bars: DataFrame, s: Series = Series(), w: int = 2) -> DataFrame:
     """Per key the close of its newest swing low, null if it has none."""
     flagged = uncut(_swings(bars, s, w, False, "_low"))
-    at = F.when(F.col("_low"), F.struct(*s.order))
+    at = F.when(F.col("_low"), s.place())
     return flagged.groupBy(*s.keys).agg(F.max_by("close", at).alias("swing_low_price"))
 
 
@@ -155,7 +155,7 @@ def cvd_significance(bars: DataFrame, s: Series = Series(), cfg: Exit = Exit())
 
 
 def last_row(bars: DataFrame, s: Series = Series()) -> DataFrame:
-    return bars.groupBy(*s.keys).agg(F.max_by("close", F.struct(*s.order)).alias("last_close"),
+    return bars.groupBy(*s.keys).agg(F.max_by("close", s.place()).alias("last_close"),
                                      F.max(s.order[0]).alias("last_ts"))
 
 
@@ -173,7 +173,7 @@ def entry_stop(rows: DataFrame, cfg: Stop = Stop()) -> DataFrame:
 
 def stop_per_ticker(bars: DataFrame, s: Series = Series(), cfg: Stop = Stop()) -> DataFrame:
     """The stop each key would get for an entry at its last close."""
-    at = F.struct(*s.order)
+    at = s.place()
     last = atr(bars, s, cfg).groupBy(*s.keys).agg(
         F.max_by("close", at).alias("entry_price"), F.max_by("atr", at).alias("atr"))
     return entry_stop(last, cfg)

@@ -64,13 +64,17 @@ class Series:
     def across(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self._sorted([PIECE]))
 
+    def place(self) -> Column:
+        """The order key as one column; a single primitive one keeps aggregates hash-based."""
+        return F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
+
     def newest_first(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*[F.col(c).desc() for c in self.order])
 
 
 def _total(spec: Running, s: Series) -> Column:
     if spec.kind == "last":
-        at = F.when(spec.value.isNotNull(), F.struct(*s.order))
+        at = F.when(spec.value.isNotNull(), s.place())
         return F.min_by(spec.value, at) if s.reverse else F.max_by(spec.value, at)
     return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[spec.kind](spec.value)
 
@@ -176,7 +180,7 @@ def decayed(df: DataFrame, s: Series, log_decay: Column, addends: dict[str, Colu
         weighted = F.sum(F.col(f"_b_{name}") * F.exp(-F.col("_rel"))).over(unit)
         rows = rows.withColumn(name, F.exp(F.col("_rel")) * weighted)
 
-    at = F.struct(*s.order)
+    at = s.place()
     units = rows.groupBy(*s.group, "_block").agg(
         F.max_by("_cum", at).alias("_end"), *[F.max_by(n, at).alias(n) for n in outs])
     per_key = units.groupBy(*s.keys).agg(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Exit
 from ..functions.clock import PACIFIC, hour_of_day
-from ..operators.bars import recent_bars
 from ..operators.matching import asof_join, range_join
-from ..operators.ordered import Running, Series, running, uncut
+from ..operators.ordered import Running, Series, core_rows, running, uncut, with_halo
+from ..session import materialise
 
 
 def peak_pnl(bars: DataFrame, positions: DataFrame, s: Series = Series()) -> DataFrame:
@@ -63,10 +63,19 @@ def exit_signals(bars: DataFrame, positions: DataFrame, s: Series = Series(), cf
     the position, so it is found by an as-of join on the bar number; the pairs formed after that are the
     bars a position really lived through.
     """
-    rows = running(bars.select("ticker", "ts", "close", "volume"), s,
-                   [Running("idx", "count", F.lit(1), inclusive=False)])
-    rows = recent_bars(rows, s, cfg.lookback_bars, ("close", "volume"), "_bars")
-    rows = uncut(rows).withColumn("_ratio", F.expr(_net_ratio("_bars", cfg.cvd_bars)))
+    change = F.col("close") - F.col("prev_close")
+    rows = running(bars.select("ticker", "ts", "close", "volume"), s, [
+        Running("idx", "count", F.lit(1), inclusive=False),
+        Running("prev_close", "last", F.col("close"), inclusive=False)])
+    rows = rows.withColumns({"_up": F.when(change >= 0, F.col("volume")), "_down": F.when(change < 0, F.col("volume"))})
+    near = with_halo(rows, s, before=cfg.cvd_bars - 1)
+    recent = Window.partitionBy(*s.group).orderBy(*s.order).rowsBetween(-(cfg.cvd_bars - 1), 0)
+    up, down = (F.coalesce(F.sum(c).over(recent), F.lit(0.0)) for c in ("_up", "_down"))
+    rows = core_rows(near.withColumns({"_u": up, "_d": down}))
+    total = F.col("_u") + F.col("_d")
+    ratio = F.when(total > 0, (F.col("_u") - F.col("_d")) / total).otherwise(F.lit(0.0))
+    # bar numbers and ratios are read three times below: store these few columns once
+    rows = materialise(rows.select("ticker", "ts", "close", "volume", "idx", ratio.alias("_ratio")), "bar-numbers")
     certain = rows.filter((F.col("_ratio") <= cfg.cvd_threshold) & (F.col("idx") >= cfg.cvd_bars)
                           & (hour_of_day(F.col("ts"), PACIFIC) >= cfg.armed_hour_pt))
 
@@ -81,11 +90,12 @@ def exit_signals(bars: DataFrame, positions: DataFrame, s: Series = Series(), cf
     last = rows.groupBy("ticker").agg(F.max("ts").alias("_last"))
     held = held.join(last, "ticker", "left").withColumn("_until", F.coalesce("_until", "_last")).drop("_last")
 
-    pairs = range_join(rows.select("ticker", "ts", "close", "idx", "_bars"), held, F.col("entry_time"), F.col("_until"),
+    spans = held.select("ticker", "entry_time", "entry_price", "stop_price", "_until")
+    pairs = range_join(rows.select("ticker", "ts", "close", "volume"), spans, F.col("entry_time"), F.col("_until"),
                        width_sec=s.width_sec).withColumnRenamed("point_ts", "exit_time")
-    since = F.least(F.col("idx") - F.col("entry_idx") + 1, F.lit(cfg.lookback_bars)).cast("int")
-    pairs = pairs.withColumn("_n", since).withColumn("_bars", F.slice("_bars", F.size("_bars") - F.col("_n") + 1, F.col("_n")))
-    armed = secondary_armed(F.col("exit_time"), F.col("close"), F.col("entry_price"), cfg) & (F.col("_n") >= 2)
+    lived = Window.partitionBy("ticker", "entry_time").orderBy("exit_time").rowsBetween(-(cfg.lookback_bars - 1), 0)
+    pairs = pairs.withColumn("_bars", F.collect_list(F.struct("close", "volume")).over(lived))
+    armed = secondary_armed(F.col("exit_time"), F.col("close"), F.col("entry_price"), cfg) & (F.size("_bars") >= 2)
     weak = F.expr(_net_ratio("_bars", cfg.cvd_bars)) <= cfg.cvd_threshold
     reason = (F.when(F.col("close") <= F.col("stop_price"), "STOP")
               .when(armed & F.expr(_diverges("_bars", cfg.swing_window)), "SWING_DIVERGENCE")

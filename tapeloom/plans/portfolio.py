@@ -125,7 +125,7 @@ FOREVER = "9999-12-31"
 
 
 def single_position(signals: DataFrame, *, run: str = "run", seq: str = "seq", start: str = "entry_time",
-                    end: str = "exit_time", width_sec: int = 86_400, max_fold: int = 4096) -> DataFrame:
+                    end: str = "exit_time", width_sec: int = 86_400, max_fold: int = 65_536) -> DataFrame:
     """Accept signals of a run in time order while no accepted position is open (flag ``accepted``).
 
     A signal that starts after everything before it has ended is always accepted, whatever was accepted
