@@ -41,38 +41,46 @@ def is_fda_candidate(text: Column) -> Column:
     return ~contains_any(low, FDA_EXCLUDE_PHRASES) & contains_any(low, FDA_APPROVAL_PHRASES)
 
 
+def red_flag_rank(text: Column) -> Column:
+    """Place in the list (from 1) of the first listed phrase that the text contains, else null."""
+    low = F.lower(text)
+    return F.coalesce(*[F.when(low.contains(p), F.lit(i)) for i, p in enumerate(RED_FLAG_PHRASES, 1)])
+
+
 def red_flag(text: Column) -> Column:
     """First phrase of the list, in list order, that the text contains."""
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in RED_FLAG_PHRASES])
+    return red_flag_name(red_flag_rank(text))
+
+
+def red_flag_name(rank: Column) -> Column:
+    return F.get(F.array(*[F.lit(p) for p in RED_FLAG_PHRASES]), rank - 1)
 
 
 def score_texts(rows: DataFrame, cfg: Sentiment = Sentiment()) -> DataFrame:
-    """Probabilities, label and red flag from ``text, compound, pos_words, neg_words``.
+    """Probabilities and label from ``flag_rank, is_blank, compound, pos_words, neg_words``.
 
     Built in steps of columns, so that each rounded value is computed once.
     """
-    bonus = F.col("red_flag").isNull() & (F.col("pos_words") >= 2) & (F.col("neg_words") == 0)
+    bonus = F.col("flag_rank").isNull() & (F.col("pos_words") >= 2) & (F.col("neg_words") == 0)
     unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    rows = rows.withColumns({"red_flag": red_flag(F.col("text")), "_blank": is_blank(F.col("text")),
-                             "_tone": (F.col("compound") + 1.0) / 2.0})
+    rows = rows.withColumns({"red_flag": red_flag_name(F.col("flag_rank")), "_tone": (F.col("compound") + 1.0) / 2.0})
     rows = rows.withColumns({
-        "_n": unit(F.when(F.col("red_flag").isNotNull(), F.lit(1.0)).otherwise(1.0 - F.col("_tone"))),
+        "_n": unit(F.when(F.col("flag_rank").isNotNull(), F.lit(1.0)).otherwise(1.0 - F.col("_tone"))),
         "_p": unit(F.when(bonus, F.col("_tone") + cfg.dictionary_bonus).otherwise(F.col("_tone")))})
     rows = rows.withColumns({"_n": round_exact(F.col("_n"), 4), "_p": round_exact(F.col("_p"), 4)})
     rows = rows.withColumn("_u", F.greatest(F.lit(0.0), 1.0 - F.greatest("_n", "_p")))
     rows = rows.withColumn("_u", round_exact(F.col("_u"), 4))
-    label = (F.when(F.col("_blank"), "neutral")
+    label = (F.when(F.col("is_blank"), "neutral")
              .when((F.col("_n") >= 0.5) & (F.col("_n") >= F.col("_p")), "negative")
              .when(F.col("_p") >= 0.5, "positive").otherwise("neutral"))
 
     def unless_blank(default: float, value: Column) -> Column:
-        return F.when(F.col("_blank"), F.lit(default)).otherwise(value)
+        return F.when(F.col("is_blank"), F.lit(default)).otherwise(value)
 
     return rows.withColumns({
         "label": label, "confidence": unless_blank(0.0, F.greatest("_n", "_p", "_u")),
         "p_negative": unless_blank(0.5, F.col("_n")), "p_positive": unless_blank(0.5, F.col("_p")),
-        "p_neutral": unless_blank(1.0, F.col("_u"))}).drop("_blank", "_tone", "_n", "_p", "_u")
+        "p_neutral": unless_blank(1.0, F.col("_u"))}).drop("_tone", "_n", "_p", "_u")
 
 
 def sentiment_pass(worst_negative: Column, worst_positive: Column, cfg: Sentiment = Sentiment()) -> Column:

@@ -77,20 +77,21 @@ def recycled_headlines(tagged: DataFrame, s: Series = HEADLINES, cfg: News = New
 
 
 def lexicon_scores(texts: DataFrame, lexicon: DataFrame, keys: tuple[str, ...],
-                   cfg: Sentiment = Sentiment()) -> DataFrame:
+                   cfg: Sentiment = Sentiment(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Tone per text: tokens meet the lexicon, sums per key give compound, hit counts and polarity.
 
-    The tokens of a text sit in one task, so the partial sums collapse them before the shuffle.
+    The tokens of a text sit in one task, so the partial sums collapse them before the shuffle. ``carry``
+    names columns (fixed per key) to keep, so that the texts themselves need no shuffle or join.
     """
-    tokens = texts.select(*keys, F.explode_outer(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    tokens = texts.select(*keys, *carry, F.explode_outer(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
     hits = tokens.join(bounded_broadcast(lexicon), "word", "left")
     sums = hits.groupBy(*keys).agg(
         F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_s"),
         F.count(F.when(F.col("is_pos"), 1)).alias("pos_words"),
-        F.count(F.when(F.col("is_neg"), 1)).alias("neg_words"))
+        F.count(F.when(F.col("is_neg"), 1)).alias("neg_words"), *[F.max(c).alias(c) for c in carry])
     total = F.col("pos_words") + F.col("neg_words")
     return sums.select(
-        *keys, (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + cfg.normalisation)).alias("compound"),
+        *keys, *carry, (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + cfg.normalisation)).alias("compound"),
         "pos_words", "neg_words",
         F.when(total > 0, (F.col("pos_words") - F.col("neg_words")) / total).otherwise(F.lit(0.0)).alias("polarity"))
 
@@ -100,9 +101,10 @@ def text_scores(news: DataFrame, lexicon: DataFrame, cfg: Sentiment = Sentiment(
     summary = F.when(X.is_blank(F.col("summary")), F.col("headline")).otherwise(F.col("summary"))
     parts = F.array(F.struct(F.lit("headline").alias("field"), F.col("headline").alias("text")),
                     F.struct(F.lit("summary").alias("field"), summary.alias("text")))
-    texts = news.select("id", F.inline(parts))
-    tone = lexicon_scores(texts, lexicon, ("id", "field"), cfg)
-    scored = X.score_texts(texts.join(tone, ["id", "field"]), cfg)
+    texts = news.select("id", F.inline(parts)).withColumns({
+        "flag_rank": X.red_flag_rank(F.col("text")), "is_blank": X.is_blank(F.col("text"))})
+    tone = lexicon_scores(texts, lexicon, ("id", "field"), cfg, carry=("flag_rank", "is_blank"))
+    scored = X.score_texts(tone, cfg)
     return scored.select("id", "field", "label", "confidence", "p_negative", "p_positive", "p_neutral", "red_flag")
 
 
@@ -111,7 +113,7 @@ def sentiment_gate(news: DataFrame, lexicon: DataFrame, cfg: Sentiment = Sentime
     scores = text_scores(news, lexicon, cfg)
 
     def flag(field: str) -> Column:
-        return F.max(F.when(F.col("field") == field, F.col("red_flag")))
+        return F.max(F.when(F.col("field") == field, F.col("red_flag")))  # one row per id and field
 
     out = scores.groupBy("id").agg(
         F.max("p_negative").alias("worst_negative"), F.min("p_positive").alias("worst_positive"),

@@ -11,6 +11,7 @@ from ..constants import REASON_BREAKOUT, REASON_FDA, REASON_HALT, REASON_NEWS
 from ..functions import quotes as Q, text as X
 from ..operators import news as N, quotes as P, trades as T
 from ..operators.ordered import Series
+from ..session import materialise
 from ..sources import news as feed
 from .sizing import breakout, magnitude
 
@@ -46,6 +47,7 @@ def rolling_high(quotes: DataFrame, adv: DataFrame, bullish: DataFrame, s: Serie
     tier = P.gap_rvol_tier(quotes, adv, cfg.scan).withColumnRenamed("rvol", "scan_rvol").drop("adv", "baseline")
     breaks = P.session_high_break(tier, s)
     news = T.recent_bullish(breaks, bullish, cfg.scan.bullish_lookback_days).filter(F.col("bullish_ts").isNotNull())
+    news = materialise(news, "breaks")  # new highs are rare, and read twice below
     won = _confirmed(news, quotes, adv, poll_id, cfg, s.order[1:])
     return breakout(won, cfg.sizing, cfg.confirm).withColumn("reason", F.lit(REASON_BREAKOUT))
 
@@ -53,7 +55,7 @@ def rolling_high(quotes: DataFrame, adv: DataFrame, bullish: DataFrame, s: Serie
 def halt_reopen(quotes: DataFrame, adv: DataFrame, s: Series, cfg: Engine = Engine(), *,
                 poll_id: str = "event_id") -> DataFrame:
     """Reopened tickers with confirmed volume; no news needed, a missing gap counts as 0."""
-    opened = P.halt_reopen(quotes, s).filter(F.col("last") != 0)
+    opened = materialise(P.halt_reopen(quotes, s).filter(F.col("last") != 0), "reopened")
     won = _confirmed(opened, quotes, adv, poll_id, cfg, s.order[1:]).join(adv, "ticker", "left")
     base = Q.session_baseline(F.col("ts"), F.col("adv"), cfg.scan)
     won = won.withColumns({
@@ -73,6 +75,9 @@ def news_signals(news: DataFrame, watchlist: DataFrame, verdicts: DataFrame, lex
     tone = N.sentiment_gate(first, lexicon, cfg.sentiment)
     decided = N.decide(tagged, verdicts, tone, cfg=cfg.news, check_recycled=check_recycled)
     decided = decided.withColumn("signal_id", F.concat_ws("|", "id", "ticker")).withColumn("ts", F.col("created_at"))
+    # few articles survive the gates and are read several times below: store them once
+    decided = materialise(decided.filter((F.col("decision") == REASON_FDA) | F.col("decision").startswith("PASS"))
+                          .select("signal_id", "id", "ticker", "ts", "headline", "summary", "verdict", "decision"), "decided")
     fda = decided.filter(F.col("decision") == REASON_FDA).select(
         "signal_id", "id", "ticker", "ts", F.lit(REASON_FDA).alias("reason"), F.lit(None).cast("double").alias("composite"),
         F.lit(cfg.entry.pool).alias("slots"), F.lit(None).cast("string").alias("category"))
