@@ -16,7 +16,7 @@ from tapeloom.operators.ordered import Running, Series, running, uncut
 from tapeloom.session import materialise
 
 DAY = 86_400
-BAR_SERIES = Series(width_sec=365 * DAY)
+BAR_SERIES = Series(width_sec=1200 * DAY)
 QUOTE_SERIES = Series(order=("ts", "event_id"), width_sec=DAY)
 SCAN = replace(Scan(), rvol_min=0.5, min_volume=1000.0, scan_interval_sec=3600)
 CONFIRM = replace(Confirm(), window_sec=21_600, tick_multiple=0.2)

@@ -104,14 +104,15 @@ def swing_lows(bars: DataFrame, s: Series = Series(), w: int = 2) -> DataFrame:
 
 def last_swing_low(bars: DataFrame, s: Series = Series(), w: int = 2) -> DataFrame:
     """Per key the close of its newest swing low, null if it has none."""
-    flagged = uncut(_swings(bars, s, w, False, "_low"))
+    flagged = uncut(_swings(bars.select(*s.keys, *s.order, "close"), s, w, False, "_low"))
     at = F.when(F.col("_low"), s.place())
     return flagged.groupBy(*s.keys).agg(F.max_by("close", at).alias("swing_low_price"))
 
 
 def last_two_swings(bars: DataFrame, s: Series = Series(), w: int = 2) -> DataFrame:
     """The two newest swing highs per key with the OBV at each; rank 1 is the newest."""
-    rows = _swings(_volume_line(bars, s, "obv"), s, w, True, "_high").filter("_high").drop("_high")
+    line = _volume_line(bars.select(*s.keys, *s.order, "close", "volume"), s, "obv").drop("prev_close", "idx", "volume")
+    rows = _swings(line, s, w, True, "_high").filter("_high").drop("_high")
     ranked = rows.withColumn("swing_rank", F.row_number().over(s.newest_first()))
     return uncut(ranked.filter(F.col("swing_rank") <= 2))
 

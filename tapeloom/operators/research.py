@@ -101,7 +101,7 @@ def cost_adjusted(trades: DataFrame, fee_bps: float = 10.0, slippage_bps: float
                       F.avg(F.when(net > 0, 1.0).otherwise(0.0)).alias("share_positive_net"))
 
 
-def temporal_split(rows: DataFrame, order: tuple[str, ...], width_sec: int = 86_400,
+def temporal_split(rows: DataFrame, order: tuple[str, ...], width_sec: int = 60,
                    cuts: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
     """Label rows train / validation / test by their exact place in time order, without a global sort:
     counts per time piece give the offsets, rows are only ranked inside their piece."""
