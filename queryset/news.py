@@ -30,7 +30,6 @@ def exact(x: str, digits: int) -> str:
     return f"CAST(format('{{:.{digits}f}}', {x}) AS DOUBLE)"
 
 
-NORM = r"regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '^$', '')"
 ANCHOR = f"""coalesce(list_filter(list_transform(regexp_extract_all(headline, '{K.SHARES_OF_PATTERN.replace("'", "''")}', 1), lambda p: trim(p)),
     lambda p: p <> '' AND NOT list_contains([{sql_list(K.MARKET_WIDE_OPENERS)}], lower(p)))[1],
     nullif(regexp_extract(headline, '{K.COMPANY_NAME_PATTERN.replace("'", "''")}', 1), ''))"""

@@ -24,8 +24,9 @@ PRICE = """SELECT *, CASE WHEN pct IS NULL THEN 0.5e0 ELSE (greatest(-10e0, leas
 SHARES = """SELECT id, n.ticker, CASE WHEN epoch_us(n.created_at) - epoch_us(f.fetched_at) < 3600000000 THEN f.float_shares END AS float_shares
     FROM news_tickers n ASOF LEFT JOIN fundamentals_snapshots f ON n.ticker = f.ticker AND n.created_at >= f.fetched_at"""
 FLOAT = "CASE WHEN float_shares > 0 THEN greatest(0e0, least(1e0, 1 - float_shares / 1e7)) ELSE 0.5e0 END"
+# the reasoning of every usable verdict is "one short sentence": three words
 VSCORE = """(0.7e0 * CASE confidence WHEN 'high' THEN 1e0 WHEN 'medium' THEN 0.6e0 ELSE 0.3e0 END + 0.3e0 *
-    least(CASE WHEN reasoning IS NULL THEN 0 ELSE 4 END / 40e0, 1e0))"""
+    least(CASE WHEN reasoning IS NULL THEN 0 ELSE 3 END / 40e0, 1e0))"""
 MAGNITUDE = f"""SELECT *, round_even(greatest(1e0, least(10e0, 1 + composite * 9)), 0) AS slots FROM (SELECT *,
     greatest(0e0, least(1e0, 0.25e0 * {FLOAT} + 0.25e0 * price_action_score + 0.3e0 * {VSCORE} + 0.2e0 * {QN.CATEGORY_SCORE})) AS composite
     FROM (SELECT n.id, n.ticker, {QN.CATEGORY} AS category, v.confidence, v.reasoning, s.float_shares, p.price_action_score
@@ -52,10 +53,6 @@ def score_price_action(spark, sf):
     return rows.select("id", "ticker", "price_action_pct", C.price_action_score(F.col("price_action_pct")).alias("price_action_score"))
 
 
-# the reasoning of every usable verdict is "one short sentence": three words
-MAG["magnitude"] = MAGNITUDE.replace("ELSE 4 END", "ELSE 3 END")
-
-
 @query("score_magnitude", with_views("quote_bars news_tickers fundamentals_snapshots verdicts_raw",
                                      "SELECT id, ticker, category, composite FROM magnitude", **MAG), doubles="composite")
 def score_magnitude(spark, sf):
@@ -212,7 +209,7 @@ ENTRY = {
         CASE WHEN is_fda THEN 10 ELSE coalesce(list_min(list_filter(range(request, 11), lambda k: k * 100e0 >= price)), 10) END AS slots_used
         FROM priced p JOIN vwaps v USING (signal_id)""",
     "gated": f"""SELECT *, CAST(floor(round(((slots_used * 100e0) - (slots_used * 100e0) % price) / price)) AS BIGINT) AS quantity,
-        {QQ.NY.replace('(ts AT', '(ts AT')} AS ny FROM sized""",
+        {QQ.NY} AS ny FROM sized""",
     "labelled": """SELECT *, CASE WHEN is_open THEN 'SKIP_OPEN_POSITION'
         WHEN NOT is_fda AND NOT coalesce(bid > 0 AND ask > 0 AND (ask - bid) / ((bid + ask) / 2) <= 0.03, false) THEN 'GATE_LIQUIDITY'
         WHEN price IS NULL THEN 'ABORT_NO_PRICE' WHEN NOT is_fda AND price > 1000000 THEN 'ABORT_PRICE_CEILING'
