@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.session import configure
 
+from .link_rules import PATTERNS, SiteRule, judge_links
+from .mixing import mix
 from .near_copies import near_copies
+from .quality_rules import judge
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +39,43 @@ def articles_of(documents: DataFrame) -> DataFrame:
 def _near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies(articles(spark, sf)).select(
         F.col("id").alias("doc_id"), "fingerprint", F.col("story_id").alias("component_id"))
+
+
+@query("op10_mixing")
+def _mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(articles(spark, sf)).select(F.col("id").alias("doc_id"), "size", F.col("feed_size").alias("source_size"),
+                                           "target", "taken")
+
+
+@query("op3_quality_rules")
+def _quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return judge(articles(spark, sf)).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                             "n_repeat_words", "base_failed", "kept", "quality")
+
+
+SITES = (SiteRule("allow", "com"), SiteRule("block", "example.com", "/en/"), SiteRule("allow", "www.example.com", "/en/"),
+         SiteRule("block", "net", "/es/"), SiteRule("block", "net", "/fr/"))
+
+
+def _links_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
+    sites = sorted(SITES, key=lambda r: -len(r.label))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.label}'" for r in sites)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in sites)
+    spam = " OR ".join(
+        "regexp_matches(w, '{}')".format("(^|[^0-9a-z])" * p.pattern[0].isalnum() + ".*".join(p.pattern.split("*"))
+                                         + "([^0-9a-z]|$)" * p.pattern[-1].isalnum()) for p in PATTERNS)
+    return f"""
+    WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+    c AS (SELECT *, translate(host || path, '{upper}', '{lower}') AS w FROM b)
+    SELECT page_id, host, path, CASE {rule} END AS rule,
+        CASE {verdict} WHEN {spam} THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+
+
+@query("op5_link_rules", _links_sql())
+def _link_rules(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("page"), "url")
+    return judge_links(pages, SITES).withColumnRenamed("page", "page_id")
