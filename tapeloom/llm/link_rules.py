@@ -62,7 +62,7 @@ class PatternRule:
 
 #: Words of link spam and tracking hosts; a change of parameter, not of code, adapts them.
 PATTERNS = tuple(map(PatternRule, ("casino-*", "*-casino", "casino", "free-bets", "bets", "poker", "cheap-pills", "pills",
-                                   "viagra", "ads-track", "ads", "adserver", "doubleclick", "payday-loans", "xxx", "porn")))
+                                   "viagra", "ads-track", "ads", "adserver", "doubleclick", "payday-loans", "xxx", "porn", "adult-*", "spam-*")))
 
 
 def parts(url: Column) -> tuple[Column, Column]:

@@ -16,7 +16,9 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 _UPPER = bytes(range(65, 91))
 _STOPS = (b".", b"!", b"?")
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops")
+_PUNCTUATION = ".,;:!?'\"()[]-\u2013\u2014\u2018\u2019\u201c\u201d\u00ab\u00bb"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops",
+            "n_shouts", "n_distinct", "n_plain")
 
 
 def repeat_words(found: list[bytes]) -> int:
@@ -42,7 +44,8 @@ def measure(content: str | None) -> tuple[int, ...]:
     raw = content.encode("utf-8", "replace")
     return (len(found), len(content) - sum(map(content.count, BLANKS)), sum(map(content.count, SYMBOLS)),
             len(lines) - len(set(lines)), repeat_words(found), len(lines), len(raw) - len(raw.translate(None, _UPPER)),
-            sum(w.endswith(_STOPS) for w in found))
+            sum(w.endswith(_STOPS) for w in found), sum(w.endswith(b"!") for w in found), len(set(found)),
+            sum(w.isalpha() for w in (w.strip(_PUNCTUATION) for w in content.split())))
 
 
 @F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
@@ -59,15 +62,18 @@ class Rule:
     bad: str
 
 
-#: Thresholds per word, letter or line, so that they mean the same for every length.
+#: Thresholds per word, letter or line, so that they mean the same for every length. Each kind of fault is
+#: seen by two rules or more, as only agreement between rules shows which of them are right.
 RULES = (
-    Rule("length", "n_words >= 80", "n_words < 50"),
     Rule("word length", "word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule("symbols", "20 * n_symbols <= n_words", "5 * n_symbols > n_words"),
+    Rule("plain words", "10 * n_plain >= 9 * n_words", "10 * n_plain < 7 * n_words"),
     Rule("repeated lines", "n_dup_lines = 0 AND n_lines >= 3", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repeated words", "10 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
+    Rule("variety", "n_distinct > 4 * sqrt(n_words)", "n_words >= 50 AND n_distinct < 2 * sqrt(n_words)"),
     Rule("sentences", "n_stops > 0 AND n_words BETWEEN 4 * n_stops AND 80 * n_stops", "n_words >= 50 AND n_words > 200 * n_stops"),
     Rule("capitals", "10 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars"),
+    Rule("shouts", "50 * n_shouts <= n_words", "3 * n_shouts > n_words"),
 )
 
 
@@ -81,34 +87,40 @@ def patterns(rules: tuple[Rule, ...]) -> Column:
     return sum((vote(r) * 3**k for k, r in enumerate(rules)), F.lit(0)).cast("int")
 
 
-def posteriors(counts: dict[int, int], rules: int, rounds: int = 200, prior: float = 0.85, trust: float = 0.8,
-               strength: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Probability of good for every pattern; accuracy of every rule on (bad, good) articles; share of good ones.
+def posteriors(seen: dict[int, int], rules: int, rounds: int = 300, good_share: float = 0.85, trust: float = 0.8,
+               strength: float = 10.0) -> tuple[dict[int, float], np.ndarray]:
+    """Probability of good for every seen pattern; chance of each vote (class, rule, vote), good articles first.
 
-    Expectation-maximisation with votes independent given the class and abstentions that say nothing. It
-    starts from rules that are right with ``trust``; ``strength`` pseudo-votes keep rules that hardly vote
-    there, and no rule may fall under one half, so the classes can't change places.
+    Expectation-maximisation over good articles and one kind of bad ones for each rule, votes independent
+    given the kind. At the start a rule sees its own kind with ``trust`` and says of other kinds what it
+    says of all articles; ``strength`` pseudo-votes hold it there if nothing speaks against. The shares of
+    the kinds are drawn towards the prior with the weight of the data itself: a kind on which rules agree
+    keeps its share, while a rule that fires often and alone is counted as wrong about good articles.
     """
-    code = np.arange(3**rules)
+    code = np.array(sorted(seen), np.int64)
+    n = np.array([seen[int(c)] for c in code], float)
     votes = code[:, None] // 3 ** np.arange(rules) % 3
-    n = np.array([counts.get(int(c), 0) for c in code], float)
-    right = np.full((2, rules), trust)
-
-    def expect() -> np.ndarray:
-        good = np.log(prior) + ((votes == 2) * np.log(right[1]) + (votes == 1) * np.log1p(-right[1])).sum(1)
-        bad = np.log1p(-prior) + ((votes == 1) * np.log(right[0]) + (votes == 2) * np.log1p(-right[0])).sum(1)
-        return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
-
+    said = votes[:, :, None] == np.arange(3)
+    overall = (np.einsum("i,ikv->kv", n, said) + 1) / (n.sum() + 3)
+    start = np.repeat(overall[None], rules + 1, axis=0)
+    spoken = overall[:, 1:].sum(1)
+    start[0, :, 1], start[0, :, 2] = (1 - trust) * spoken, trust * spoken
+    for k in range(rules):
+        start[k + 1, k] = (1 - trust) / 2, trust, (1 - trust) / 2
+    share0 = np.array([good_share] + [(1 - good_share) / rules] * rules)
+    chance, share = start, share0
     for _ in range(rounds):
-        good = expect()
-        before = right.copy()
-        for k, (weight, own) in enumerate((((1 - good) * n, 1), (good * n, 2))):
-            said, agreed = weight @ (votes > 0), weight @ (votes == own)
-            right[k] = np.clip((agreed + strength * trust) / (said + strength), 0.5, 1 - 1e-6)
-        prior = float(np.clip((good @ n + strength * 0.85) / (n.sum() + strength), 1e-6, 1 - 1e-6))
-        if np.abs(right - before).max() < 1e-10:
+        kind = np.log(share) + np.einsum("ikv,ckv->ic", said, np.log(chance))
+        kind = np.exp(kind - kind.max(axis=1, keepdims=True))
+        kind /= kind.sum(axis=1, keepdims=True)
+        weight = kind * n[:, None]
+        before = chance
+        chance = np.einsum("ic,ikv->ckv", weight, said) + strength * start
+        chance = chance / chance.sum(axis=2, keepdims=True)
+        share = (weight.sum(0) + (n.sum() + strength) * share0) / (2 * n.sum() + strength)
+        if np.abs(chance - before).max() < 1e-9:
             break
-    return expect(), right, prior
+    return dict(zip(code.tolist(), kind[:, 0].tolist() if len(code) else [], strict=True)), chance
 
 
 def judge(articles: DataFrame, key: str = "id", text: str = "content", rules: tuple[Rule, ...] = RULES,
@@ -118,15 +130,16 @@ def judge(articles: DataFrame, key: str = "id", text: str = "content", rules: tu
     Columns: id, ``MEASURES``, base_failed (fewer than 50 words, or over half of them in repeated three-word
     windows), quality (probability of good given the votes of all rules), kept (not failed and quality >=
     ``keep``). Accuracies are estimated over all given articles from the counts of vote patterns, of which
-    there are at most ``3 ** len(rules)``, whatever the number of articles.
+    there are at most ``3 ** len(rules)``, whatever the number of articles; so their table may be broadcast.
 
     Null and empty texts have zero counts and fail. Repeated rows stay and count as often as they come.
     Other columns are ignored; an empty table gives no rows.
     """
     rows = materialise(narrowed(articles, id=key, content=text)
                        .select("id", _measures("content").alias("m")).select("id", "m.*"), "measures")
-    seen = rows.groupBy(patterns(rules).alias("pattern")).count().collect()
-    quality, _, _ = posteriors({r["pattern"]: r["count"] for r in seen}, len(rules))
-    return (rows.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-            .withColumn("quality", F.element_at(F.lit(quality.tolist()), patterns(rules) + 1))
+    voted = rows.withColumn("pattern", patterns(rules))
+    seen = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}
+    quality = rows.sparkSession.createDataFrame(list(posteriors(seen, len(rules))[0].items()), "pattern int, quality double")
+    return (voted.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+            .join(F.broadcast(quality), "pattern").drop("pattern")
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep)))
