@@ -68,7 +68,7 @@ RULES = (
     Rule("word length", "word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule("symbols", "20 * n_symbols <= n_words", "5 * n_symbols > n_words"),
     Rule("plain words", "10 * n_plain >= 9 * n_words", "10 * n_plain < 7 * n_words"),
-    Rule("repeated lines", "n_dup_lines = 0 AND n_lines >= 3", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated lines", "n_dup_lines = 0 AND n_lines >= 3", "10 * n_dup_lines > 4 * n_lines"),
     Rule("repeated words", "10 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
     Rule("variety", "n_distinct > 4 * sqrt(n_words)", "n_words >= 50 AND n_distinct < 2 * sqrt(n_words)"),
     Rule("sentences", "n_stops > 0 AND n_words BETWEEN 4 * n_stops AND 80 * n_stops", "n_words >= 50 AND n_words > 200 * n_stops"),
@@ -89,38 +89,37 @@ def patterns(rules: tuple[Rule, ...]) -> Column:
 
 def posteriors(seen: dict[int, int], rules: int, rounds: int = 300, good_share: float = 0.85, trust: float = 0.8,
                strength: float = 10.0) -> tuple[dict[int, float], np.ndarray]:
-    """Probability of good for every seen pattern; chance of each vote (class, rule, vote), good articles first.
-
-    Expectation-maximisation over good articles and one kind of bad ones for each rule, votes independent
-    given the kind. At the start a rule sees its own kind with ``trust`` and says of other kinds what it
-    says of all articles; ``strength`` pseudo-votes hold it there if nothing speaks against. The shares of
-    the kinds are drawn towards the prior with the weight of the data itself: a kind on which rules agree
-    keeps its share, while a rule that fires often and alone is counted as wrong about good articles.
+    """Probability of good for every seen pattern; how often each rule votes bad (kind, rule), good articles first.
+
+    Expectation-maximisation over good articles and one kind of bad ones for each rule; given the kind,
+    votes are independent and abstentions say nothing. At the start a rule sees its own kind with ``trust``
+    and says of other kinds what it says of all articles; ``strength`` pseudo-votes hold it there if
+    nothing speaks against, and it must see half of its own kind. The shares of the kinds are drawn towards
+    the prior with the weight of the data itself: a kind on which rules agree keeps its share, while a rule
+    that fires often and alone is counted as wrong about good articles.
     """
     code = np.array(sorted(seen), np.int64)
     n = np.array([seen[int(c)] for c in code], float)
     votes = code[:, None] // 3 ** np.arange(rules) % 3
-    said = votes[:, :, None] == np.arange(3)
-    overall = (np.einsum("i,ikv->kv", n, said) + 1) / (n.sum() + 3)
-    start = np.repeat(overall[None], rules + 1, axis=0)
-    spoken = overall[:, 1:].sum(1)
-    start[0, :, 1], start[0, :, 2] = (1 - trust) * spoken, trust * spoken
-    for k in range(rules):
-        start[k + 1, k] = (1 - trust) / 2, trust, (1 - trust) / 2
+    bad, voted = (votes == 1).astype(float), (votes > 0).astype(float)
+    start = np.repeat(((n @ bad + 1) / (n @ voted + 2))[None], rules + 1, axis=0)
+    start[0] = 1 - trust
+    own = np.arange(1, rules + 1), np.arange(rules)
+    start[own] = trust
     share0 = np.array([good_share] + [(1 - good_share) / rules] * rules)
     chance, share = start, share0
     for _ in range(rounds):
-        kind = np.log(share) + np.einsum("ikv,ckv->ic", said, np.log(chance))
+        kind = np.log(share) + bad @ np.log(chance).T + (voted - bad) @ np.log1p(-chance).T
         kind = np.exp(kind - kind.max(axis=1, keepdims=True))
         kind /= kind.sum(axis=1, keepdims=True)
-        weight = kind * n[:, None]
+        weight = kind.T * n
         before = chance
-        chance = np.einsum("ic,ikv->ckv", weight, said) + strength * start
-        chance = chance / chance.sum(axis=2, keepdims=True)
-        share = (weight.sum(0) + (n.sum() + strength) * share0) / (2 * n.sum() + strength)
+        chance = np.clip((weight @ bad + strength * start) / (weight @ voted + strength), 1e-4, 1 - 1e-4)
+        chance[own] = np.maximum(chance[own], 0.5)
+        share = (weight.sum(1) + (n.sum() + strength) * share0) / (2 * n.sum() + strength)
         if np.abs(chance - before).max() < 1e-9:
             break
-    return dict(zip(code.tolist(), kind[:, 0].tolist() if len(code) else [], strict=True)), chance
+    return dict(zip(code.tolist(), kind[:, 0].tolist(), strict=True)), chance
 
 
 def judge(articles: DataFrame, key: str = "id", text: str = "content", rules: tuple[Rule, ...] = RULES,
