@@ -9,7 +9,9 @@ from tapeloom.session import configure
 from .link_rules import PATTERNS, SiteRule, judge_links
 from .mixing import mix
 from .near_copies import near_copies
+from .quality_classifier import quality_scores
 from .quality_rules import judge
+from .records import remainder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +81,19 @@ def _links_sql() -> str:
 def _link_rules(spark: SparkSession, sf: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("page"), "url")
     return judge_links(pages, SITES).withColumnRenamed("page", "page_id")
+
+
+def labels(spark: SparkSession, sf: str, label: str, but: tuple[int, int]) -> DataFrame:
+    """Labels to learn from: those whose id, hashed modulo but[0], does not leave but[1]."""
+    every = spark.read.parquet(f"{sf}/labels.parquet")
+    return every.filter(remainder("doc_id", but[0]) != but[1]).select(F.col("doc_id").alias("id"), label)
+
+
+def held_out(scored: DataFrame, of: int, rest: int, threshold: float) -> DataFrame:
+    return scored.select(F.col("id").alias("doc_id"), (remainder("id", of) == rest).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op8_quality_classifier")
+def _quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return held_out(quality_scores(articles(spark, sf), labels(spark, sf, "quality", (5, 0))), 5, 0, 0.3)
