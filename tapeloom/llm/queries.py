@@ -9,6 +9,7 @@ from tapeloom.session import configure
 from .link_rules import PATTERNS, SiteRule, judge_links
 from .mixing import mix
 from .near_copies import near_copies
+from .pieces import decode_articles, encode_articles
 from .quality_classifier import quality_scores
 from .quality_rules import judge
 from .records import remainder
@@ -97,3 +98,11 @@ def held_out(scored: DataFrame, of: int, rest: int, threshold: float) -> DataFra
 @query("op8_quality_classifier")
 def _quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return held_out(quality_scores(articles(spark, sf), labels(spark, sf, "quality", (5, 0))), 5, 0, 0.3)
+
+
+@query("op7_pieces")
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    both = decode_articles(encode_articles(articles(spark, sf)))
+    return both.select(F.col("id").alias("doc_id"), F.size("pieces").cast("bigint").alias("n_pieces"),
+                       F.xxhash64("pieces").alias("pieces_hash"), F.slice("pieces", 1, 8).alias("first_pieces"),
+                       F.col("decoded").eqNullSafe(F.col("content")).alias("lossless"))
