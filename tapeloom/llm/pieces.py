@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ _RUN = re.compile(r"\n| *[^ \n]+| +")
 
 
 class Vocabulary:
-    """Pieces of a model file with their weights.
+    """Pieces of a model file with their weights, and a hash table over all their prefixes.
 
     The model ranks its pieces. A piece of rank r weighs ``(r + 2) ** -sharpness``, and a segmentation the
     product of its pieces, so few and frequent pieces are likelier. Characters without a piece are spelt in bytes.
@@ -49,8 +48,42 @@ class Vocabulary:
             if BLANK in piece.lstrip(BLANK) or "\n" in piece:
                 raise ValueError("a piece crosses runs")
             self.ids[piece], self.weights[piece] = i, (rank + 2) ** -sharpness
-        self.longest = max(map(len, self.ids))
         self.rare = min(self.weights.values())
+        self.longest = max(map(len, self.ids))
+        prefixes = sorted({p[:k] for p in self.ids for k in range(1, len(p) + 1)})
+        self.id_of = np.array([self.ids.get(p, -1) for p in prefixes], np.int64)
+        self.weight_of = np.array([self.weights.get(p, 0.0) for p in prefixes])
+        self.hashes = np.array([self._hash(p) for p in prefixes], np.uint64)
+        self.slots: list[np.ndarray] = []  # what meets in a table goes on to the next
+        left = np.arange(len(prefixes))
+        while len(left):
+            slots = np.zeros(1 << 20, np.int32)
+            slots[self._slot(self.hashes[left], len(self.slots))[::-1]] = left[::-1] + 1
+            self.slots.append(slots)
+            left = left[slots[self._slot(self.hashes[left], len(self.slots) - 1)] != left + 1]
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * _FACTOR + ord(c) + 1) % 2**64
+        return h
+
+    @staticmethod
+    def _slot(hashes: np.ndarray, table: int) -> np.ndarray:
+        return (hashes * np.uint64(pow(_SECOND, table, 2**64))) >> np.uint64(44)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of the prefix with each hash, or -1."""
+        out = self.slots[0][self._slot(hashes, 0)] - 1
+        for k in range(1, len(self.slots)):
+            other = np.flatnonzero((out >= 0) & (self.hashes[out] != hashes))
+            out[other] = self.slots[k][self._slot(hashes[other], k)] - 1
+        out[(out >= 0) & (self.hashes[out] != hashes)] = -1
+        return out
+
+
+_FACTOR, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,113 +94,129 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Forward-filtered lattices of runs, as flat arrays that grow with each run first seen.
+    """Forward-filtered lattices of distinct runs, all runs side by side in flat arrays.
 
-    Row ``first[run] + end - 1`` lists the pieces that may end at ``end``: for each the start, its ids, and
-    the running probability that backward sampling chooses it, increased by the row number.
+    Node ``base[run] + end`` stands for the first ``end`` characters of a run. Its pieces lie from ``begin`` of
+    the node on: for each the start, its code, and ``upto``, the running probability that backward
+    sampling chooses it. Codes from ``fallback`` on are characters spelt in bytes.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 4_000_000):
-        self.vocabulary, self.most = vocabulary, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.runs: dict[str, int] = {}
-        self.first, self.length = array("q"), array("q")
-        self.upto, self.start = array("d"), array("q")
-        self.id_at, self.id_n, self.pool = array("q"), array("q"), array("i")
-        self.row = 0
-        self.shared: dict[str, tuple[int, int]] = {}
-
-    def _ids(self, piece: str, original: str) -> tuple[int, int]:
-        """Place and number of the ids of a piece, or of the bytes of a character without one."""
-        key = piece if piece in self.vocabulary.ids else "\n" + original
-        if key not in self.shared:
-            own = [self.vocabulary.ids[piece]] if key == piece else [self.vocabulary.byte_ids[b] for b in original.encode()]
-            self.shared[key] = (len(self.pool), len(own))
-            self.pool.extend(own)
-        return self.shared[key]
-
-    def add(self, run: str) -> int:
-        """The number of a run; its lattice is filtered forward when first seen."""
-        weights, longest = self.vocabulary.weights, self.vocabulary.longest
-        # a blank reads as the sign for blanks, the sign itself as a character without a piece
-        text = run.replace(BLANK, "\x00").replace(" ", BLANK)
-        forward = [1.0] + [0.0] * len(text)
-        rare = self.vocabulary.rare
-        for end in range(1, len(text) + 1):
-            found, total = [], 0.0
-            for start in range(max(0, end - longest), end):
-                w = weights.get(text[start:end])
-                if w is None:
-                    if start < end - 1:
-                        continue
-                    w = rare
-                mass = forward[start] * w
-                if mass > 0.0:
-                    total += mass
-                    found.append((total, start))
-            forward[end] = total
-            if total < 1e-200:  # only ratios count: lift the values that later ends still use
-                for k in range(max(0, end - longest), end + 1):
-                    forward[k] *= 1e200
-            row = self.row
-            for mass, start in found:
-                self.upto.append(row + mass / total)
-                self.start.append(start)
-                at, n = self._ids(text[start:end], run[start:end])
-                self.id_at.append(at)
-                self.id_n.append(n)
-            self.upto[-1] = row + 1.0
-            self.row += 1
-        number = len(self.first)
-        self.first.append(self.row - len(text))
-        self.length.append(len(text))
-        self.runs[run] = number
-        return number
-
-    def sample(self, texts: list[str | None], seeds: np.ndarray) -> list[np.ndarray | None]:
-        """Ids of one segmentation of each text, drawn backwards through its lattices with the text's seed."""
-        if self.row > self.most:
-            self.clear()
-        get, add = self.runs.get, self.add
-        numbers, counts = [], []
-        for text in texts:
-            found = _RUN.findall(f" {text}") if text else []
-            numbers += [n if (n := get(r)) is not None else add(r) for r in found]
-            counts.append(len(found))
-        run = np.array(numbers, np.int64)
-        counts = np.array(counts, np.int64)
-        view = lambda a, kind: np.frombuffer(a, kind) if len(a) else np.zeros(0, kind)
-        first, length = view(self.first, np.int64), view(self.length, np.int64)
-        upto, start = view(self.upto, np.float64), view(self.start, np.int64)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        place = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
-        draw = mixed(seeds.astype(np.uint64)[owner] + mixed(place.astype(np.uint64)))
-        live, end = np.arange(len(run)), length[run] if len(run) else np.zeros(0, np.int64)
-        steps: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, vocabulary: Vocabulary, runs: list[str]):
+        v = vocabulary
+        self.length = np.fromiter(map(len, runs), np.int64, len(runs))
+        total = int(self.length.sum())
+        chars = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).astype(np.int64)
+        # a blank reads as the sign for blanks; the sign itself is a character without a piece
+        read = np.where(chars == 32, ord(BLANK), np.where(chars == ord(BLANK), 0, chars)).astype(np.uint64)
+        begins = np.cumsum(self.length) - self.length
+        self.base = begins + np.arange(len(runs))
+        run = np.repeat(np.arange(len(runs)), self.length)
+        offset = np.arange(total) - begins[run]
+        left = self.length[run] - offset
+        at, h, edges = np.arange(total), np.zeros(total, np.uint64), []
+        for n in range(1, v.longest + 1):  # pieces of n characters, at the places whose prefixes still fit
+            fits = np.flatnonzero(left[at] >= n)
+            at, h = at[fits], h[fits] * np.uint64(_FACTOR) + read[at[fits] + n - 1] + np.uint64(1)
+            found = v.find(h)
+            if n == 1:
+                bare = np.ones(len(at), bool)
+                bare[found >= 0] = v.id_of[found[found >= 0]] < 0
+            go = np.flatnonzero(found >= 0)
+            at, h, found = at[go], h[go], found[go]
+            real = np.flatnonzero(v.id_of[found] >= 0)
+            edges.append((at[real], np.full(len(real), n), v.id_of[found[real]], v.weight_of[found[real]]))
+        self.fallback = len(v.bytes)
+        bare = np.flatnonzero(bare)
+        kinds, which = np.unique(chars[bare], return_inverse=True)
+        edges.append((bare, np.ones(len(bare), np.int64), self.fallback + which, np.full(len(bare), v.rare)))
+        place, n, code, weight = (np.concatenate(x) for x in zip(*edges, strict=True))
+        self.spelt = [[v.byte_ids[b] for b in chr(c).encode()] for c in kinds.tolist()]
+        start = offset[place]
+        end, node = start + n, self.base[run[place]] + start + n
+        order = np.lexsort((node, end))
+        start, end, node, code, weight = (x[order] for x in (start, end, node, code, weight))
+        self._forward(start, end, node, weight, v.longest)
+        order = np.argsort(node, kind="stable")
+        self.start, self.code, self.upto = start[order], code[order], self.upto[order]
+        self.begin = np.searchsorted(node[order], np.arange(total + len(runs) + 1))
+
+    def _forward(self, start, end, node, weight, longest) -> None:
+        """Sums the weights of all ways to each node, end by end for all runs together."""
+        forward = np.zeros(int(self.length.sum()) + len(self.length) + 1)
+        forward[self.base] = 1.0
+        self.upto = np.empty(len(node))
+        cuts = np.searchsorted(end, np.arange(1, int(self.length.max(initial=0)) + 2))
+        active = np.arange(len(self.length))
+        for e, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), 1):
+            own = node[a:b]
+            mass = forward[own - e + start[a:b]] * weight[a:b]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            sums = np.add.reduceat(mass, first)
+            sizes = np.diff(np.concatenate([first, [b - a]]))
+            running = np.cumsum(mass / np.repeat(sums, sizes))
+            self.upto[a:b] = running - np.repeat(running[first] - mass[first] / sums, sizes)
+            self.upto[a + first + sizes - 1] = 2.0  # the last one takes all that is left
+            forward[own[first]] = sums
+            if e % 16 == 0:  # only ratios count: lift what later ends still use
+                active = active[self.length[active] > e]
+                if len(active):
+                    recent = self.base[active][:, None] + np.arange(max(0, e - longest), e + 1)
+                    forward[recent] /= forward[self.base[active] + e][:, None]
+
+    def draw(self, run: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of one segmentation for each asked run, drawn backwards; and how many codes each has."""
+        live, end, steps = np.arange(len(run)), self.length[run], []
+        base = self.base[run]
+        taken = np.zeros(len(run), np.int64)
         while len(live):
-            draw = mixed(draw + np.uint64(0x9E3779B97F4A7C15))
-            row = first[run[live]] + end - 1
-            at = np.searchsorted(upto, row + (draw >> np.uint64(12)).astype(np.float64) * 2.0**-52, side="right")
-            at = np.minimum(at, np.searchsorted(upto, row + 1.0))
-            steps.append((live, at))
-            end = start[at]
+            seed = mixed(seed + np.uint64(0x9E3779B97F4A7C15))
+            u = (seed >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            at = self.begin[base[live] + end]
+            over = np.flatnonzero(self.upto[at] <= u)
+            while len(over):
+                at[over] += 1
+                over = over[self.upto[at[over]] <= u[over]]
+            steps.append((live, self.code[at]))
+            taken[live] += 1
+            end = self.start[at]
             go = np.flatnonzero(end > 0)
-            live, end, draw = live[go], end[go], draw[go]
-        taken = np.zeros(len(run), np.int64)
-        for which, _ in steps:
-            taken[which] += 1
+            live, end, seed = live[go], end[go], seed[go]
         last = np.cumsum(taken)
-        chosen = np.zeros(int(last[-1]) if len(last) else 0, np.int64)
-        for k, (which, at) in enumerate(steps):
-            chosen[last[which] - 1 - k] = at
-        n, begin, pool = view(self.id_n, np.int64)[chosen], view(self.id_at, np.int64)[chosen], view(self.pool, np.int32)
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        ids = pool[np.repeat(begin, n) + inside]
-        of_text = np.bincount(np.repeat(np.repeat(owner, taken), n), minlength=len(texts)) if len(ids) else np.zeros(len(texts), int)
-        parts = np.split(ids, np.cumsum(of_text)[:-1])
-        return [None if t is None else p for t, p in zip(texts, parts, strict=True)]
+        codes = np.zeros(int(last[-1]) if len(last) else 0, np.int64)
+        for k, (which, code) in enumerate(steps):
+            codes[last[which] - 1 - k] = code
+        return codes, taken
+
+    def spell(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the codes, and the number of ids of each."""
+        n = np.ones(len(codes), np.int64)
+        odd = np.flatnonzero(codes >= self.fallback)
+        if not len(odd):
+            return codes.astype(np.int32), n
+        sizes = np.array([len(x) for x in self.spelt], np.int64)
+        pool, begins = np.array([i for x in self.spelt for i in x], np.int64), np.cumsum(sizes) - sizes
+        n[odd] = sizes[codes[odd] - self.fallback]
+        ids = np.repeat(codes, n)
+        inside = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+        spelt = np.flatnonzero(ids >= self.fallback)
+        ids[spelt] = pool[begins[ids[spelt] - self.fallback] + inside[spelt]]
+        return ids.astype(np.int32), n
+
+
+def sample(vocabulary: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> list[np.ndarray | None]:
+    """Ids of one segmentation of each text, drawn backwards through its lattice with the text's seed."""
+    found = [_RUN.findall(f" {t}") if t else [] for t in texts]
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    names: dict[str, int] = {}
+    run = np.array([names.setdefault(r, len(names)) for runs in found for r in runs], np.int64)
+    lattices = Lattices(vocabulary, list(names))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+    codes, taken = lattices.draw(run, mixed(seeds.astype(np.uint64)[owner] + mixed(place.astype(np.uint64))))
+    ids, n = lattices.spell(codes)
+    of_text = np.bincount(np.repeat(owner, taken), weights=n, minlength=len(texts)).astype(np.int64)
+    parts = np.split(ids, np.cumsum(of_text)[:-1])
+    return [None if t is None else p for t, p in zip(texts, parts, strict=True)]
 
 
 def decode(ids: list[int] | np.ndarray | None, pieces: list[bytes]) -> str | None:
@@ -177,14 +226,14 @@ def decode(ids: list[int] | np.ndarray | None, pieces: list[bytes]) -> str | Non
     return b"".join(map(pieces.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")[1:]
 
 
-_LOADED: dict[tuple[int, float], Lattices] = {}
+_LOADED: dict[tuple[int, float], Vocabulary] = {}
 
 
-def _lattices(model: bytes, sharpness: float) -> Lattices:
+def _vocabulary(model: bytes, sharpness: float) -> Vocabulary:
     """One per worker process, as building it takes longer than a batch."""
     key = (hash(model), sharpness)
     if key not in _LOADED:
-        _LOADED[key] = Lattices(Vocabulary(model, sharpness))
+        _LOADED[key] = Vocabulary(model, sharpness)
     return _LOADED[key]
 
 
@@ -195,7 +244,7 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 def _encoded(model: bytes, sharpness: float):
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        lattices = _lattices(model, sharpness)
+        vocabulary = _vocabulary(model, sharpness)
         for content, seed in batches:
             ids: list = []
             seeds = seed.to_numpy(np.int64).view(np.uint64)
@@ -206,7 +255,7 @@ def _encoded(model: bytes, sharpness: float):
                 while to < len(texts) and (to == at or n < 2_000_000):
                     n += len(texts[to] or "")
                     to += 1
-                ids += lattices.sample(texts[at:to], seeds[at:to])
+                ids += sample(vocabulary, texts[at:to], seeds[at:to])
                 at = to
             yield pd.Series(ids, dtype=object)
 
@@ -215,7 +264,7 @@ def _encoded(model: bytes, sharpness: float):
 
 def _decoded(model: bytes):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = _lattices(model, 1.0).vocabulary.bytes
+        pieces = _vocabulary(model, 1.0).bytes
         for ids in batches:
             yield pd.Series([decode(x, pieces) for x in ids], dtype=object)
 

@@ -12,18 +12,18 @@ TEXTS = ["", " ", "a", "Shares rise  10% after trial", "  lead\n\n tail \n", "\n
 
 
 def test_exact_round_trip_also_by_the_library():
-    lattices = P.Lattices(P.Vocabulary(MODEL))
+    vocabulary = P.Vocabulary(MODEL)
     sp = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     for seed in range(3):
-        for text, ids in zip(TEXTS, lattices.sample(TEXTS, np.full(len(TEXTS), seed, np.uint64)), strict=True):
-            assert P.decode(ids, lattices.vocabulary.bytes) == text
+        for text, ids in zip(TEXTS, P.sample(vocabulary, TEXTS, np.full(len(TEXTS), seed, np.uint64)), strict=True):
+            assert P.decode(ids, vocabulary.bytes) == text
             assert sp.decode(ids.tolist()) == text
 
 
 def test_samples_follow_the_weights():
     """Frequencies of the sampled segmentations of a word against the weights of all its segmentations."""
     v = P.Vocabulary(MODEL)
-    lattices, word = P.Lattices(v), P.BLANK + "trial"
+    word = P.BLANK + "trial"
     want = {}
     for cuts in itertools.product([0, 1], repeat=len(word) - 1):
         edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
@@ -31,7 +31,7 @@ def test_samples_follow_the_weights():
         if all(p in v.weights for p in parts):
             want[tuple(v.ids[p] for p in parts)] = np.prod([v.weights[p] for p in parts])
     total, n = sum(want.values()), 60_000
-    got = Counter(tuple(x.tolist()) for x in lattices.sample(["trial"] * n, np.arange(n).astype(np.uint64)))
+    got = Counter(tuple(x.tolist()) for x in P.sample(v, ["trial"] * n, np.arange(n).astype(np.uint64)))
     assert set(got) <= set(want)
     for ids, w in want.items():
         p = w / total
@@ -51,8 +51,8 @@ def test_articles(spark):
     assert P.encode_articles(articles.limit(0)).count() == 0
 
 
-def test_cache_bound_does_not_change_results():
-    small, large = P.Lattices(P.Vocabulary(MODEL), most=50), P.Lattices(P.Vocabulary(MODEL))
-    for k in range(4):
-        texts, seeds = [f"Trial {k} of {j} went well" for j in range(20)], np.arange(20).astype(np.uint64)
-        assert all((a == b).all() for a, b in zip(small.sample(texts, seeds), large.sample(texts, seeds), strict=True))
+def test_company_of_other_texts_does_not_matter():
+    v, texts = P.Vocabulary(MODEL), [f"Trial {j} of {j * 7} went well" for j in range(20)] + [None, ""]
+    seeds = np.arange(22).astype(np.uint64)
+    alone = [P.sample(v, [t], seeds[i:i + 1])[0] for i, t in enumerate(texts)]
+    assert all(a is b is None or (a == b).all() for a, b in zip(P.sample(v, texts, seeds), alone, strict=True))
