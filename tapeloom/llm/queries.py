@@ -13,6 +13,7 @@ from .pieces import decode_articles, encode_articles
 from .quality_classifier import quality_scores
 from .quality_rules import judge
 from .records import remainder
+from .toxicity import toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,8 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.col("id").alias("doc_id"), F.size("pieces").cast("bigint").alias("n_pieces"),
                        F.xxhash64("pieces").alias("pieces_hash"), F.slice("pieces", 1, 8).alias("first_pieces"),
                        F.col("decoded").eqNullSafe(F.col("content")).alias("lossless"))
+
+
+@query("op2_toxicity")
+def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return held_out(toxicity(articles(spark, sf), labels(spark, sf, "toxic", (3, 1))), 3, 1, 0.7)
