@@ -13,6 +13,7 @@ from .pieces import decode_articles, encode_articles
 from .quality_classifier import quality_scores
 from .quality_rules import judge
 from .records import remainder
+from .secrets import find_secrets
 from .toxicity import toxicity
 
 QUERIES: dict = {}
@@ -112,3 +113,9 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_toxicity")
 def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return held_out(toxicity(articles(spark, sf), labels(spark, sf, "toxic", (3, 1))), 3, 1, 0.7)
+
+
+@query("op9_secrets")
+def _secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return find_secrets(articles(spark, sf)).select(
+        F.col("id").alias("doc_id"), "place", F.sha2("secret", 256).alias("secret_sha256"), "length", F.round("score", 6).alias("score"))
