@@ -20,6 +20,7 @@ from .components import components
 from .records import lower_words, narrowed
 
 BITS = 64
+KEYS = ["band", "bits", "piece"]
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -156,12 +157,12 @@ def _pairs_in_large(prints: np.ndarray, radius: int) -> Iterator[tuple[int, int]
                 yield i, j
 
 
-def _links(radius: int, short: int = 64):
+def _links(radius: int, short: int = 64, at_once: int = 20_000):
     """Over rows sorted by bucket: links (a, b) of prints inside a bucket that connect all that the radius links."""
 
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
         prints = frame["print"].to_numpy(np.int64).view(np.uint64)
-        keys = frame[["band", "bits", "piece"]].to_numpy(np.int64)
+        keys = frame[KEYS].to_numpy(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
         sizes = np.diff(np.concatenate([starts, [len(prints)]]))
         behind = np.repeat(starts + sizes, sizes) - np.arange(len(prints)) - 1
@@ -173,21 +174,21 @@ def _links(radius: int, short: int = 64):
         return pd.DataFrame({"a": signed[pairs[:, 0]], "b": signed[pairs[:, 1]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []  # the bucket that may go on in the next batch
+        kept: list[pd.DataFrame] = []  # from the first row of a bucket on
+        rows = 0
         for batch in batches:
-            if batch.empty:
+            kept.append(batch)
+            rows += len(batch)
+            if rows < at_once:
                 continue
-            last = batch.iloc[-1]
-            same = (batch["band"] == last["band"]) & (batch["bits"] == last["bits"]) & (batch["piece"] == last["piece"])
-            head = batch[~same]
-            if rest and (len(head) or tuple(rest[0].iloc[0][["band", "bits", "piece"]]) != tuple(last[["band", "bits", "piece"]])):
-                yield linked(pd.concat([*rest, head], ignore_index=True))
-                rest = []
-            elif len(head):
-                yield linked(head.reset_index(drop=True))
-            rest.append(batch[same])
-        if rest:
-            yield linked(pd.concat(rest, ignore_index=True))
+            frame = pd.concat(kept, ignore_index=True)
+            same = (frame[KEYS] == frame[KEYS].iloc[-1]).all(axis=1).to_numpy()
+            last = len(frame) - int(np.argmin(same[::-1])) if not same.all() else 0  # this bucket may go on
+            if last:
+                yield linked(frame[:last])
+            kept, rows = [frame[last:]], len(frame) - last
+        if rows:
+            yield linked(pd.concat(kept, ignore_index=True))
 
     return run
 
