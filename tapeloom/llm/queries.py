@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.session import configure
 
+from .language_model import log_probabilities
 from .link_rules import PATTERNS, SiteRule, judge_links
 from .mixing import mix
 from .near_copies import near_copies
@@ -119,3 +120,10 @@ def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def _secrets(spark: SparkSession, sf: str) -> DataFrame:
     return find_secrets(articles(spark, sf)).select(
         F.col("id").alias("doc_id"), "place", F.sha2("secret", 256).alias("secret_sha256"), "length", F.round("score", 6).alias("score"))
+
+
+@query("op4_language_model")
+def _language_model(spark: SparkSession, sf: str) -> DataFrame:
+    train = remainder("id", 7) != 2
+    return log_probabilities(articles(spark, sf), train).select(
+        F.col("id").alias("doc_id"), (remainder("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
