@@ -21,7 +21,7 @@ from .records import lower_words, narrowed
 class Smoothing:
     """``strength``: how many words' worth the unigram model weighs beside the followers of a word."""
 
-    strength: float = 2000.0
+    strength: float = 500.0
     chunk_words: int = 600_000      # articles are encoded in chunks of about so many words
     bucket_grams: int = 1_000_000   # n-grams counted at once
 

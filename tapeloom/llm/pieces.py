@@ -252,7 +252,7 @@ def _encoded(model: bytes, sharpness: float):
             at = 0
             while at < len(texts):  # by length, so that arrays stay small
                 to, n = at, 0
-                while to < len(texts) and (to == at or n < 2_000_000):
+                while to < len(texts) and (to == at or n < 250_000):
                     n += len(texts[to] or "")
                     to += 1
                 ids += sample(vocabulary, texts[at:to], seeds[at:to])
