@@ -10,6 +10,7 @@ from .language_model import log_probabilities
 from .link_rules import PATTERNS, SiteRule, judge_links
 from .mixing import mix
 from .near_copies import near_copies
+from .neighbours import nearest_vectors
 from .pieces import decode_articles, encode_articles
 from .quality_classifier import quality_scores
 from .quality_rules import judge
@@ -127,3 +128,10 @@ def _language_model(spark: SparkSession, sf: str) -> DataFrame:
     train = remainder("id", 7) != 2
     return log_probabilities(articles(spark, sf), train).select(
         F.col("id").alias("doc_id"), (remainder("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op6_neighbours")
+def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest_vectors(items, F.col("id") % 20 == 0).select(
+        F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
