@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tapeloom.session import materialise
 
-from .records import narrowed, words
+from .records import words
 
 HASH_BITS = 60
 DIGIT_BITS = 12
@@ -20,7 +20,7 @@ def count_words(content: pd.Series) -> pd.Series:
 
 def _place(key: str) -> Column:
     """A fixed place of an article in its feed: the upper bits of a hash of its id."""
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - HASH_BITS)
+    return F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`")), 64 - HASH_BITS)
 
 
 def ranked(feeds: DataFrame) -> DataFrame:
@@ -81,6 +81,25 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("feed_key", (F.col("first") + taken_too).alias("threshold"))
 
 
+def feed_key(feed: str) -> Column:
+    """A feed as a key that sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("a"), F.col(f"`{feed}`")), F.lit("b"))
+
+
+def mix_plan(sizes: DataFrame, weights: tuple[float, ...], ceiling: float) -> DataFrame:
+    """(feed_key, feed_size, target, times, threshold) from sized articles (feed_key, place, size): one row per feed."""
+    feeds = sizes.groupBy("feed_key").agg(F.sum("size").alias("feed_size"))
+    whole = F.when(F.col("feed_size") > 0, F.floor(F.col("target") / F.col("feed_size"))).otherwise(F.lit(0))
+    aims = materialise(targets(feeds, weights, ceiling).withColumn("times", whole), "targets")
+    budgets = aims.filter("feed_size > 0").select("feed_key", (F.col("target") - F.col("times") * F.col("feed_size")).alias("budget"))
+    limits = thresholds(sizes.select("feed_key", "place", "size"), budgets)
+    return materialise(aims.join(limits, "feed_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0))), "mix")
+
+
+#: How often an article is taken: as often as its feed, and once more below the threshold.
+COPIES = "times + CAST(place < threshold AS BIGINT)"
+
+
 def mix(articles: DataFrame, key: str = "id", text: str = "content", feed: str = "feed",
         weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0) -> DataFrame:
     """How many words of each article the mix takes: (id, size, feed_size, target, taken), one row per input row.
@@ -94,15 +113,22 @@ def mix(articles: DataFrame, key: str = "id", text: str = "content", feed: str =
     Null texts have size 0. A null feed is a feed. Repeated ids share a place and are taken alike; so are
     rows without an id. A feed without words has target 0. Other columns are ignored; no rows give no rows.
     """
-    rows = materialise(narrowed(articles, id=key, content=text, feed=feed).select(
-        "id", F.coalesce(F.concat(F.lit("a"), "feed"), F.lit("b")).alias("feed_key"), _place("id").alias("place"),
-        count_words("content").alias("size")), "sizes")
-    feeds = rows.groupBy("feed_key").agg(F.sum("size").alias("feed_size"))
-    aims = materialise(targets(feeds, weights, ceiling), "targets")
-    whole = F.when(F.col("feed_size") > 0, F.floor(F.col("target") / F.col("feed_size"))).otherwise(F.lit(0))
-    budgets = aims.filter("feed_size > 0").select("feed_key", (F.col("target") - whole * F.col("feed_size")).alias("budget"))
-    plan = aims.join(thresholds(rows.select("feed_key", "place", "size"), budgets), "feed_key", "left")
-    plan = materialise(plan.withColumn("times", whole), "mix")
-    once_more = (F.col("place") < F.coalesce("threshold", F.lit(0))).cast("bigint")
-    return rows.join(plan, "feed_key").select("id", "size", "feed_size", "target",
-                                              (F.col("size") * (F.col("times") + once_more)).alias("taken"))
+    rows = _sized(articles, key, text, feed)
+    return rows.join(mix_plan(rows, weights, ceiling), "feed_key").select(
+        "id", "size", "feed_size", "target", (F.col("size") * F.expr(COPIES)).alias("taken"))
+
+
+def _sized(articles: DataFrame, key: str, text: str, feed: str) -> DataFrame:
+    return materialise(articles.select(F.col(f"`{key}`").alias("id"), feed_key(feed).alias("feed_key"), _place(key).alias("place"),
+                                       count_words(F.col(f"`{text}`")).alias("size")), "sizes")
+
+
+def take(articles: DataFrame, key: str = "id", text: str = "content", feed: str = "feed",
+         weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0) -> DataFrame:
+    """The rows of ``articles``, all columns, each as often as ``mix`` takes it."""
+    sizes = _sized(articles, key, text, feed)
+    plan = mix_plan(sizes, weights, ceiling).select(F.col("feed_key").alias("_feed"), "times", "threshold")
+    marked = articles.select(F.struct(*[F.col(f"`{c}`") for c in articles.columns]).alias("row"), feed_key(feed).alias("_feed"),
+                             _place(key).alias("place"))
+    copies = marked.join(plan, "_feed").withColumn("copies", F.expr(COPIES)).filter("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("n")).select("row.*")

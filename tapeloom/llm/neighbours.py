@@ -19,13 +19,13 @@ from tapeloom.session import materialise
 
 @dataclass(frozen=True)
 class Graph:
-    degree: int = 24        # neighbours kept for each vector, and as many that point to it
+    degree: int = 32        # neighbours kept for each vector, and as many that point to it
     tables: int = 4         # random partitions that give the first neighbours
     leaf: int = 256         # vectors compared with each other in such a partition
-    rounds: int = 3         # rounds of neighbours of neighbours
-    offers: int = 6         # pairs a round may offer a vector from each neighbourhood
-    beam: int = 96          # best vectors a search keeps
-    width: int = 24         # of which so many are expanded in a step
+    rounds: int = 6         # rounds of neighbours of neighbours
+    offers: int = 12        # pairs a round may offer a vector from each neighbourhood
+    beam: int = 320         # best vectors a search keeps
+    width: int = 80         # of which so many are expanded in a step
     steps: int = 4
     seed: int = 5
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .records import narrowed, words
 
@@ -177,14 +177,6 @@ class Constant:
         return np.full(len(x), self.score)
 
 
-def _scored(score, vectors: np.ndarray, space: Space):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "score": score(pool(batch["content"], vectors, space))})
-
-    return run
-
-
 def _pooled(vectors: np.ndarray, space: Space):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,6 +198,20 @@ def fitted(articles: DataFrame, ratings: DataFrame, vectors: np.ndarray, space:
     return Network(np.stack(rows["x"]), y, fit)
 
 
+def quality_of(articles: DataFrame, ratings: DataFrame, key: str = "id", text: str = "content", space: Space = Space(),
+               fit: Fit = Fit()) -> Callable[[Column], Column]:
+    """The fitted classifier as a function from a text column to a column of probabilities, for ``quality_scores`` or filters."""
+    rows = narrowed(articles, id=key, content=text)
+    vectors = word_vectors(rows, space)
+    model = fitted(rows, ratings, vectors, space, fit)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(content: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(pool(content, vectors, space)), dtype="float64")
+
+    return score
+
+
 def quality_scores(articles: DataFrame, ratings: DataFrame, key: str = "id", text: str = "content",
                    space: Space = Space(), fit: Fit = Fit()) -> DataFrame:
     """Probability that an article is of good quality: (id, score), one row per input row.
@@ -218,8 +224,6 @@ def quality_scores(articles: DataFrame, ratings: DataFrame, key: str = "id", tex
     of a text without words. An id rated twice counts as good if any rating is good. With ratings of one
     kind, or none, every score is their smoothed share. Other columns are ignored; no rows give no rows.
     """
+    score = quality_of(articles, ratings, key, text, space, fit)
     rows = narrowed(articles, id=key, content=text)
-    vectors = word_vectors(rows, space)
-    model = fitted(rows, ratings, vectors, space, fit)
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(_scored(model.scores, vectors, space), f"id {kind}, score double")
+    return rows.select("id", score(F.col("content")).alias("score"))
