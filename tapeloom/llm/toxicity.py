@@ -25,7 +25,8 @@ class Votes:
     rows: int = 20_000
     features: int = 4096
     stem: int = 5             # a longer word also counts as its first letters
-    least: float = 20.0       # log-likelihood ratio from which a term tells the classes apart
+    least: float = 15.0       # log-likelihood ratio from which a term tells the classes apart,
+    share: float = 0.3        # if so large a share of the examples with it are toxic
     neighbours: int = 25
     block: int = 64
     checked: int = 4000       # examples voted on by the others, for calibration
@@ -96,28 +97,32 @@ class BlockMaxIndex:
         cells = (at[:, None] * self.blocks + blocks).ravel()
         begin, n = self.begin[cells].astype(np.int64), (self.begin[cells + 1] - self.begin[cells]).astype(np.int64)
         places = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        part = np.repeat(np.repeat(w, len(blocks)), n) * self.weight[places]
-        docs, which = np.unique(self.doc[places], return_inverse=True)
-        return docs, np.bincount(which, weights=part, minlength=len(docs))
+        shift = np.tile(np.arange(len(blocks)) * self.block, len(at)) - np.tile(blocks * self.block, len(at))
+        local = self.doc[places] + np.repeat(shift, n)
+        cos = np.bincount(local, weights=np.repeat(np.repeat(w, len(blocks)), n) * self.weight[places], minlength=len(blocks) * self.block)
+        hit = np.flatnonzero(cos)
+        return blocks[hit // self.block] * self.block + hit % self.block, cos[hit]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, ties to smaller ids, ``but`` one id; exactly.
 
-        The blocks of the highest bounds give a k-th best cosine; after them only blocks whose bound reaches it
-        can hold a better one.
+        Blocks are scored from the highest bound down, in growing steps, until no bound reaches the k-th best
+        cosine so far.
         """
+        docs, cos = np.zeros(0, np.int64), np.zeros(0)
         if not len(at) or not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return docs, cos
         bounds = w @ self.bound[at]
         order = np.argsort(-bounds, kind="stable")
-        few = max(1, -(-2 * k // self.block))
-        docs, cos = self._scored(at, w, order[:few])
-        floor = np.sort(cos)[-k - 1] if len(cos) > k else 0.0
-        rest = order[few:]
-        rest = rest[(bounds[rest] >= floor - 1e-9) & (bounds[rest] > 0)]
-        if len(rest):
-            more, other = self._scored(at, w, rest)
+        order = order[bounds[order] > 0]
+        done, step, floor = 0, 2, 0.0
+        while done < len(order) and bounds[order[done]] >= floor - 1e-9:
+            more, other = self._scored(at, w, order[done: done + step])
             docs, cos = np.concatenate([docs, more]), np.concatenate([cos, other])
+            if len(cos) > k:
+                floor = np.partition(cos, -k - 1)[-k - 1]
+                docs, cos = docs[cos >= floor - 1e-9], cos[cos >= floor - 1e-9]
+            done, step = done + step, 2 * step
         if but is not None:
             docs, cos = docs[self.ids[docs] != but], cos[self.ids[docs] != but]
         best = np.lexsort((self.ids[docs], -np.round(cos, 12)))[:k]
@@ -199,15 +204,19 @@ def _vectors(vocabulary: list[str], stem: int, idf: np.ndarray):
 
 def _voted(vocabulary: list[str], stem: int, idf: np.ndarray, index: BlockMaxIndex, steps: Calibration, votes: Votes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = Terms(vocabulary, stem)
+        find, memo = Terms(vocabulary, stem), {}
         for batch in batches:
-            scores, evidence = [], []
+            if len(memo) > 50_000:
+                memo.clear()
+            found = []
             for content in batch["content"]:
                 at, counts = find(content)
-                vote, docs = index.vote(at, weighted(at, counts, idf), votes.neighbours)
-                scores.append(steps(vote))
-                evidence.append(index.ids[docs[: votes.shown]])
-            yield pd.DataFrame({"id": batch["id"], "score": scores, "evidence": evidence})
+                key = at.tobytes() + counts.tobytes()
+                if key not in memo:
+                    vote, docs = index.vote(at, weighted(at, counts, idf), votes.neighbours)
+                    memo[key] = steps(vote), index.ids[docs[: votes.shown]]
+                found.append(memo[key])
+            yield pd.DataFrame({"id": batch["id"], "score": [x[0] for x in found], "evidence": [x[1] for x in found]})
 
     return run
 
@@ -216,26 +225,27 @@ def toxicity(articles: DataFrame, moderated: DataFrame, key: str = "id", text: s
     """Probability that an article is toxic: (id, score, evidence), one row per input row.
 
     ``moderated`` (id, toxic 0 or 1) are the only labels used; at most ``votes.rows`` of them, taken by a hash
-    of their ids, are the examples. Terms that tell toxic from clean examples span the space, their document
+    of their ids, are the examples. Terms that mark toxic examples span the space, their document
     frequencies are counted over all articles. The nearest examples by exact cosine vote, the nearer the
     heavier, and the vote becomes the frequency that examples with such a vote had when the others voted
     on them. ``evidence`` names the nearest examples (ids).
 
     Only the text makes the score. Null and empty texts and those without any such term have no neighbours:
     their score is the share of toxic ones among examples without neighbours. An id labelled twice is toxic
-    if any label says so. Without labels every score is 0.5. Other columns are ignored; no rows give no rows.
+    if any label says so; equal texts are one example. Without labels every score is 0.5. Other columns are ignored; no rows give no rows.
     """
     rows = narrowed(articles, id=key, content=text)
     kind = dict(rows.dtypes)["id"]
     labels = (moderated.filter("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
               .orderBy(F.xxhash64("id"), "id").limit(votes.rows))
     known = rows.join(F.broadcast(labels), "id").groupBy("id", "toxic").agg(F.min("content").alias("content"))
-    known = materialise(known, "moderated")
+    known = materialise(known.groupBy("content").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")), "moderated")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     ratio = likelihood_ratio(sizes.get(0, 0), sizes.get(1, 0))
     told = (known.mapInPandas(_counted(votes.stem), "term string, clean bigint, toxic bigint")
             .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .filter(F.col("clean") + F.col("toxic") > 1).withColumn("ratio", ratio).filter(F.col("ratio") >= votes.least)
+            .filter(F.col("clean") + F.col("toxic") > 1).withColumn("ratio", ratio)
+            .filter((F.col("ratio") >= votes.least) & (F.col("toxic") >= votes.share * (F.col("clean") + F.col("toxic"))))
             .orderBy(F.desc("ratio"), "term").limit(votes.features))
     vocabulary = [r["term"] for r in told.select("term").collect()]
     held = rows.select("content").mapInPandas(_held(vocabulary, votes.stem), "term int, n bigint")
