@@ -67,19 +67,11 @@ MARKET_WIDE_OPENERS = (
 )
 
 # --- fixed values: patterns that find the company a headline is about ---
-COMPANY_SUFFIXES = (
-    "Inc", "Incorporated", "Corp", "Corporation", "Co", "Company", "Ltd", "Limited", "Holdings?",
-    "Group", "Technologies", "Pharmaceuticals", "Therapeutics", "Biotechnology", "Biotech",
-    "Solutions", "International", "Global", "Industries", "Systems",
-)
 SHARES_OF_PATTERN = r"([A-Z][A-Za-z0-9&'.\-]*(?:\s+[A-Z][A-Za-z0-9&'.\-]*){0,5})\s+[Ss]hares\b"
-COMPANY_NAME_PATTERN = (
-    r"\b([A-Z][A-Za-z&'.\-]*(?:\s+[A-Z][A-Za-z&'.\-]*){0,4}\s+(?:"
-    + "|".join(COMPANY_SUFFIXES) + r")\.?)\b"
-)
+COMPANY_NAME_PATTERN = r"\b([A-Z][A-Za-z&'.\-]*(?:\s+[A-Z][A-Za-z&'.\-]*){0,4}\s+(?:Inc|Incorporated|Corp|Corporation|Co|Company|Ltd|Limited|Holdings?|Group|Technologies|Pharmaceuticals|Therapeutics|Biotechnology|Biotech|Solutions|International|Global|Industries|Systems)\.?)\b"
 
-# --- fixed values: screener link parameter, balance fields in lookup order, order states ---
-TICKER_LINK_BODY = r"([A-Za-z][A-Za-z\.\-]{0,5})"
+# --- fixed values: screener link pattern ({param} is the parameter's name), balance fields in lookup order, order states ---
+TICKER_LINK_PATTERN = r"""[?&](?:{param})=([A-Za-z][A-Za-z\.\-]{0,5})(?=[&"'])"""
 BALANCE_FIELDS = ("buyingPower", "cashAvailableForWithdrawal", "cashBalance")
 EXPECTED_BALANCE_FIELD = "cashAvailableForWithdrawal"
 TRADE_LOG_COLUMNS = ("event", "ticker", "time", "price", "value", "reason", "headline")

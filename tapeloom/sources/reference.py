@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import Entry, Screen
-from ..constants import BALANCE_FIELDS, EXPECTED_BALANCE_FIELD, TICKER_LINK_BODY
+from ..constants import BALANCE_FIELDS, EXPECTED_BALANCE_FIELD, TICKER_LINK_PATTERN
 from ..functions.text import share_count
 
 
 def _links(pages: DataFrame, param: str) -> DataFrame:
-    pattern = rf"[?&](?:{param})=" + TICKER_LINK_BODY + r"""(?=[&"'])"""
+    pattern = TICKER_LINK_PATTERN.replace("{param}", param)
     return pages.withColumn("_found", F.regexp_extract_all("html", F.lit(pattern), F.lit(1)))
 
 
