@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,9 +34,12 @@ def build(app: str = "tapeloom", master: str | None = None, **conf: str) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a local one is made only where the session names none."""
+    """The folder all executors see. One is made only where driver and executors are one local process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
