@@ -40,8 +40,7 @@ def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], *,
 
 
 def range_join(points: DataFrame, spans: DataFrame, low: Column, high: Column, *,
-               point_ts: str = "ts", keys: tuple[str, ...] = ("ticker",), width_sec: int,
-               how: str = "inner") -> DataFrame:
+               point_ts: str = "ts", keys: tuple[str, ...] = ("ticker",), width_sec: int) -> DataFrame:
     """Points with ``low <= ts <= high``, matched on (key, time bucket) so that a pair is only tried
     where the point's bucket meets the span. Point columns must not clash with span columns."""
     scale = F.lit(float(width_sec * 1_000_000))
@@ -50,7 +49,7 @@ def range_join(points: DataFrame, spans: DataFrame, low: Column, high: Column, *
     q = spans.withColumn("_low", low).withColumn("_high", high).withColumn(
         "_bucket", F.explode(F.sequence(first, last)))
     p = p.withColumnRenamed(point_ts, "_pt")
-    joined = q.join(p, [*keys, "_bucket"], how).filter(
+    joined = q.join(p, [*keys, "_bucket"]).filter(
         (F.col("_pt") >= F.col("_low")) & (F.col("_pt") <= F.col("_high")))
     return joined.drop("_bucket", "_low", "_high").withColumnRenamed("_pt", f"point_{point_ts}")
 

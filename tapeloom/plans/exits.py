@@ -12,13 +12,18 @@ from ..session import materialise
 
 
 def peak_pnl(bars: DataFrame, positions: DataFrame, s: Series = Series()) -> DataFrame:
-    """Bars since entry with the running peak close (never under the entry price) and percent P&L.
+    """Bars of every position's life with its running peak close (never under the entry price) and percent P&L.
 
-    ``positions`` holds at most one open position per key, so bars join it by key alone.
+    A key holds one position at a time: a position lives until its ``exit_time``, where ``positions`` has
+    that column, and no longer than to the next entry of its key. So every bar belongs to one position.
     """
-    held = bars.join(positions.select(*s.keys, "entry_time", "entry_price"), list(s.keys)) \
-        .filter(F.col(s.order[0]) >= F.col("entry_time"))
-    rows = uncut(running(held, s, [Running("_peak", "max", F.col("close"))]))
+    at, lives = s.order[0], ["entry_time", "entry_price", *[c for c in positions.columns if c == "exit_time"]]
+    held = asof_join(bars, positions.select(*s.keys, *lives), lives, keys=s.keys, left_ts=at, right_ts="entry_time", width_sec=s.width_sec)
+    held = held.filter(F.col("entry_time").isNotNull())
+    if "exit_time" in lives:
+        held = held.filter(F.col("exit_time").isNull() | (F.col(at) <= F.col("exit_time"))).drop("exit_time")
+    each = Series(keys=(*s.keys, "entry_time"), order=s.order, width_sec=s.width_sec)
+    rows = uncut(running(held, each, [Running("_peak", "max", F.col("close"))]))
     return (rows.withColumn("peak_price", F.greatest("entry_price", "_peak")).drop("_peak")
             .withColumn("pnl_pct", pnl_pct(F.col("close"), F.col("entry_price"))))
 

@@ -46,30 +46,40 @@ def trailing_vwap(events: DataFrame, bars: DataFrame, *, ts: str = "ts", window_
     """VWAP of the bars in [ts - window, ts] per event, null without volume.
 
     Pieces are as wide as the window, so a window is the head of its own piece plus the tail of the piece
-    before it: sums inside pieces suffice, and nothing is summed over the whole series.
+    before it. Both are sums from one end of a piece; nothing is subtracted, so a window without volume
+    has a sum of exactly 0.
     """
     s = Series(width_sec=window_sec)
-    head = Window.partitionBy(*s.group).orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
+    piece = Window.partitionBy(*s.group).orderBy(*s.order)
+    head, tail = piece.rowsBetween(Window.unboundedPreceding, 0), piece.rowsBetween(0, Window.unboundedFollowing)
     rows = s.cut(bars.select("ticker", "ts", (F.col("close") * F.col("volume")).alias("_pv"), "volume"))
-    sums = rows.select("ticker", "ts", "_piece", F.sum("_pv").over(head).alias("_n"), F.sum("volume").over(head).alias("_v"))
-    totals = rows.groupBy(*s.group).agg(F.sum("_pv").alias("_tn"), F.sum("volume").alias("_tv")) \
-        .withColumn("_piece", F.col("_piece") + 1)
+    sums = rows.select("ticker", "ts", "_piece", F.sum("_pv").over(head).alias("_hn"), F.sum("volume").over(head).alias("_hv"),
+                       F.sum("_pv").over(tail).alias("_tn"), F.sum("volume").over(tail).alias("_tv"))
     here, there = ["_p1", "_n1", "_v1"], ["_p0", "_n0", "_v0"]
-    name = lambda cols: sums.select("ticker", "ts", *[F.col(c).alias(n) for c, n in zip(("_piece", "_n", "_v"), cols)])
-    out = asof_join(events, name(here), here, left_ts=ts, width_sec=window_sec)
+    name = lambda side, cols: sums.select("ticker", "ts", *[
+        F.col(c).alias(n) for c, n in zip(("_piece", f"_{side}n", f"_{side}v"), cols)])
+    out = asof_join(events, name("h", here), here, left_ts=ts, width_sec=window_sec)
     out = out.withColumn("_from", F.col(ts) - F.expr(f"INTERVAL {window_sec} SECONDS"))
-    out = asof_join(out, name(there), there, left_ts="_from", width_sec=window_sec, strict=True)
-    out = out.withColumn("_piece", s.piece_of(F.col(ts))).join(totals, ["ticker", "_piece"], "left")
+    out = asof_join(out, name("t", there), there, left_ts="_from", width_sec=window_sec, forward=True)
+    out = out.withColumn("_piece", s.piece_of(F.col(ts)))
 
     def sum_of(kind: str) -> Column:
-        head_part = F.when(F.col("_p1") == F.col("_piece"), F.col(f"_{kind}1"))
-        cut = F.when(F.col("_p0") == F.col("_piece") - 1, F.col(f"_{kind}0"))
-        zero = F.lit(0.0)
-        return F.coalesce(head_part, zero) + F.coalesce(F.col(f"_t{kind}"), zero) - F.coalesce(cut, zero)
+        own = F.when(F.col("_p1") == F.col("_piece"), F.col(f"_{kind}1"))
+        before = F.when(F.col("_p0") == F.col("_piece") - 1, F.col(f"_{kind}0"))
+        return F.coalesce(own, F.lit(0.0)) + F.coalesce(before, F.lit(0.0))
 
     out = out.withColumn("_num", sum_of("n")).withColumn("_den", sum_of("v"))
     return out.withColumn("vwap", F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))).drop(
-        "_piece", "_from", "_num", "_den", "_tn", "_tv", *here, *there)
+        "_piece", "_from", "_num", "_den", *here, *there)
+
+
+def under_ceiling(price: Column, is_fda: Column, cfg: Entry = Entry()) -> Column:
+    return is_fda | (price <= cfg.price_ceiling)
+
+
+def over_vwap(price: Column, vwap: Column, is_fda: Column) -> Column:
+    """Above the VWAP; passes where either is missing."""
+    return is_fda | F.coalesce(price > vwap, F.lit(True))
 
 
 def entry_price(signals: DataFrame, quotes: DataFrame, bars: DataFrame, *, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -97,8 +107,8 @@ def entry_gates(signals: DataFrame, quotes: DataFrame, bars: DataFrame, held: Da
     outcome = (F.when(F.col("is_open"), "SKIP_OPEN_POSITION")
                .when(normal & ~Q.is_liquid(F.col("bid"), F.col("ask"), cfg), "GATE_LIQUIDITY")
                .when(F.col("price").isNull(), "ABORT_NO_PRICE")
-               .when(normal & (F.col("price") > cfg.price_ceiling), "ABORT_PRICE_CEILING")
-               .when(normal & ~F.coalesce(F.col("price") > F.col("vwap"), F.lit(True)), "ABORT_VWAP")
+               .when(~under_ceiling(F.col("price"), F.col("is_fda"), cfg), "ABORT_PRICE_CEILING")
+               .when(~over_vwap(F.col("price"), F.col("vwap"), F.col("is_fda")), "ABORT_VWAP")
                .when(F.col("quantity") < 1, "ABORT_NO_SHARE").otherwise("ENTER"))
     return (rows.withColumn("outcome", outcome)
             .withColumn("pre_session", is_pre_session(F.col("ts"), cfg.pre_session_end_sec)).drop("remaining", "is_open"))
@@ -125,37 +135,27 @@ FOREVER = "9999-12-31"
 
 
 def single_position(signals: DataFrame, *, run: str = "run", seq: str = "seq", start: str = "entry_time",
-                    end: str = "exit_time", width_sec: int = 86_400, max_fold: int = 65_536) -> DataFrame:
-    """Accept signals of a run in time order while no accepted position is open (flag ``accepted``).
+                    end: str = "exit_time", width_sec: int = 86_400) -> DataFrame:
+    """Accept signals of a run in order of (start, seq) while no accepted position is open (flag ``accepted``).
 
     A signal that starts after everything before it has ended is always accepted, whatever was accepted
-    before. Runs are cut there into independent islands. Small islands are decided by one fold over their
-    sorted rows; islands above ``max_fold`` rows by pointer jumping over joins.
+    before. Runs are cut there into independent islands. Inside an island the accepted positions are the
+    chain "first signal at or after my end", followed by doubling the jump length, so that no island ever
+    lies in one group.
     """
     rows = signals.withColumn("_end", F.coalesce(F.col(end), F.lit(FOREVER).cast("timestamp")))
     s = Series(keys=(run,), order=(start, seq), width_sec=width_sec)
     rows = running(rows, s, [Running("_busy", "max", F.col("_end"), inclusive=False)])
     fresh = F.when(F.col("_busy").isNull() | (F.col(start) >= F.col("_busy")), 1).otherwise(0)
     rows = running(rows.withColumn("_new", fresh), s, [Running("_island", "sum", F.col("_new"))])
-    slim = uncut(rows).select(run, "_island", seq, F.col(start).alias("_start"), "_end")
-    sizes = slim.groupBy(run, "_island").agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.filter(F.col("_size") > max_fold).select(run, "_island")
-    has_large = large.limit(1).count() > 0
-    small = slim.join(large, [run, "_island"], "left_anti") if has_large else slim
-    folded = small.groupBy(run, "_island").agg(F.array_sort(F.collect_list(
-        F.struct("_start", F.col(seq).alias("_seq"), "_end"))).alias("_rows"))
-    step = ("aggregate(_rows, struct(cast(null AS timestamp) AS busy, array() AS won), (a, r) -> "
-            "CASE WHEN a.busy IS NULL OR r._start >= a.busy THEN struct(r._end AS busy, array_append(a.won, r._seq) AS won) "
-            "ELSE a END, a -> a.won)").replace("array() AS won", "cast(array() AS array<bigint>) AS won")
-    won = folded.select(run, F.explode(F.expr(step)).alias(seq))
-    if has_large:
-        won = won.unionByName(_by_jumps(slim.join(large, [run, "_island"], "left_semi"), run, seq, width_sec))
+    slim = materialise(uncut(rows).select(run, "_island", seq, F.col(start).alias("_start"), "_end"), "islands")
+    won = _chained(slim, run, seq, width_sec)
     return signals.join(won.withColumn("accepted", F.lit(True)), [run, seq], "left").withColumn(
         "accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def _by_jumps(rows: DataFrame, run: str, seq: str, width_sec: int) -> DataFrame:
-    """Acceptance along the chain "first signal at or after my end", by doubling the jump length."""
+def _chained(rows: DataFrame, run: str, seq: str, width_sec: int) -> DataFrame:
+    """Accepted (run, seq) of all islands."""
     spans = rows.filter(F.col("_end") > F.col("_start"))
     nodes = spans.withColumn("_next", F.col(seq))
     jumps = materialise(asof_join(
@@ -164,16 +164,20 @@ def _by_jumps(rows: DataFrame, run: str, seq: str, width_sec: int) -> DataFrame:
         .select(run, "_island", seq, "_start", "_next"), "jumps")
     reached = jumps.groupBy(run, "_island").agg(F.min_by(seq, F.struct("_start", seq)).alias(seq))
     hops = jumps.filter(F.col("_next").isNotNull()).select(run, seq, F.col("_next"))
-    while hops.limit(1).count():
+    while not hops.isEmpty():
         ahead = reached.join(hops, [run, seq]).select(run, "_island", F.col("_next").alias(seq))
         reached = materialise(reached.unionByName(ahead).distinct(), "reached")
         second = hops.select(run, F.col(seq).alias("_next"), F.col("_next").alias("_far"))
         hops = materialise(hops.join(second, [run, "_next"]).select(run, seq, F.col("_far").alias("_next")), "hops")
-    won = spans.join(reached.select(run, seq), [run, seq], "left_semi")
-    # a position that ends as it starts never blocks; it is accepted unless it falls into an accepted one
+    won = materialise(spans.join(reached.select(run, seq), [run, seq], "left_semi"), "accepted")
+    # a position that ends as it starts never blocks; it is refused inside an accepted one that comes before it
     instant = rows.filter(F.col("_end") <= F.col("_start"))
-    free = open_at(instant, won.select(run, "_start", "_end"), ts="_start", start="_start", end="_end", keys=(run,),
-                   width_sec=width_sec).filter(~F.col("is_open"))
+    later = won.withColumn("_start", F.timestamp_micros(F.unix_micros("_start") + 1))
+    inside = open_at(instant, later.select(run, "_start", "_end"), ts="_start", start="_start", end="_end", keys=(run,),
+                     width_sec=width_sec)
+    same = won.select(run, "_start", F.col(seq).alias("_first"))
+    free = (inside.filter(~F.col("is_open")).join(same, [run, "_start"], "left")
+            .filter(F.col("_first").isNull() | (F.col("_first") > F.col(seq))))
     return won.select(run, seq).unionByName(free.select(run, seq))
 
 

@@ -5,7 +5,6 @@ import glob
 import random
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.config import Confirm
@@ -31,8 +30,7 @@ def test_slot_allocation(spark):
         left[run] = pool - want
 
 
-@pytest.mark.parametrize("max_fold", [10_000, 0])
-def test_single_position(spark, max_fold):
+def test_single_position(spark):
     rng = random.Random(9)
     rows = []
     for run in ("x", "y"):
@@ -40,10 +38,15 @@ def test_single_position(spark, max_fold):
             start = T0 + timedelta(minutes=rng.randrange(0, 4000))
             hold = rng.choice([0, 5, 30, 90, 400])
             rows.append((run, len(rows), start, start + timedelta(minutes=hold)))
+    for i, (a, b) in enumerate(((0, 10), (5, 100), (10, 10), (10, 20), (10, 10), (20, 20), (20, 25), (20, 20), (22, 22), (25, 25))):
+        rows.append(("r", len(rows), T0 + timedelta(minutes=a), T0 + timedelta(minutes=b)))
+    for i in range(400):  # many ties of positions that end as they start with longer ones
+        start = T0 + timedelta(minutes=rng.randrange(0, 60))
+        rows.append(("t", len(rows), start, start + timedelta(minutes=rng.choice([0, 0, 1, 3]))))
     rows.append(("z", len(rows), T0, None))
     rows.append(("z", len(rows), T0 + timedelta(days=3), None))
     df = spark.createDataFrame(rows, "run string, seq long, entry_time timestamp, exit_time timestamp")
-    got = {r["seq"]: r["accepted"] for r in P.single_position(df, max_fold=max_fold, width_sec=20_000).collect()}
+    got = {r["seq"]: r["accepted"] for r in P.single_position(df, width_sec=20_000).collect()}
     busy = {}
     for run, seq, start, end in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         ok = busy.get(run) is None or start >= busy[run]
