@@ -110,18 +110,16 @@ def agg_entry_stop(spark, sf):
     return B.stop_per_ticker(V.bars_calm(spark, sf), S)
 
 
-@query("win_peak_pnl", with_views("positions bars_calm", """SELECT p.ticker, entry_time, ts,
-    greatest(entry_price, max(close) OVER (PARTITION BY p.ticker, entry_time ORDER BY ts)) AS peak_price,
+@query("win_peak_pnl", with_views("positions bars_calm", """SELECT ticker, entry_time, ts,
+    greatest(entry_price, max(close) OVER (PARTITION BY ticker, entry_time ORDER BY ts)) AS peak_price,
     (close - entry_price) / entry_price * 100 AS pnl_pct
-    FROM (SELECT ticker, max(entry_time) AS entry_time, max_by(entry_price, entry_time) AS entry_price
-          FROM positions GROUP BY ticker) p JOIN bars_calm b ON b.ticker = p.ticker AND b.ts >= p.entry_time"""),
+    FROM (SELECT b.*, p.entry_time, p.entry_price FROM bars_calm b ASOF JOIN positions p ON b.ticker = p.ticker AND b.ts >= p.entry_time)"""),
        stamps="entry_time ts", doubles="peak_price pnl_pct")
 def win_peak_pnl(spark, sf):
     from tapeloom.plans.exits import peak_pnl
     bars = V.stored(V.bars_calm(spark, sf), "bars")
-    last = V.positions(spark, sf, bars).groupBy("ticker").agg(
-        F.max("entry_time").alias("entry_time"), F.max_by("entry_price", "entry_time").alias("entry_price"))
-    return peak_pnl(bars, last, S).select("ticker", "entry_time", "ts", "peak_price", "pnl_pct")
+    positions = V.positions(spark, sf, bars).select("ticker", "entry_time", "entry_price")
+    return peak_pnl(bars, positions, S).select("ticker", "entry_time", "ts", "peak_price", "pnl_pct")
 
 
 @query("top_tail_n", with_views("bars_calm", """SELECT ticker, ts, open, high, low, close, volume FROM t

@@ -225,7 +225,7 @@ def flt_ticker_relevance(spark, sf):
 @query("prj_news_normalize", r"""SELECT id, headline, md5(full_text) AS summary_md5, length(full_text) AS summary_chars FROM (
     SELECT page_id AS id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'),
       '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS headline,
-    trim(url || chr(10) || chr(10) || trim(substr(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 4000), ' '), ' ') AS full_text FROM pages)""")
+    trim(url || chr(10) || chr(10) || trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS full_text FROM pages)""")
 def prj_news_normalize(spark, sf):
     p = V.table(spark, sf, "pages").select(
         F.col("page_id").alias("id"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("headline"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from tapeloom.config import Entry
 from tapeloom.functions import scores as C
 from tapeloom.operators import news as N, quotes as P, trades as T
 from tapeloom.plans import exits as X, portfolio as B, signals as G, sizing
@@ -133,6 +136,14 @@ def pipe_bullish_tier(spark, sf):
     return _bullish(spark, sf).select("id", "ticker", "ts")
 
 
+@query("join_recent_bullish", with_views("quotes adv news_tickers verdicts_raw quote_signals", """SELECT signal_id, ticker, CASE WHEN bullish_ts >= ts - INTERVAL 18 DAY
+    THEN CAST(epoch_us(bullish_ts) AS DOUBLE) END AS bullish_ts FROM (SELECT s.signal_id, s.ticker, s.ts, n.ts AS bullish_ts FROM quote_signals s
+    ASOF LEFT JOIN bullish n ON s.ticker = n.ticker AND s.ts >= n.ts)""", **TIERS))
+def join_recent_bullish(spark, sf):
+    tier = _bullish(spark, sf, *_feeds(spark, sf)).select("ticker", "ts")
+    return T.recent_bullish(V.quote_signals(spark, sf), tier).select("signal_id", "ticker", micros("bullish_ts"))
+
+
 BREAKS = """SELECT * FROM (SELECT b.*, n.ts AS bullish_ts FROM (SELECT * FROM (SELECT *, max(last) OVER (PARTITION BY ticker ORDER BY ts
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_high FROM tier WHERE last <> 0) WHERE last > prior_high) b
     ASOF LEFT JOIN bullish n ON b.ticker = n.ticker AND b.ts >= n.ts) WHERE bullish_ts >= ts - INTERVAL 18 DAY"""
@@ -236,14 +247,15 @@ def prj_entry_price(spark, sf):
     ASOF JOIN quotes q ON s.ticker = q.ticker AND s.ts >= q.ts WHERE is_fda OR last <= 60""", ), doubles="price")
 def flt_price_ceiling(spark, sf):
     rows = T.asof_quote(V.quote_signals(spark, sf), V.quotes(spark, sf), ["last"], tie=["event_id"])
-    return rows.filter(F.col("is_fda") | (F.col("last") <= 60.0)).select("signal_id", F.col("last").alias("price"))
+    kept = B.under_ceiling(F.col("last"), F.col("is_fda"), replace(Entry(), price_ceiling=60.0))
+    return rows.filter(kept).select("signal_id", F.col("last").alias("price"))
 
 
 @query("flt_vwap_gate", with_views(ENTRY_VIEWS, "SELECT signal_id, price, vwap FROM sized WHERE is_fda OR coalesce(price > vwap, true)", **ENTRY), doubles="price vwap")
 def flt_vwap_gate(spark, sf):
     rows = B.entry_price(V.quote_signals(spark, sf), V.quotes(spark, sf), V.quote_bars(spark, sf), tie=("event_id",))
     rows = B.trailing_vwap(rows, V.quote_bars(spark, sf))
-    return rows.filter(F.col("is_fda") | F.coalesce(F.col("price") > F.col("vwap"), F.lit(True))).select("signal_id", "price", "vwap")
+    return rows.filter(B.over_vwap(F.col("price"), F.col("vwap"), F.col("is_fda"))).select("signal_id", "price", "vwap")
 
 
 @query("prj_slot_request", "SELECT o_orderkey AS seq, CAST(greatest(1, least(10, coalesce(nullif(o_orderkey % 15, 0), 1))) AS INTEGER) AS slots FROM orders")
@@ -259,10 +271,8 @@ def prj_slot_request(spark, sf):
 def prj_limit_ladder(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("ref_price"))
     buy = B.limit_ladder(o).withColumnRenamed("limit_price", "buy_limit")
-    sell = (1 - (F.lit(0.01) + F.lit(0.01) * (F.col("attempt") - 1))) * F.col("ref_price")
-    from tapeloom.functions.rounding import round_exact
-    rows = buy.withColumn("_s", sell)
-    return rows.select("seq", "attempt", "buy_limit", round_exact(F.col("_s"), 2).alias("sell_limit"))
+    sell = B.limit_ladder(o, side="SELL").select("seq", "attempt", F.col("limit_price").alias("sell_limit"))
+    return buy.join(sell, ["seq", "attempt"]).select("seq", "attempt", "buy_limit", "sell_limit")
 
 
 SHARE = """SELECT seq, slots_used, CAST(round((slots_used * 50000e0 - (slots_used * 50000e0) % price) / price) AS BIGINT) AS quantity FROM (

@@ -219,15 +219,6 @@ def join_prenews_bars(spark, sf):
         "id", "ticker", "bar_ts", "bar_close", "bar_volume")
 
 
-@query("join_recent_bullish", with_views("quote_signals news_tickers", """SELECT signal_id, ticker, CASE WHEN bullish_ts >= ts - INTERVAL 2 DAY
-    THEN CAST(epoch_us(bullish_ts) AS DOUBLE) END AS bullish_ts FROM (SELECT s.signal_id, s.ticker, s.ts, n.created_at AS bullish_ts FROM quote_signals s
-    ASOF LEFT JOIN (SELECT ticker, created_at FROM news_tickers WHERE num_symbols = 4) n
-    ON s.ticker = n.ticker AND s.ts >= n.created_at)"""))
-def join_recent_bullish(spark, sf):
-    n = V.news_once(spark, sf).filter(F.size("symbols") == 4).select(F.explode("symbols").alias("ticker"), F.col("created_at").alias("ts"))
-    return T.recent_bullish(V.quote_signals(spark, sf), n, days=2).select("signal_id", "ticker", micros("bullish_ts"))
-
-
 @query("join_fundamentals_ttl", with_views("quotes fundamentals_snapshots", """SELECT q.event_id, CASE WHEN epoch_us(q.ts) - epoch_us(f.fetched_at) < 3600000000
     THEN f.float_shares END AS float_shares FROM quotes q ASOF LEFT JOIN fundamentals_snapshots f
     ON q.ticker = f.ticker AND q.ts >= f.fetched_at"""), doubles="float_shares")

@@ -76,16 +76,12 @@ def st_halt_reopen(spark, sf):
 
 
 @query("st_tick_window", with_views("quotes adv quote_signals", """SELECT signal_id, ticker, passed, up_volume, down_volume, polls_ok, polls_failed
-    FROM confirmed WHERE passed OR ts + INTERVAL 21600 SECOND < (SELECT max(ts) FROM events) - INTERVAL 21660 SECOND""", **QQ.CONFIRM), doubles="up_volume down_volume")
+    FROM confirmed""", **QQ.CONFIRM), doubles="up_volume down_volume")
 def st_tick_window(spark, sf):
-    """Signals decided by early fire, or by deadline once the tape is a window past it."""
+    """All signals: decided on the stream, or, where the tape ends before the deadline, at its end."""
     signals = V.quote_signals_of(stream_of(spark, sf, "events"))
     out = drain(SQ.confirm(signals, _polls(spark, sf), V.adv(spark, sf), V.CONFIRM), "tick-window")
-    end = V.table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("_end")).withColumn("_k", F.lit(0))
-    out = out.withColumn("_k", F.lit(0)).join(end, "_k")
-    settled = F.col("decided_at") < F.col("_end") - F.expr("INTERVAL 21660 SECONDS")
-    return out.filter(F.col("passed") | settled).select(
-        "signal_id", "ticker", "passed", "up_volume", "down_volume", "polls_ok", "polls_failed")
+    return SQ.close_tape(out, V.quote_signals(spark, sf), V.quotes(spark, sf), V.adv(spark, sf), V.CONFIRM)
 
 
 @query("st_recycled_headline")

@@ -46,7 +46,6 @@ class Sentiment:
 
 @dataclass(frozen=True)
 class News:
-    content_chars: int = 4000
     similarity: float = 0.85
     history: int = 20
     fan_out: int = 3

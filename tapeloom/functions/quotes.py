@@ -10,7 +10,7 @@ from .rounding import truthy
 
 
 def is_halted(status: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(status)) == "halted", F.lit(False))
+    return F.coalesce(F.lower(F.regexp_replace(status, r"(?U)^\s+|\s+$", "")) == "halted", F.lit(False))
 
 
 def gap_pct(last: Column, previous_close: Column) -> Column:

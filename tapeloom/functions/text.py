@@ -29,7 +29,7 @@ def collapse(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (collapse(text) == "")
+    return text.isNull() | ~F.rlike(text, F.lit(UNICODE + r"\S"))
 
 
 def is_stale_recap(headline: Column) -> Column:
@@ -122,9 +122,9 @@ def strip_tags(raw: Column) -> Column:
     return collapse(F.regexp_replace(F.coalesce(raw, F.lit("")), "<[^>]+>", " "))
 
 
-def full_summary(summary: Column, content: Column, cfg: News = News()) -> Column:
-    """Summary plus the plain article text (cut at the configured length) unless already inside it."""
-    body = F.substring(strip_tags(content), 1, cfg.content_chars)
+def full_summary(summary: Column, content: Column) -> Column:
+    """Summary plus the whole plain article text unless already inside it."""
+    body = strip_tags(content)
     joined = F.regexp_replace(F.concat(summary, F.lit("\n\n"), body), UNICODE + r"^\s+|\s+$", "")
     return F.when((body == "") | F.contains(summary, body), summary).otherwise(joined)
 
@@ -178,7 +178,7 @@ def verdict_gate(fda_candidate: Column, fda: Column, recycled: Column, stale: Co
 
 def share_count(text: Column) -> Column:
     """'5.20M', '800.00K', '12.5%' to a number; blank, '-' and unparsable text to null."""
-    body = F.replace(F.trim(text), F.lit("%"), F.lit(""))
+    body = F.replace(F.regexp_replace(text, UNICODE + r"^\s+|\s+$", ""), F.lit("%"), F.lit(""))
     suffix = F.upper(F.right(body, F.lit(1)))
     scale = F.when(suffix == "K", 1e3).when(suffix == "M", 1e6).when(suffix == "B", 1e9)
     digits = F.when(scale.isNotNull(), F.expr("1")).otherwise(F.lit(0))

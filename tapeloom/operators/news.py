@@ -15,16 +15,11 @@ from .ordered import Series, core_rows, uncut, with_halo
 HEADLINES = Series(order=("created_at", "id"))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast a dictionary-like table only after counting that it stays under a bound."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def normalise(news: DataFrame, cfg: News = News()) -> DataFrame:
+def normalise(news: DataFrame) -> DataFrame:
     """Decode character references, fold the article text into the summary, default the time."""
     rows = news.withColumn("headline", X.unescape(F.coalesce("headline", F.lit("")))) \
         .withColumn("summary", X.unescape(F.coalesce("summary", F.lit(""))))
-    return (rows.withColumn("summary", X.full_summary(F.col("summary"), F.col("content"), cfg))
+    return (rows.withColumn("summary", X.full_summary(F.col("summary"), F.col("content")))
             .withColumn("created_at", F.coalesce("created_at", F.current_timestamp())).drop("content"))
 
 
@@ -84,7 +79,7 @@ def lexicon_scores(texts: DataFrame, lexicon: DataFrame, keys: tuple[str, ...],
     names columns (fixed per key) to keep, so that the texts themselves need no shuffle or join.
     """
     tokens = texts.select(*keys, *carry, F.explode_outer(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    hits = tokens.join(bounded_broadcast(lexicon), "word", "left")
+    hits = tokens.join(lexicon, "word", "left")
     sums = hits.groupBy(*keys).agg(
         F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_s"),
         F.count(F.when(F.col("is_pos"), 1)).alias("pos_words"),

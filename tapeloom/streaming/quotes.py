@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Confirm, Scan
 from ..functions import quotes as Q
-from ..operators.quotes import gap_rvol_tier
+from ..operators.quotes import confirm_volume, gap_rvol_tier
 
 
 def session_highs(polls: DataFrame, poll_id: str = "event_id") -> DataFrame:
@@ -73,6 +73,15 @@ _STATE = ("deadline long, base double, top double, prev double, up double, down
           "seen boolean, done boolean")
 
 
+def close_tape(decided: DataFrame, signals: DataFrame, polls: DataFrame, adv: DataFrame, cfg: Confirm = Confirm(), *,
+               poll_id: str = "event_id") -> DataFrame:
+    """Decisions of the stream and, for signals whose window was still open when it ended, of the batch operator."""
+    columns = ["signal_id", "ticker", "passed", "up_volume", "down_volume", "polls_ok", "polls_failed"]
+    still = signals.join(decided.select("signal_id"), "signal_id", "left_anti")
+    closed = confirm_volume(still, polls, adv, signal_id="signal_id", cfg=cfg, tie=(poll_id,))
+    return decided.select(*columns).unionByName(closed.select(*columns))
+
+
 def confirm(signals: DataFrame, polls: DataFrame, adv: DataFrame, cfg: Confirm = Confirm(), *,
             poll_id: str = "event_id", delay: str = "1 minute") -> DataFrame:
     """Per-signal window over the poll stream: early fire, else a decision once event time passes the deadline.

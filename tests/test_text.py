@@ -49,7 +49,7 @@ def test_html_and_summary(spark):
     df = spark.createDataFrame([("sum", "<p>Hello  <b>you</b></p>"), ("Hello you too", "<p>Hello you</p>"), ("s", ""), ("s", "z" * 5000)],
                                "s string, c string")
     got = [r[0] for r in df.select(X.full_summary(F.col("s"), F.col("c"))).collect()]
-    assert got == ["sum\n\nHello you", "Hello you too", "s", "s\n\n" + "z" * 4000]
+    assert got == ["sum\n\nHello you", "Hello you too", "s", "s\n\n" + "z" * 5000]
 
 
 def test_verdict_truthiness(spark):
