@@ -34,8 +34,7 @@ def snapshot(watchlist: DataFrame, acked: DataFrame, positions: DataFrame, news:
     parts = [watchlist.agg(F.count(F.lit(1)).alias("watchlist")), acked.agg(F.count(F.lit(1)).alias("acked")),
              missing.agg(F.count(F.lit(1)).alias("unconfirmed")), first,
              held.agg(F.count(F.lit(1)).alias("open_positions")), latest]
-    keyed = [p.withColumn("_k", F.lit(0)) for p in parts]
-    row = reduce(lambda a, b: a.join(b, "_k"), keyed).drop("_k")
+    row = parts[0].withColumns({p.columns[0]: p.scalar() for p in parts[1:]})
     since = (F.unix_micros(now) - F.unix_micros("_news")) / F.lit(1e6)
     return (row.withColumn("seconds_since_news", since).drop("_news")
             .withColumn("is_paused", F.col("open_positions") > 0))

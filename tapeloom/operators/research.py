@@ -107,10 +107,10 @@ def temporal_split(rows: DataFrame, order: tuple[str, ...], width_sec: int = 60,
     counts per time piece give the offsets, rows are only ranked inside their piece."""
     s = Series(keys=(), order=order, width_sec=width_sec)
     ranked = uncut(running(rows, s, [Running("_rank", "count", F.lit(1), inclusive=False)]))
-    total = rows.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
-    placed = ranked.withColumn("_k", F.lit(0)).join(total, "_k").withColumn("_at", F.col("_rank") / F.col("_n"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    placed = ranked.withColumn("_at", F.col("_rank") / total)
     label = F.when(F.col("_at") < cuts[0], "train").when(F.col("_at") < cuts[1], "validation").otherwise("test")
-    return placed.withColumn("split", label).drop("_k", "_n", "_rank", "_at")
+    return placed.withColumn("split", label).drop("_rank", "_at")
 
 
 def parameter_sweep(trades: DataFrame, feature: str, thresholds: Sequence[float]) -> DataFrame:
@@ -127,15 +127,15 @@ def parameter_sweep(trades: DataFrame, feature: str, thresholds: Sequence[float]
         F.max(F.when(F.col("split") == name, F.col("mean_pnl"))).alias(f"{name}_pnl") for name in ("train", "validation", "test")],
         F.sum("trades").alias("trades"))
     best = by.agg(F.max_by("threshold", F.when(F.col("validation_pnl").isNotNull(), F.struct("validation_pnl", "threshold")))
-                  .alias("_best")).withColumn("_k", F.lit(0))
-    out = by.withColumn("_k", F.lit(0)).join(best, "_k").withColumn("is_best", F.col("threshold") == F.col("_best"))
+                  .alias("_best"))
+    out = by.withColumn("is_best", F.col("threshold") == best.scalar())
     # the test score is only reported for the chosen threshold
-    return out.withColumn("test_pnl", F.when(F.col("is_best"), F.col("test_pnl"))).drop("_k", "_best")
+    return out.withColumn("test_pnl", F.when(F.col("is_best"), F.col("test_pnl")))
 
 
 def winner_concentration(trades: DataFrame, k: int = 10, *, pnl: str = "pnl_usd") -> DataFrame:
     """Share of the total P&L that the k best trades make."""
-    top = trades.orderBy(F.desc(pnl)).limit(k).agg(F.sum(pnl).alias("top_pnl")).withColumn("_k", F.lit(0))
-    total = trades.agg(F.sum(pnl).alias("total_pnl"), F.count(pnl).alias("trades")).withColumn("_k", F.lit(0))
-    return total.join(top, "_k").drop("_k").withColumn(
+    top = trades.orderBy(F.desc(pnl)).limit(k).agg(F.sum(pnl).alias("top_pnl"))
+    total = trades.agg(F.sum(pnl).alias("total_pnl"), F.count(pnl).alias("trades"))
+    return total.withColumn("top_pnl", top.scalar()).withColumn(
         "top_share", F.when(F.col("total_pnl") != 0, F.col("top_pnl") / F.col("total_pnl")))

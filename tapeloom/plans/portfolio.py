@@ -121,6 +121,8 @@ def allocate_slots(signals: DataFrame, cfg: Entry = Entry(), sizing: Sizing = Si
     Every request takes at least one slot, so only the first ``pool`` signals of a run can get any. They are
     ranked with a per-task limit; all later signals of a hot run never meet in one task.
     """
+    if sizing.min_slots < 1:
+        raise ValueError("every request must take a slot at least")
     need = F.when(F.col("is_fda"), F.lit(cfg.pool)).otherwise(slot_request(F.col("request"), sizing))
     rows = signals.withColumn("requested", need)
     in_run = Window.partitionBy(run).orderBy(*order)

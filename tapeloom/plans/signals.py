@@ -72,7 +72,10 @@ def news_signals(news: DataFrame, watchlist: DataFrame, verdicts: DataFrame, lex
     """
     first = feed.first_of_each(news)
     tagged = N.relevant(N.tag_watchlist(first, watchlist), cfg.news)
-    tone = N.sentiment_gate(first, lexicon, cfg.sentiment)
+    # the tone decides only what the verdict leaves open; no other text is read word by word
+    v = F.col("verdict")
+    open_ids = verdicts.filter(v.isNotNull() & (v["catalyst"] == "positive") & ~v["is_secondhand"] & (v["confidence"] != "high")).select("id")
+    tone = N.sentiment_gate(first.join(open_ids, "id", "left_semi"), lexicon, cfg.sentiment)
     decided = N.decide(tagged, verdicts, tone, cfg=cfg.news, check_recycled=check_recycled)
     decided = decided.withColumn("signal_id", F.concat_ws("|", "id", "ticker")).withColumn("ts", F.col("created_at"))
     # few articles survive the gates and are read several times below: store them once
