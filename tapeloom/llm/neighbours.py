@@ -86,9 +86,9 @@ def _near_in_leaf(degree: int):
 
 
 def nearest_of(pairs: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` best neighbours ``b`` of each ``a``; pairs are reduced in each task before they are shuffled."""
+    """The ``degree`` best neighbours ``b`` of each ``a``. One shuffle by ``a`` serves both steps."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
-    return (pairs.groupBy("a", "b").agg(F.max("near").alias("near")).withColumn("_r", rank)
+    return (pairs.repartition("a").groupBy("a", "b").agg(F.max("near").alias("near")).withColumn("_r", rank)
             .filter(F.col("_r") <= degree).drop("_r"))
 
 
@@ -96,7 +96,7 @@ def neighbourhoods(graph: DataFrame, codes: DataFrame, degree: int) -> DataFrame
     """For every vector those it points to and up to ``degree`` that point to it, with their codes, in arrays."""
     chosen = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))
     back = graph.withColumn("_r", chosen).filter(F.col("_r") <= degree)
-    both = graph.select("a", "b").unionByName(back.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = graph.select("a", "b").unionByName(back.select(F.col("b").alias("a"), F.col("a").alias("b")))
     worst = graph.groupBy("a").agg(F.min("near").alias("worst"), F.count("*").alias("n"))
     known = codes.select("node", "code", "factor").join(worst, codes["node"] == worst["a"], "left").select(
         F.col("node").alias("b"), "code", "factor",
@@ -114,14 +114,16 @@ def _offers(most: int):
             for b, code, factor, worst in zip(batch["b"], batch["code"], batch["factor"], batch["worst"], strict=True):
                 if len(b) < 2:
                     continue
-                x = large(list(code), factor)
+                b, first = np.unique(np.asarray(b), return_index=True)  # some point to it and are pointed to
+                x, worst = large([code[i] for i in first], np.asarray(factor)[first]), np.asarray(worst)[first]
                 near = x @ x.T
                 np.fill_diagonal(near, -np.inf)
                 k = min(most, len(b) - 1)
+                if k < 1:
+                    continue
                 at = np.argpartition(-near, k - 1, axis=1)[:, :k]
                 best = np.take_along_axis(near, at, 1)
                 i, j = np.nonzero(best > np.asarray(worst, np.float32)[:, None])
-                b = np.asarray(b)
                 out.append((b[i], b[at[i, j]], best[i, j]))
             if out:
                 a, b, near = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -176,7 +178,8 @@ def _expanded(beam: int):
             for q, code, factor, b, codes, factors in zip(batch["query"], batch["qcode"], batch["qfactor"], batch["b"], batch["code"],
                                                           batch["factor"], strict=True):
                 near = large(list(codes), factors) @ large([code], [factor])[0]
-                best = np.argsort(-near)[:beam]
+                first = np.unique(np.asarray(b), return_index=True)[1]
+                best = first[np.argsort(-near[first])[:beam]]
                 out.append((q, np.asarray(b)[best], near[best]))
             yield pd.DataFrame(out, columns=["query", "nodes", "near"])
 
