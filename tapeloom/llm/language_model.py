@@ -114,13 +114,29 @@ def _asked(buckets: int):
     return run
 
 
+#: Counts travel as four bytes; those that need more travel beside them.
+MOST = 2**31 - 1
+
+
+def _counts(answers: pd.DataFrame) -> np.ndarray:
+    """Counts of all buckets in order."""
+    parts = [np.zeros(0, np.int64)]
+    for counts, over in zip(answers["counts"], answers["over"], strict=True):
+        parts.append(np.array(counts, np.int64))
+        for one in over:
+            parts[-1][one["at"]] = one["count"]
+    return np.concatenate(parts)
+
+
 def _answered(frame: pd.DataFrame) -> pd.DataFrame:
     """Counts over all chunks for every n-gram asked for, in the order asked; and totals of the bucket."""
     sizes = [len(g) for g in frame["grams"]]
     grams, which = np.unique(np.concatenate(frame["grams"].tolist()), return_inverse=True)
     total = np.bincount(which, weights=np.concatenate(frame["counts"].tolist()), minlength=len(grams)).astype(np.int64)
+    found = np.split(total[which], np.cumsum(sizes)[:-1])
     out = pd.DataFrame({"n": frame["n"], "bucket": frame["bucket"], "chunk": frame["chunk"],
-                        "counts": np.split(total[which], np.cumsum(sizes)[:-1])})
+                        "counts": [np.minimum(x, MOST).astype(np.int32) for x in found],
+                        "over": [[(int(i), int(x[i])) for i in np.flatnonzero(x >= MOST)] for x in found]})
     out[["tokens", "kinds", "once", "twice"]] = 0
     first = out.columns.get_indexer(["tokens", "kinds", "once", "twice"])
     out.iloc[0, first] = [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]
@@ -181,10 +197,10 @@ def _scored(totals: Totals, strength: float):
             return pd.DataFrame(columns=columns)
         chunk = Chunk(chunks.iloc[0])
         answers = answers.sort_values(["n", "bucket"])
-        found = [np.concatenate([np.zeros(0, np.int64), *answers.loc[answers["n"] == n, "counts"]]) for n in (1, 2)]
+        found = [_counts(answers[answers["n"] == n]) for n in (1, 2)]
         words = np.empty(chunk.begin, np.int64)
         words[chunk.word_order] = found[0]
-        model = Automaton(chunk, words, found[1].astype(np.int64), totals, strength)
+        model = Automaton(chunk, words, found[1], totals, strength)
         known, base = words > 0, np.log10((words + 1) / (totals.tokens + totals.kinds + 1))
         sizes = chunk.sizes + 1
         tokens = chunk.tokens.tolist()
@@ -223,10 +239,11 @@ def log_probabilities(articles: DataFrame, train: Column, key: str = "id", text:
     buckets = max(4, -(-tokens // smoothing.bucket_grams))
     asked = chunks.mapInPandas(_asked(buckets), "n int, bucket int, chunk string, grams array<bigint>, counts array<int>")
     answers = materialise(asked.groupBy("n", "bucket").applyInPandas(_answered, (
-        "n int, bucket int, chunk string, counts array<bigint>, tokens bigint, kinds bigint, once bigint, twice bigint")), "counts")
+        "n int, bucket int, chunk string, counts array<int>, over array<struct<at: int, count: bigint>>, "
+        "tokens bigint, kinds bigint, once bigint, twice bigint")), "counts")
     sums = answers.filter("n = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "once", "twice")]).first()
     totals = Totals(*sums, texts)
-    scored = (chunks.groupBy("chunk").cogroup(answers.select("n", "bucket", "chunk", "counts").groupBy("chunk"))
+    scored = (chunks.groupBy("chunk").cogroup(answers.select("n", "bucket", "chunk", "counts", "over").groupBy("chunk"))
               .applyInPandas(_scored(totals, smoothing.strength),
                              f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double"))
     return scored.select("id", "n_tokens", "n_known", F.lit(totals.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeloom.llm import language_model as L
@@ -52,6 +54,15 @@ def test_like_dictionaries(spark):
     checked(spark, rows, L.Smoothing(strength=50.0), parts=1)
 
 
+def test_counts_above_four_bytes():
+    frame = pd.DataFrame({"n": [2, 2], "bucket": [0, 0], "chunk": ["a", "b"], "grams": [np.array([5, 9]), np.array([5])],
+                          "counts": [np.array([2**31 - 2, 1]), np.array([7])]})
+    out = L._answered(frame)
+    assert out["counts"][0].dtype == np.int32
+    back = out.assign(over=[[{"at": a, "count": c} for a, c in x] for x in out["over"]])
+    assert L._counts(back).tolist() == [2**31 + 5, 1, 2**31 + 5]
+
+
 def test_without_training_rows_or_rows(spark):
     checked(spark, [(2, "a b"), (9, None), (16, "")], L.Smoothing())
     assert L.log_probabilities(spark.createDataFrame([], "id bigint, content string"), F.lit(True)).count() == 0
