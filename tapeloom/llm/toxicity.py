@@ -1,15 +1,19 @@
-"""Toxicity of articles from their nearest moderated examples, by exact TF-IDF cosine on a block-max index."""
+"""Toxicity of articles from their nearest moderated examples, by exact TF-IDF cosine over all terms of the examples."""
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.session import materialise
 
@@ -20,13 +24,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Votes:
-    """``rows`` and ``features`` bound the examples and the terms of the index, on the driver and in every task."""
+    """``rows`` bounds the examples, and with them the index on the driver and in every task; all their terms are in it."""
 
     rows: int = 20_000
-    features: int = 4096
     stem: int = 5             # a longer word also counts as its first letters
-    least: float = 15.0       # log-likelihood ratio from which a term tells the classes apart,
-    share: float = 0.3        # if so large a share of the examples with it are toxic
     neighbours: int = 25
     block: int = 64
     checked: int = 4000       # examples voted on by the others, for calibration
@@ -50,7 +51,7 @@ class Terms:
         self.stem, self.most, self.memo = stem, most, {}
 
     def __call__(self, content: str | None) -> tuple[np.ndarray, np.ndarray]:
-        memo, number, hits = self.memo, self.number, Counter()
+        memo, number, hits = self.memo, self.number, []
         if len(memo) > self.most:
             memo.clear()
         for w in _LETTERS.findall((content or "").lower()):
@@ -58,10 +59,20 @@ class Terms:
             if known is None:
                 pair = (number.get(w), number.get(f"{w[:self.stem]}~") if len(w) > self.stem else None)
                 known = memo[w] = tuple(x for x in pair if x is not None)
-            if known:
-                hits.update(known)
-        at = np.array(sorted(hits), np.int64)
-        return at, np.array([hits[i] for i in at.tolist()], np.float64)
+            hits += known
+        at, counts = np.unique(np.array(hits, np.int64), return_counts=True)
+        return at, counts.astype(np.float64)
+
+
+def telling(clean: np.ndarray, toxic: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
+    """Factor of every term, at least 1: the more its presence tells the classes apart, either way, the larger.
+
+    1 plus the G-square of its presence. No term is left out.
+    """
+    x = lambda n: n * np.log(np.maximum(n, 1))
+    a, b, c, d = toxic, clean, sizes[1] - toxic, sizes[0] - clean
+    g = x(a) + x(b) + x(c) + x(d) + x(np.float64(sum(sizes))) - x(a + b) - x(c + d) - x(a + c) - x(b + d)
+    return 1 + np.maximum(2 * g, 0)
 
 
 def weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -71,58 +82,66 @@ def weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of the examples by term, and the largest weight of each term in each block of examples.
+    """Postings of the examples by term; the ``dense`` most frequent terms as a matrix instead, in ``groups`` of columns.
 
-    Examples with the same main term lie side by side, so that most blocks have low bounds for most terms.
+    A cosine is at most its part from the postings plus, for each group, the product of the two lengths in it.
     """
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], features: int, block: int = 64):
-        main = [(int(at[np.argmax(w)]) if len(at) else features, i) for i, (at, w) in zip(ids, vectors, strict=True)]
-        order = sorted(range(len(ids)), key=main.__getitem__)
-        self.ids, self.labels = np.array(ids, np.int64)[order], np.array(labels, np.float64)[order]
-        self.block, self.blocks = block, -(-len(ids) // block)
-        doc = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)]).astype(np.int64)
-        w = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        by_term = np.lexsort((doc, term))
-        self.doc, self.weight, term = doc[by_term], w[by_term], term[by_term]
-        cell = term * self.blocks + self.doc // block
-        self.begin = np.searchsorted(cell, np.arange(features * self.blocks + 1)).astype(np.int32)
-        self.bound = np.zeros(features * self.blocks)
-        np.maximum.at(self.bound, cell, self.weight)
-        self.bound = self.bound.reshape(features, self.blocks)
-
-    def _scored(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks that share a term, and their exact cosines."""
-        cells = (at[:, None] * self.blocks + blocks).ravel()
-        begin, n = self.begin[cells].astype(np.int64), (self.begin[cells + 1] - self.begin[cells]).astype(np.int64)
-        places = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        shift = np.tile(np.arange(len(blocks)) * self.block, len(at)) - np.tile(blocks * self.block, len(at))
-        local = self.doc[places] + np.repeat(shift, n)
-        cos = np.bincount(local, weights=np.repeat(np.repeat(w, len(blocks)), n) * self.weight[places], minlength=len(blocks) * self.block)
-        hit = np.flatnonzero(cos)
-        return blocks[hit // self.block] * self.block + hit % self.block, cos[hit]
+    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], features: int, block: int = 64,
+                 dense: int = 128, groups: int = 4):
+        self.ids, self.labels, self.block = np.array(ids, np.int64), np.array(labels, np.float64), block
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(at) for at, _ in vectors])
+        term = np.concatenate([at for at, _ in vectors] or [np.zeros(0)]).astype(np.int32)
+        w = np.concatenate([x for _, x in vectors] or [np.zeros(0)])
+        held = np.bincount(term, minlength=features)
+        self.column = np.full(features, -1, np.int32)
+        often = np.argsort(-held, kind="stable")[:dense]
+        self.column[often] = np.arange(len(often))
+        column = self.column[term]
+        inside = column >= 0
+        self.matrix = np.zeros((len(ids), dense))
+        self.matrix[doc[inside], column[inside]] = w[inside]
+        self.groups = np.arange(0, dense, max(1, dense // groups))
+        self.lengths = np.ascontiguousarray(np.sqrt(np.add.reduceat(self.matrix**2, self.groups, axis=1)).T)
+        rest = np.flatnonzero(~inside)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.doc, self.weight = doc[rest], w[rest]
+        held[often] = 0
+        self.begin = np.concatenate([[0], np.cumsum(held)])
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, ties to smaller ids, ``but`` one id; exactly.
 
-        Blocks are scored from the highest bound down, in growing steps, until no bound reaches the k-th best
-        cosine so far.
+        Blocks of examples are scored from the highest bound down, in growing steps, until no bound reaches the
+        k-th best cosine so far.
         """
         docs, cos = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at) or not self.blocks:
+        if not len(at) or not len(self.ids):
             return docs, cos
-        bounds = w @ self.bound[at]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        done, step, floor = 0, 2, 0.0
-        while done < len(order) and bounds[order[done]] >= floor - 1e-9:
-            more, other = self._scored(at, w, order[done: done + step])
-            docs, cos = np.concatenate([docs, more]), np.concatenate([cos, other])
+        column = self.column[at]
+        often, other = column >= 0, at[column < 0]
+        asked = np.zeros(self.matrix.shape[1])
+        asked[column[often]] = w[often]
+        runs = [slice(a, b) for a, b in zip(self.begin[other].tolist(), self.begin[other + 1].tolist(), strict=True)]
+        part = np.zeros(len(self.ids))
+        if runs:
+            part += np.bincount(np.concatenate([self.doc[r] for r in runs]), minlength=len(part),
+                                weights=np.repeat(w[~often], self.begin[other + 1] - self.begin[other]) * np.concatenate([self.weight[r] for r in runs]))
+        bounds = part + np.sqrt(np.add.reduceat(asked**2, self.groups)) @ self.lengths
+        step, floor = 2 * self.block, 0.0
+        while True:
+            more = np.flatnonzero((bounds > 0) & (bounds >= floor - 1e-9))
+            if not len(more):
+                break
+            if len(more) > step:
+                more = more[np.argpartition(-bounds[more], step)[:step]]
+            exact = part[more] + self.matrix[more] @ asked
+            bounds[more] = -1
+            docs, cos = np.concatenate([docs, more[exact > 0]]), np.concatenate([cos, exact[exact > 0]])
             if len(cos) > k:
                 floor = np.partition(cos, -k - 1)[-k - 1]
                 docs, cos = docs[cos >= floor - 1e-9], cos[cos >= floor - 1e-9]
-            done, step = done + step, 2 * step
+            step *= 2
         if but is not None:
             docs, cos = docs[self.ids[docs] != but], cos[self.ids[docs] != but]
         best = np.lexsort((self.ids[docs], -np.round(cos, 12)))[:k]
@@ -158,27 +177,14 @@ class Calibration:
 
 # ---------------------------------------------------------------- Spark
 
-def _counted(stem: int):
+def _named(stem: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = [Counter(), Counter()]
-            for content, toxic in zip(batch["content"], batch["toxic"], strict=True):
-                seen[int(toxic)].update(terms(content, stem).keys())
-            names = list({*seen[0], *seen[1]})
-            yield pd.DataFrame({"term": names, "clean": [seen[0][t] for t in names], "toxic": [seen[1][t] for t in names]})
+            yield pd.DataFrame({"term": list(set().union(*(terms(t, stem) for t in batch["content"])))})
 
     return run
 
 
-def likelihood_ratio(clean: int, toxic: int) -> Column:
-    """G-square of a term's presence (columns clean, toxic) against the two classes."""
-    x = lambda n: F.when(n > 0, n * F.log(n)).otherwise(0.0)
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    c, d = F.lit(float(toxic)) - a, F.lit(float(clean)) - b
-    n = F.lit(float(clean + toxic))
-    return 2 * (x(a) + x(b) + x(c) + x(d) + x(n) - x(a + b) - x(c + d) - x(a + c) - x(b + d))
-
-
 def _held(vocabulary: list[str], stem: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, n = Terms(vocabulary, stem), np.zeros(len(vocabulary), np.int64)
@@ -191,27 +197,71 @@ def _held(vocabulary: list[str], stem: int):
     return run
 
 
-def _vectors(vocabulary: list[str], stem: int, idf: np.ndarray):
+def _vectors(vocabulary: list[str], stem: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = Terms(vocabulary, stem)
         for batch in batches:
             found = [find(t) for t in batch["content"]]
-            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "at": [x[0] for x in found],
-                                "w": [weighted(*x, idf) for x in found]})
+            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "at": [x[0].astype(np.int32) for x in found],
+                                "n": [x[1].astype(np.int32) for x in found]})
+
+    return run
+
+
+@dataclass(frozen=True)
+class Examples:
+    """The examples' terms and counts, packed for the tasks; a Python worker makes the index of it once."""
+
+    name: str
+    data: bytes
+
+    @staticmethod
+    def of(ids, labels, found: list[tuple[np.ndarray, np.ndarray]], vocabulary: list[str], idf: np.ndarray) -> Examples:
+        steps = [np.diff(at, prepend=np.int32(0)) for at, _ in found]
+        flat = [np.concatenate(x or [np.zeros(0, np.int32)]) for x in (steps, [n for _, n in found])]
+        sizes = np.array([len(at) for at, _ in found], np.int64)
+        return Examples(uuid.uuid4().hex, zlib.compress(pickle.dumps((ids, labels, sizes, *flat, "\n".join(vocabulary), idf)), 1))
+
+    def index(self, votes: Votes) -> tuple[Terms, np.ndarray, BlockMaxIndex]:
+        if self.name not in _MADE:
+            _MADE.clear()
+            ids, labels, sizes, steps, counts, words, idf = pickle.loads(zlib.decompress(self.data))
+            cuts = np.cumsum(sizes)[:-1]
+            vectors = [(at := np.cumsum(d), weighted(at, n, idf)) for d, n in zip(np.split(steps, cuts), np.split(counts, cuts), strict=True)
+                       ] if len(ids) else []
+            _MADE[self.name] = (Terms(words.split("\n") if words else [], votes.stem), idf,
+                                BlockMaxIndex(ids, labels, vectors, len(idf), votes.block))
+        return _MADE[self.name]
+
+
+_MADE: dict[str, tuple[Terms, np.ndarray, BlockMaxIndex]] = {}
+
+
+def _own(examples: Examples, some: set[int], votes: Votes):
+    """Votes of the others on some of the examples."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            find, idf, index = examples.index(votes)
+            batch = batch[batch["id"].isin(some)]
+            found = [(i, find(t)) for i, t in zip(batch["id"], batch["content"], strict=True)]
+            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"],
+                                "vote": [index.vote(at, weighted(at, n, idf), votes.neighbours, but=i)[0] for i, (at, n) in found]})
 
     return run
 
 
-def _voted(vocabulary: list[str], stem: int, idf: np.ndarray, index: BlockMaxIndex, steps: Calibration, votes: Votes):
+def _voted(examples: Examples, steps: Calibration, votes: Votes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, memo = Terms(vocabulary, stem), {}
+        memo: dict[bytes, tuple[float, np.ndarray]] = {}
         for batch in batches:
+            find, idf, index = examples.index(votes)
             if len(memo) > 50_000:
                 memo.clear()
             found = []
             for content in batch["content"]:
                 at, counts = find(content)
-                key = at.tobytes() + counts.tobytes()
+                key = hashlib.sha256(at.tobytes() + counts.tobytes()).digest()
                 if key not in memo:
                     vote, docs = index.vote(at, weighted(at, counts, idf), votes.neighbours)
                     memo[key] = steps(vote), index.ids[docs[: votes.shown]]
@@ -225,12 +275,12 @@ def toxicity(articles: DataFrame, moderated: DataFrame, key: str = "id", text: s
     """Probability that an article is toxic: (id, score, evidence), one row per input row.
 
     ``moderated`` (id, toxic 0 or 1) are the only labels used; at most ``votes.rows`` of them, taken by a hash
-    of their ids, are the examples. Terms that mark toxic examples span the space, their document
-    frequencies are counted over all articles. The nearest examples by exact cosine vote, the nearer the
+    of their ids, are the examples. All terms of the examples, of both classes, span the space, their document
+    frequencies are counted over all articles; a term weighs the more, the more it tells the classes apart. The nearest examples by exact cosine vote, the nearer the
     heavier, and the vote becomes the frequency that examples with such a vote had when the others voted
     on them. ``evidence`` names the nearest examples (ids).
 
-    Only the text makes the score. Null and empty texts and those without any such term have no neighbours:
+    Only the text makes the score. Null and empty texts and those without a term of any example have no neighbours:
     their score is the share of toxic ones among examples without neighbours. An id labelled twice is toxic
     if any label says so; equal texts are one example. Without labels every score is 0.5. Other columns are ignored; no rows give no rows.
     """
@@ -240,27 +290,25 @@ def toxicity(articles: DataFrame, moderated: DataFrame, key: str = "id", text: s
               .orderBy(F.xxhash64("id"), "id").limit(votes.rows))
     known = rows.join(F.broadcast(labels), "id").groupBy("id", "toxic").agg(F.min("content").alias("content"))
     known = materialise(known.groupBy("content").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")), "moderated")
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    ratio = likelihood_ratio(sizes.get(0, 0), sizes.get(1, 0))
-    told = (known.mapInPandas(_counted(votes.stem), "term string, clean bigint, toxic bigint")
-            .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .filter(F.col("clean") + F.col("toxic") > 1).withColumn("ratio", ratio)
-            .filter((F.col("ratio") >= votes.least) & (F.col("toxic") >= votes.share * (F.col("clean") + F.col("toxic"))))
-            .orderBy(F.desc("ratio"), "term").limit(votes.features))
-    vocabulary = [r["term"] for r in told.select("term").collect()]
+    named = known.mapInPandas(_named(votes.stem), "term string").distinct()
+    vocabulary = sorted(named.toArrow().column("term").to_pylist())
     held = rows.select("content").mapInPandas(_held(vocabulary, votes.stem), "term int, n bigint")
     frequency = np.zeros(len(vocabulary))
-    for r in held.groupBy("term").agg(F.sum("n").alias("n")).collect():
-        frequency[r["term"]] = r["n"]
+    counted = held.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     total = rows.count()
     idf = np.log((1 + total) / (1 + frequency)) + 1
     examples = (known.select("id", "toxic", "content")
-                .mapInPandas(_vectors(vocabulary, votes.stem, idf), f"id {kind}, toxic int, at array<bigint>, w array<double>")
-                .orderBy("id").collect())
-    vectors = [(np.array(r["at"], np.int64), np.array(r["w"])) for r in examples]
-    index = BlockMaxIndex([r["id"] for r in examples], [r["toxic"] for r in examples], vectors, len(vocabulary), votes.block)
-    some = examples[:: -(-len(examples) // votes.checked) or 1]
-    own = [index.vote(np.array(r["at"], np.int64), np.array(r["w"]), votes.neighbours, but=r["id"])[0] for r in some]
-    steps = Calibration(np.array(own), np.array([r["toxic"] for r in some], float))
-    return rows.mapInPandas(_voted(vocabulary, votes.stem, idf, index, steps, votes),
-                            f"id {kind}, score double, evidence array<bigint>")
+                .mapInPandas(_vectors(vocabulary, votes.stem), f"id {kind}, toxic int, at array<int>, n array<int>").toArrow())
+    ids, toxic = examples.column("id").to_numpy(), examples.column("toxic").to_numpy()
+    found = [(at.values.to_numpy(), n.values.to_numpy()) for at, n in zip(examples.column("at"), examples.column("n"), strict=True)]
+    classes = [np.bincount(np.concatenate([found[i][0] for i in np.flatnonzero(toxic == y)] or [np.zeros(0, np.int32)]),
+                           minlength=len(vocabulary)).astype(float) for y in (0, 1)]
+    idf *= telling(*classes, (int((toxic == 0).sum()), int((toxic == 1).sum())))
+    shipped = Examples.of(ids, toxic, found, vocabulary, idf)
+    some = set(np.sort(ids)[:: -(-len(ids) // votes.checked) or 1].tolist())
+    del examples, found
+    own = (known.select("id", "toxic", "content").mapInPandas(_own(shipped, some, votes), f"id {kind}, toxic int, vote double")
+           .toArrow().to_pandas().sort_values("id"))
+    steps = Calibration(own["vote"].to_numpy(float), own["toxic"].to_numpy(float))
+    return rows.mapInPandas(_voted(shipped, steps, votes), f"id {kind}, score double, evidence array<bigint>")

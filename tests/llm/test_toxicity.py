@@ -58,3 +58,33 @@ def test_edges(spark):
     some = spark.createDataFrame([(1, 0), (4, 1), (4, 0), (None, 1), (2, None), (9, 1)], "id bigint, toxic int")
     assert X.toxicity(articles, some).toPandas()["score"].between(0, 1).all()
     assert X.toxicity(articles.limit(0), some).count() == 0
+
+
+def test_all_terms_of_the_examples_count(spark):
+    # "hated" stands in every toxic example and in more harmless ones; a rare toxic word in two of 40
+    rows = [(i, f"hated slur{chr(97 + i % 20)} person", 1) for i in range(40)] + [(100 + i, f"hated weather picnic{chr(97 + i % 20)} rain", 0) for i in range(90)]
+    asked = [(1000, "hated weather rain"), (1001, "slurh person"), (1002, "picnicd rain"), (1003, "unheard")]
+    articles = spark.createDataFrame([(i, f"{t} {'x' * i}") for i, t, _ in rows] + asked, "id bigint, content string")
+    moderated = spark.createDataFrame([(i, k) for i, _, k in rows], "id bigint, toxic int")
+    got = X.toxicity(articles, moderated).toPandas().set_index("id")
+    assert got["score"][1000] < 0.2 and got["score"][1001] > 0.8 and got["score"][1002] < 0.2
+    assert set(got["evidence"][1001]) <= set(range(40)) and set(got["evidence"][1002]) <= set(range(100, 190))
+    assert len(got["evidence"][1002]) == 3 and len(got["evidence"][1003]) == 0
+
+
+def test_nearest_with_postings_is_brute_force():
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(900):
+        at = np.unique(np.minimum(rng.zipf(1.3, rng.integers(0, 40)), 300) - 1)
+        vectors.append((at, X.weighted(at, rng.integers(1, 4, len(at)).astype(float), np.linspace(1, 9, 300))))
+    dense = np.zeros((900, 300))
+    for i, (at, w) in enumerate(vectors):
+        dense[i, at] = w
+    for columns in (8, 128, 400):
+        index = X.BlockMaxIndex(list(range(900)), [0] * 900, vectors, 300, 4, columns)
+        for i in range(0, 900, 9):
+            docs, cos = index.nearest(*vectors[i], 25, but=i)
+            exact = np.round(dense @ dense[i], 12)
+            exact[i] = -1
+            assert docs.tolist() == sorted((j for j in range(900) if exact[j] > 0), key=lambda j: (-exact[j], j))[:25]
