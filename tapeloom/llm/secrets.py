@@ -5,6 +5,7 @@ Only DataFrame and SQL expressions and Spark's own forest are used.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -16,13 +17,23 @@ from tapeloom.session import materialise
 
 from .records import narrowed
 
-#: A candidate is a whole run of at least 16 of these, with base64 padding.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"
-KEYWORD = r"(?i)(?<![a-z])(pass(word|wd|phrase)?|pwd|secret|token|credentials?|auth(orization)?|(api|access|private)[_\- ]?key)(?![a-z])"
+KEYWORD = r"(?i)(?<![a-z])(pass(word|wd|phrase)?|pwd|secret|token|credentials?|auth(orization)?|(api|access|private|secret)[_\- ]?key)(?![a-z])"
 ASSIGNED = KEYWORD + r"[\"']?\s*(=|:|=>|is)\s*[\"']?$"
+#: Between a scheme with a user and an at sign.
+LINKED = r"://[^\s/:@]{1,64}:$"
+RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"
+_VALUE = r"[^\s\"'`<>]*[^\s\"'`<>.,;:)\]}?]"
+#: A candidate is a whole JSON web token, what follows an assigned keyword, a password in a link, or a whole run of
+#: at least 16 letters, digits and ``+/_-``, with base64 padding.
+CANDIDATE = (r"(?:(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]*"
+             r"|(?<=[=:>\s\"'])(?<=[=:>\"']\s{0,3}|[Ii][Ss]\s{1,4})(?<=" + KEYWORD.replace("(?i)", "(?i:") + r"[\"']?\s{0,3}(?:=|:|=>|is\s)\s{0,3}[\"']?))" + _VALUE +
+             r"|(?<=://[^\s/:@]{1,64}:)[^\s/@]+(?=@)"
+             r"|" + RUN + ")")
+#: Without any of these in a text, only runs can be candidates.
+MARKED = r"eyJ|://[^\s/:@]{1,64}:|" + KEYWORD + r"[\"']?\s{0,3}(=|:|is\s)"
 #: Formats that issuers fixed.
 ISSUED = (r"^(AKIA|ASIA)[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36,}$", r"^xox[abprs]-[A-Za-z0-9\-]{10,}$",
-          r"^sk[_\-](live|test|proj)?[_\-]?[A-Za-z0-9]{20,}$", r"^eyJ[A-Za-z0-9_\-]{20,}$", r"^AIza[A-Za-z0-9_\-]{35}$")
+          r"^sk[_\-](live|test|proj)?[_\-]?[A-Za-z0-9]{20,}$", r"^eyJ[A-Za-z0-9_\-]{8,}(\.[A-Za-z0-9_\-]*){2}$|^eyJ[A-Za-z0-9_\-]{20,}$", r"^AIza[A-Za-z0-9_\-]{35}$")
 HARMLESS = r"(?i)(?<![a-z])(example|sample|dummy|placeholder|your|checksum|sha\d*|md5|digest|commit|uuid|guid|revision)(?![a-z])\W*\w*\W*$"
 UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 FEATURES = ("length", "digits", "uppers", "marks", "transitions", "variety", "coverage", "path", "assigned", "keyword",
@@ -43,15 +54,31 @@ class Forest:
 
 
 def candidates(articles: DataFrame, around: int = 48) -> DataFrame:
-    """Every candidate of every text: (id, place, secret, before, after); ``place`` counts them from 1 in a text."""
+    """Every candidate of every text; ``place`` counts them from 1 in a text.
+
+    (id, place, secret, before, after, lead, trail): ``before`` and ``after`` end at the next candidate, ``lead`` and
+    ``trail`` are the characters around it in the whole text.
+    """
     text = F.coalesce("content", F.lit(""))
-    both = articles.select("id", F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1)).alias("found"),
-                           F.split(text, CANDIDATE, -1).alias("rest")).filter(F.size("found") > 0)
+    either = lambda f: F.when(F.col("_marked"), f(CANDIDATE)).otherwise(f(RUN))
+    both = articles.select("id", "content", text.rlike(MARKED).alias("_marked")).select(
+        "id", either(lambda p: F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1))).alias("found"),
+        either(lambda p: F.split(text, p, -1)).alias("rest")).filter(F.size("found") > 0)
+    pieces = lambda cut: F.flatten(F.zip_with("rest", "found", lambda r, c: F.array(
+        cut(r, F.lit(around)), F.coalesce(cut(c, F.lit(around)), F.lit("")))))
+    # rest i stands at 2i + 1; a candidate has a character at least
+    n, most = F.size("found"), 2 * around + 1
+    both = both.withColumns({"_left": pieces(F.right), "_right": pieces(F.left)})
     rows = both.select("id", F.posexplode(F.arrays_zip(
         "found", F.transform("rest", lambda x: F.right(x, F.lit(around))).alias("before"),
-        F.slice(F.transform("rest", lambda x: F.left(x, F.lit(around))), F.lit(2), F.size("found")).alias("after"))).alias("place", "c"))
+        F.slice(F.transform("rest", lambda x: F.left(x, F.lit(around))), F.lit(2), n).alias("after"),
+        F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.right(F.array_join(F.slice(
+            "_left", F.greatest(F.lit(1), 2 * i + 2 - most), F.least(2 * i + 1, F.lit(most))), ""), F.lit(around))).alias("lead"),
+        F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.left(F.array_join(F.slice(
+            "_right", 2 * i + 3, F.lit(most)), ""), F.lit(around))).alias("trail"))).alias("place", "c"))
     return (rows.select("id", (F.col("place") + 1).alias("place"), F.col("c.found").alias("secret"), F.col("c.before").alias("before"),
-                        F.coalesce("c.after", F.lit("")).alias("after")).filter("secret IS NOT NULL"))
+                        F.coalesce("c.after", F.lit("")).alias("after"), F.col("c.lead").alias("lead"),
+                        F.coalesce("c.trail", F.lit("")).alias("trail")).filter("secret IS NOT NULL"))
 
 
 def _without(text: Column, kept: str) -> Column:
@@ -65,13 +92,16 @@ def measured(found: DataFrame) -> DataFrame:
     for kept, mark in (("0-9", "9"), ("A-Z", "A"), ("a-z", "a")):
         runs = F.regexp_replace(runs, f"[{kept}]+", mark)
     flag = lambda x: x.cast("double")
+    lead = F.col("lead")
+    linked = lead.rlike(LINKED) & F.col("trail").startswith("@")
     return found.withColumns({
         "length": n, "digits": F.length(_without(c, "0-9")) / n, "uppers": F.length(_without(c, "A-Z")) / n,
         "marks": F.length(_without(c, r"+/_=\-")) / n, "transitions": (F.length(runs) - 1) / n,
         "variety": F.size(F.array_distinct(F.split(c, ""))) / n,
-        "path": flag(F.col("before").rlike(r"(://|[./\\?&])\S*$") | c.rlike(r"^/|/.*/") | F.col("after").rlike(r"^(\.[a-z]|/)")),
-        "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")), "keyword": flag(F.col("before").rlike(KEYWORD + r"\W*\w*\W*$")),
-        "harmless": flag(F.col("before").rlike(HARMLESS)), "quoted": flag(F.col("before").rlike("[\"'`]$"))})
+        "path": flag((lead.rlike(r"(://|[./\\?&])\S*$") | c.rlike(r"^/|/.*/") | F.col("trail").rlike(r"^(\.[a-z]|/)"))
+                     & ~lead.rlike(ASSIGNED) & ~linked),
+        "assigned": flag(lead.rlike(r"[=:]\s*[\"']?$")), "keyword": flag(lead.rlike(KEYWORD + r"\W*\w*\W*$") | linked),
+        "harmless": flag(lead.rlike(HARMLESS)), "quoted": flag(lead.rlike("[\"'`]$"))})
 
 
 def certain(found: DataFrame) -> Column:
@@ -79,9 +109,11 @@ def certain(found: DataFrame) -> Column:
     issued = F.lit(False)
     for pattern in ISSUED:
         issued = issued | F.col("secret").rlike(pattern)
-    given = F.col("before").rlike(ASSIGNED) & (F.col("digits") > 0) & (F.col("variety") > 0.2)
+    linked = F.col("lead").rlike(LINKED) & F.col("trail").startswith("@")
+    given = linked | (F.col("lead").rlike(ASSIGNED) & (F.col("digits") > 0) & (F.col("variety") > 0.2))
+    word = F.col("secret").rlike("^[A-Za-z]?[a-z]*$") & F.col("lead").rlike(r"(?i)(is|:)\s+$")  # prose goes on
     plain = (F.col("digits") == 0) | (F.col("digits") == 1) | F.col("secret").rlike(UUID) | (F.col("path") == 1)
-    return F.when(F.col("harmless") == 1, 0).when(issued | given, 1).when(plain & (F.col("keyword") == 0), 0)
+    return F.when(F.col("harmless") == 1, 0).when(issued | given, 1).when(plain & (F.col("keyword") == 0) | word, 0)
 
 
 def _letters(at: Column, text: Column) -> Column:
@@ -110,24 +142,26 @@ def coverage(known: list[int]) -> Column:
         return F.when(inside, F.element_at(table, F.greatest(F.lit(1), a * 676 + b * 26 + c + 1))).otherwise(0)
 
     n = F.length("secret") - 2
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + has(i)) / n
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), F.lit(0), lambda acc, i: acc + has(i)) / n).otherwise(0.0)
 
 
 def find_secrets(articles: DataFrame, labelled: DataFrame | None = None, key: str = "id", text: str = "content",
                  forest: Forest = Forest()) -> DataFrame:
     """Candidates that the forest holds for secrets: (id, place, secret, length, score), one row per finding.
 
-    Candidates are long runs of letters, digits and ``+/_-`` in whole texts. The forest looks at their length,
+    Candidates are long runs of letters, digits and ``+/_-`` in whole texts, whole JSON web tokens, and of any length
+    what follows an assigned keyword or is the password in a link. The forest looks at their length,
     kinds of characters and changes between them, the share covered by a dictionary, signs of a path, and
     the words before. ``labelled`` (id, secret, is_secret) are findings that people judged; without them
     the forest learns from findings whose form alone decides. At most ``forest.examples`` of each class
     are used, and ``forest.lexicon`` candidates for the dictionary; all candidates are scored.
 
-    Null, empty and short texts have no findings. A secret that a text repeats is a finding each time;
+    Null and empty texts have no findings. A secret that a text repeats is a finding each time;
     repeated rows have the same findings. Where only one class is labelled, findings keep the certain
     verdict of their form, and others are no secrets. Other columns are ignored; no rows give no rows.
     """
-    found = materialise(measured(candidates(narrowed(articles, id=key, content=text))), "candidates")
+    texts = narrowed(articles, id=key, content=text)
+    found = materialise(measured(candidates(texts)), "candidates")
     known = lexicon(found, forest.lexicon)
     if labelled is None:
         examples = found.withColumn("label", certain(found).cast("double"))
@@ -157,6 +191,9 @@ def redact(articles: DataFrame, found: DataFrame, key: str = "id", text: str = "
     joined = articles.join(per_text, articles[f"`{key}`"].eqNullSafe(per_text["_of"]), "left")
     # the longest first, as one secret may hold another
     ordered = F.expr("array_sort(_secrets, (x, y) -> length(y) - length(x))")
-    clean = F.aggregate(ordered, F.col(f"`{text}`"), lambda acc, s: F.replace(acc, s, F.lit(mark)))
+    # a short one may also be a part of other words
+    whole = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), s, F.lit(r"\E(?![A-Za-z0-9])"))
+    clean = F.aggregate(ordered, F.col(f"`{text}`"), lambda acc, s: F.when(F.length(s) < 16, F.regexp_replace(acc, whole(s), F.lit(
+        re.sub(r"([\\$])", r"\\\1", mark)))).otherwise(F.replace(acc, s, F.lit(mark))))
     return (joined.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(f"`{text}`")).otherwise(clean))
             .select(*[F.col(f"`{c}`") for c in articles.columns]))

@@ -71,3 +71,39 @@ def test_labels_by_people_and_edges(spark):
     assert got == {(i, f"{'ab12' * 5}{i:03d}cd") for i in range(60)}
     assert S.find_secrets(articles.limit(0)).count() == 0
     assert S.find_secrets(spark.createDataFrame([(1, None, "x"), (2, "short", "x")], "id bigint, content string, secret string")).count() == 0
+
+
+LONG_NAMES = ("AWS_SECRET_ACCESS_KEY", "DJANGO_SECRET_KEY", "GITHUB_ACCESS_TOKEN", "database_password", '"production_client_secret"')
+
+
+def test_long_names_are_neighbours_of_their_keys(spark):
+    rows = [(i, f"x {name}=wJalrXUtnF3MI/K7MDENG/bPxRfi{i}YKEY and more") for i, name in enumerate(LONG_NAMES)]
+    found = S.measured(S.candidates(spark.createDataFrame(rows, "id bigint, content string")))
+    got = found.withColumn("label", S.certain(found)).filter("secret LIKE 'wJal%'").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["lead"] == f"x {LONG_NAMES[r['id']]}=" and r["trail"] == " and more"
+        assert r["keyword"] == r["assigned"] == 1 and r["path"] == 0 and r["label"] == 1
+
+
+def test_short_punctuated_and_web_tokens(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    rows, planted = [], {}
+    for i in range(200):
+        bare, shown = secret()
+        short = "".join(RNG.choice(BASE) for _ in range(6)) + RNG.choice(".!@$&") + RNG.choice("0123456789") + RNG.choice("abc")
+        form = ("password={}", "pwd: {}", "https://user:{}@site.example/home", 'token = "{}"')[i % 4]
+        short = short.replace("@", "!") if i % 4 == 2 else short
+        planted[i] = {bare, short} | ({jwt} if i % 10 == 0 else set())
+        words = prose(40)
+        rows.append((i, " ".join([*words[:9], shown, *words[9:20], form.format(short), *words[20:], *([jwt] if i % 10 == 0 else []),
+                                  "the token is", *words[:3]])))
+    articles = spark.createDataFrame(rows, "id bigint, content string")
+    found = S.find_secrets(articles)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["id"], set()).add(r["secret"])
+    assert sum(len(got.get(i, set()) & s) for i, s in planted.items()) >= 0.97 * sum(map(len, planted.values()))
+    assert sum(len(s - planted[i]) for i, s in got.items()) <= 6
+    text = {r["id"]: r["content"] for r in S.redact(articles, found).collect()}
+    assert all(jwt.split(".")[2] not in text[i] for i in text)
