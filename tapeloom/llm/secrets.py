@@ -46,7 +46,7 @@ class Forest:
     """``examples`` bounds the labelled findings of each class that the forest is fitted on, taken by a hash."""
 
     examples: int = 6000
-    lexicon: int = 30_000     # candidates whose surroundings give the dictionary
+    known: float = 2e-6       # share of all three-letter strings from which one is in the dictionary
     trees: int = 24
     depth: int = 6
     seed: int = 11
@@ -120,15 +120,18 @@ def _letters(at: Column, text: Column) -> Column:
     return F.ascii(F.substring(text, at, F.lit(1))) - 97
 
 
-def lexicon(found: DataFrame, bound: int, least: int = 3) -> list[int]:
-    """1 for each of the three-letter strings (a-z) that words around candidates hold; 17,576 numbers for any input."""
-    some = found.orderBy(F.xxhash64("id", "place", "secret"), "secret").limit(bound)
-    word = some.select(F.explode(F.split(F.lower(F.concat_ws(" ", "before", "after")), "[^a-z]+")).alias("w")).filter("length(w) >= 3")
-    parts = word.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("t"))
+def lexicon(texts: DataFrame, share: float) -> list[int]:
+    """1 for each three-letter string (a-z) that makes up at least such a share of those in the words of all texts
+    outside long runs; 17,576 numbers for any input."""
+    outside = F.lower(F.regexp_replace("content", RUN, " "))
+    word = (texts.select(F.explode(F.split(outside, "[^a-z]+")).alias("w")).filter("length(w) >= 3")
+            .groupBy("w").agg(F.count("*").alias("n")))
+    parts = word.select("n", F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("t"))
     t = F.col("t")
-    number = (_letters(F.lit(1), t) * 676 + _letters(F.lit(2), t) * 26 + _letters(F.lit(3), t)).alias("n")
-    known = {r["n"] for r in parts.groupBy(number).count().filter(F.col("count") >= least).collect()}
-    return [int(i in known) for i in range(TRIGRAMS)]
+    number = (_letters(F.lit(1), t) * 676 + _letters(F.lit(2), t) * 26 + _letters(F.lit(3), t)).alias("at")
+    counts = {r["at"]: r["n"] for r in parts.groupBy(number).agg(F.sum("n").alias("n")).collect()}
+    least = share * sum(counts.values())
+    return [int(i in counts and counts[i] >= least) for i in range(TRIGRAMS)]
 
 
 def coverage(known: list[int]) -> Column:
@@ -154,7 +157,7 @@ def find_secrets(articles: DataFrame, labelled: DataFrame | None = None, key: st
     kinds of characters and changes between them, the share covered by a dictionary, signs of a path, and
     the words before. ``labelled`` (id, secret, is_secret) are findings that people judged; without them
     the forest learns from findings whose form alone decides. At most ``forest.examples`` of each class
-    are used, and ``forest.lexicon`` candidates for the dictionary; all candidates are scored.
+    are used; the dictionary counts the words of all texts, and all candidates are scored.
 
     Null and empty texts have no findings. A secret that a text repeats is a finding each time;
     repeated rows have the same findings. Where only one class is labelled, findings keep the certain
@@ -162,7 +165,7 @@ def find_secrets(articles: DataFrame, labelled: DataFrame | None = None, key: st
     """
     texts = narrowed(articles, id=key, content=text)
     found = materialise(measured(candidates(texts)), "candidates")
-    known = lexicon(found, forest.lexicon)
+    known = lexicon(texts, forest.known)
     if labelled is None:
         examples = found.withColumn("label", certain(found).cast("double"))
     else:

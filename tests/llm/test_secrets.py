@@ -107,3 +107,10 @@ def test_short_punctuated_and_web_tokens(spark):
     assert sum(len(s - planted[i]) for i, s in got.items()) <= 6
     text = {r["id"]: r["content"] for r in S.redact(articles, found).collect()}
     assert all(jwt.split(".")[2] not in text[i] for i in text)
+
+
+def test_dictionary_of_all_texts(spark):
+    rows = [(i, "zebra yacht") for i in range(50)] + [(100 + i, "key " + "Ab3" * 8) for i in range(5)]
+    known = S.lexicon(spark.createDataFrame(rows, "id bigint, content string"), 2e-6)
+    at = lambda t: (ord(t[0]) - 97) * 676 + (ord(t[1]) - 97) * 26 + ord(t[2]) - 97
+    assert all(known[at(t)] for t in ("zeb", "bra", "yac", "key")) and sum(known) == 7
