@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.session import configure
 
+from .alignment import align_articles
 from .language_model import log_probabilities
+from .lexical import TERM, best_articles
 from .link_rules import PATTERNS, SiteRule, judge_links
+from .main_text import extract_articles
 from .mixing import mix
 from .near_copies import near_copies
 from .neighbours import nearest_vectors
@@ -135,3 +138,37 @@ def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return nearest_vectors(items, F.col("id") % 20 == 0).select(
         F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+def _search_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    terms = lambda text: f"regexp_extract_all(translate({text}, '{upper}', '{lower}'), '{TERM}')"
+    return f"""
+    WITH found AS (SELECT doc_id, unnest({terms("text")}) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+    docs AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+    totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+    weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM tf, totals GROUP BY term),
+    asked AS (SELECT DISTINCT item_id, unnest({terms("text")}) AS term FROM benchmark),
+    scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (doc_id), totals GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 50"""
+
+
+@query("op11_search", _search_sql())
+def _search(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("headline"))
+    return best_articles(articles(spark, sf), items).select(F.col("search").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query("op12_alignment")
+def _alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align_articles(articles(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_main_text")
+def _main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("id"), "url", F.col("html").alias("content"))
+    return extract_articles(pages).withColumnRenamed("id", "page_id")
