@@ -1,6 +1,6 @@
 """All registered queries, by the keys of the operator inventory."""
 
-from . import bars, news, plans, quotes, research, streams
+from . import bars, news, plans, quotes, research, runs, streams
 from .core import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bars", "news", "plans", "quotes", "research", "streams"]
+__all__ = ["ORACLES", "QUERIES", "bars", "news", "plans", "quotes", "research", "runs", "streams"]

@@ -210,21 +210,25 @@ def pipe_news_signals_recycled(spark, sf):
 
 # ---------------------------------------------------------------- entries and capital
 
+#: Slots a signal keeps of those left, in the order of a recursive walk over its run.
+USED = "CASE WHEN {fails} OR need IS NULL OR need > {left} THEN 0 WHEN is_fda THEN {left} ELSE greatest(least(request, {left}), need) END"
 ENTRY = {
     "opened": """SELECT s.*, EXISTS (SELECT 1 FROM holdings h WHERE h.ticker = s.ticker AND h.entry_time <= s.ts AND s.ts < h.exit_time) AS is_open FROM quote_signals s""",
     "quoted": """SELECT s.*, q.last, q.bid, q.ask FROM opened s ASOF LEFT JOIN quotes q ON s.ticker = q.ticker AND s.ts >= q.ts""",
     "priced": """SELECT s.*, coalesce(nullif(s.last, 0), nullif(b.close, 0)) AS price FROM quoted s ASOF LEFT JOIN quote_bars b ON s.ticker = b.ticker AND s.ts >= b.ts""",
     "vwaps": """SELECT s.signal_id, CASE WHEN sum(volume) > 0 THEN sum(close * volume) / sum(volume) END AS vwap FROM quote_signals s
         LEFT JOIN quote_bars b ON b.ticker = s.ticker AND b.ts BETWEEN s.ts - INTERVAL 1 DAY AND s.ts GROUP BY s.signal_id""",
-    "sized": """SELECT p.*, v.vwap, CASE WHEN is_fda THEN 10 ELSE request END AS slots,
-        CASE WHEN is_fda THEN 10 ELSE coalesce(list_min(list_filter(range(request, 11), lambda k: k * 100e0 >= price)), 10) END AS slots_used
-        FROM priced p JOIN vwaps v USING (signal_id)""",
-    "gated": f"""SELECT *, CAST(floor(round(((slots_used * 100e0) - (slots_used * 100e0) % price) / price)) AS BIGINT) AS quantity,
-        {QQ.NY} AS ny FROM sized""",
-    "labelled": """SELECT *, CASE WHEN is_open THEN 'SKIP_OPEN_POSITION'
-        WHEN NOT is_fda AND NOT coalesce(bid > 0 AND ask > 0 AND (ask - bid) / ((bid + ask) / 2) <= 0.03, false) THEN 'GATE_LIQUIDITY'
+    "sized": """SELECT p.*, v.vwap, list_min(list_filter(range(1, 11), lambda k: k * 100e0 >= price)) AS need FROM priced p JOIN vwaps v USING (signal_id)""",
+    "gated": f"""SELECT *, {QQ.NY} AS ny, row_number() OVER (PARTITION BY run ORDER BY ts, signal_id) AS rn,
+        CASE WHEN NOT is_fda AND NOT coalesce(bid > 0 AND ask > 0 AND (ask - bid) / ((bid + ask) / 2) <= 0.03, false) THEN 'GATE_LIQUIDITY'
         WHEN price IS NULL THEN 'ABORT_NO_PRICE' WHEN NOT is_fda AND price > 1000000 THEN 'ABORT_PRICE_CEILING'
-        WHEN NOT is_fda AND NOT coalesce(price > vwap, true) THEN 'ABORT_VWAP' WHEN quantity < 1 THEN 'ABORT_NO_SHARE' ELSE 'ENTER' END AS outcome FROM gated""",
+        WHEN NOT is_fda AND NOT coalesce(price > vwap, true) THEN 'ABORT_VWAP' END AS gate FROM sized""",
+    "walk": f"""WITH RECURSIVE w AS (SELECT g.*, 10 AS slots_left, {USED.format(left='10', fails='gate IS NOT NULL OR is_open')} AS slots_used FROM gated g WHERE rn = 1
+        UNION ALL SELECT n.*, w.slots_left - w.slots_used, {USED.format(left='(w.slots_left - w.slots_used)', fails='n.gate IS NOT NULL OR n.is_open')
+        .replace('is_fda', 'n.is_fda').replace('need', 'n.need').replace('request', 'n.request')} FROM w JOIN gated n ON n.run = w.run AND n.rn = w.rn + 1) SELECT * FROM w""",
+    "labelled": """SELECT *, CASE WHEN is_open THEN 'SKIP_OPEN_POSITION' WHEN slots_left <= 0 THEN 'SKIP_NO_SLOTS' WHEN gate IS NOT NULL THEN gate
+        WHEN slots_used < 1 THEN 'ABORT_NO_SHARE' ELSE 'ENTER' END AS outcome, CASE WHEN is_fda THEN slots_left ELSE least(request, slots_left) END AS slots,
+        CASE WHEN slots_used > 0 THEN CAST(round(((slots_used * 100e0) - (slots_used * 100e0) % price) / price) AS BIGINT) ELSE 0 END AS quantity FROM walk""",
 }
 ENTRY_VIEWS = "quotes quote_bars holdings quote_signals"
 
@@ -233,9 +237,11 @@ def _entries(spark, sf):
     return B.entry_gates(V.quote_signals(spark, sf), V.stored(V.quotes(spark, sf), "quotes"), V.stored(V.quote_bars(spark, sf), "bars"), V.holdings(spark, sf), 100.0, tie=("event_id",))
 
 
-@query("pipe_entry_gates", with_views(ENTRY_VIEWS, "SELECT signal_id, outcome, CAST(slots_used AS INTEGER) AS slots_used, quantity, hour(ny) < 7 AS pre_session FROM labelled", **ENTRY))
+@query("pipe_entry_gates", with_views(ENTRY_VIEWS, """SELECT signal_id, outcome, CAST(slots_left AS INTEGER) AS slots_left, CAST(slots AS INTEGER) AS slots,
+    CAST(slots_used AS INTEGER) AS slots_used, quantity, hour(ny) < 7 AS pre_session FROM labelled""", **ENTRY))
 def pipe_entry_gates(spark, sf):
-    return _entries(spark, sf).select("signal_id", "outcome", "slots_used", "quantity", "pre_session")
+    """Signals of a day share a pool: partial claims, slots given back, and none left, as the day goes."""
+    return _entries(spark, sf).select("signal_id", "outcome", F.col("left").alias("slots_left"), "slots", "slots_used", "quantity", "pre_session")
 
 
 @query("prj_entry_price", with_views(ENTRY_VIEWS, "SELECT signal_id, price FROM priced", **ENTRY), doubles="price")
@@ -392,47 +398,3 @@ def prj_pnl(spark, sf):
     rows = _exits(spark, sf).filter(F.col("exit_time").isNotNull())
     return rows.select("ticker", "entry_time", X.pnl_pct(F.col("exit_price"), F.col("entry_price")).alias("pnl_pct"),
                        ((F.col("exit_price") - F.col("entry_price")) * F.col("quantity")).alias("pnl_usd"))
-
-
-def _report(spark, sf):
-    trips = _exits(spark, sf).withColumn("entry_fill", F.lit(None).cast("double")).withColumn("exit_fill", F.col("exit_price") * F.lit(0.99))
-    return B.report(trips)
-
-
-TRIPS = """SELECT ticker, entry_time, exit_reason, (exit_price * 0.99e0 - entry_price) / entry_price * 100 AS pnl_pct,
-    (exit_price * 0.99e0 - entry_price) * quantity AS pnl_usd, (epoch_us(exit_time) - epoch_us(entry_time)) / 1000000e0 AS holding_sec FROM exits"""
-
-
-@query("pipe_round_trips", with_views("positions bars_calm", "SELECT * FROM trips", **EXIT, trips=TRIPS), stamps="entry_time",
-       doubles="pnl_pct pnl_usd holding_sec")
-def pipe_round_trips(spark, sf):
-    rows = _report(spark, sf).filter(F.col("entry_price") != 0)
-    return rows.select("ticker", "entry_time", "exit_reason", F.when(F.col("sold_at").isNotNull(), F.col("pnl_pct")).alias("pnl_pct"), "pnl_usd", "holding_sec")
-
-
-@query("agg_run_complete", with_views("signals", """SELECT run, sum(allocated) AS slots_spent, count(*) FILTER (allocated > 0 AND NOT closed) AS still_open,
-    sum(allocated) >= 10 AND count(*) FILTER (allocated > 0 AND NOT closed) = 0 AS is_complete FROM (
-    SELECT run, closed, CAST(least(requested, greatest(10 - coalesce(before, 0), 0)) AS INTEGER) AS allocated
-    FROM (SELECT *, sum(requested) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-    FROM (SELECT run, seq, price >= 100000 AS closed, CASE WHEN is_fda THEN 10 ELSE request END AS requested FROM signals))) GROUP BY run"""), dates="run")
-def agg_run_complete(spark, sf):
-    rows = B.allocate_slots(V.signals(spark, sf)).withColumn(
-        "exit_time", F.when(F.col("price") >= 100_000, F.col("run").cast("timestamp")))
-    return B.run_complete(rows)
-
-
-@query("sink_trades_log", with_views("positions bars_calm", """SELECT 'ENTRY' AS event, CAST(ticker AS VARCHAR) AS ticker,
-    strftime(entry_time, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS time, format('{:.4f}', entry_price) AS price, 'qty=' || CAST(quantity AS BIGINT) AS value,
-    'POSITION' AS reason, '' AS headline FROM exits UNION ALL
-    SELECT 'EXIT', CAST(ticker AS VARCHAR), strftime(exit_time, '%Y-%m-%dT%H:%M:%S.%f+00:00'), format('{:.4f}', exit_price),
-    format('{:+.2f}', (exit_price - entry_price) / entry_price * 100), exit_reason, '' FROM exits WHERE exit_time IS NOT NULL""", **EXIT))
-def sink_trades_log(spark, sf):
-    rows = _exits(spark, sf)
-    pnl = X.pnl_pct(F.col("exit_price"), F.col("entry_price"))
-    legs = F.array(
-        F.struct(F.lit("ENTRY").alias("event"), F.col("entry_time").alias("time"), F.col("entry_price").alias("price"),
-                 F.lit(None).cast("double").alias("pnl_pct"), F.lit("POSITION").alias("reason")),
-        F.struct(F.lit("EXIT").alias("event"), F.col("exit_time").alias("time"), F.col("exit_price").alias("price"),
-                 pnl.alias("pnl_pct"), F.col("exit_reason").alias("reason")))
-    trades = rows.select("ticker", "quantity", F.inline(legs)).filter(F.col("time").isNotNull()).withColumn("headline", F.lit(""))
-    return O.trade_log_rows(trades)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tapeloom.config import Confirm, Engine, Scan
 from tapeloom.operators import bars as B
@@ -249,7 +249,30 @@ def quote_signals(spark: SparkSession, sf: str) -> DataFrame:
 def quote_signals_of(e: DataFrame) -> DataFrame:
     return e.filter(F.col("event_type") == "purchase").select(F.col("event_id").alias("signal_id"), F.concat(F.lit("T"), F.col("user_id") % 5).alias("ticker"),
                     _ts("ts").alias("ts"), (1 + F.col("event_id") % 6).cast("int").alias("request"),
-                    (F.col("event_id") % 31 == 0).alias("is_fda"))
+                    (F.col("event_id") % 31 == 0).alias("is_fda"), F.to_date(_ts("ts")).alias("run"))
+
+
+def new_highs(spark: SparkSession, sf: str, bars: DataFrame) -> DataFrame:
+    """Every calm bar that sets a new closing high of its ticker asks for an entry; a month is a run."""
+    rows = B.atr(bars, BAR_SERIES)
+    rows = uncut(running(rows, BAR_SERIES, [Running("_high", "max", F.col("close"), inclusive=False)]))
+    return rows.filter(F.col("close") > F.col("_high")).select(
+        F.trunc("ts", "month").alias("run"), "ticker", "ts", F.col("close").alias("price"), "atr",
+        (1 + F.col("ticker") % 6).cast("int").alias("request"), (F.col("ticker") % 31 == 0).alias("is_fda"))
+
+
+def trade_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Order attempts on a bar: its ticks in order, each with the status of its order and a report of two legs, one, or none."""
+    part, orders = table(spark, sf, "part").select("p_partkey", "p_retailprice"), table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    o, px = F.col("l_orderkey"), F.col("p_retailprice") * (1 - F.col("l_discount"))
+    rows = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, o == F.col("o_orderkey"))
+    leg = lambda q, p: F.struct(q.cast("double").alias("quantity"), p.alias("price"))
+    rows = rows.select(
+        F.col("l_partkey").alias("ticker"), _ts("l_shipdate").alias("ts"), (o * 8 + F.col("l_linenumber")).alias("order_id"),
+        F.when(F.col("o_orderstatus") == "F", "FILLED").when(F.col("o_orderstatus") == "O", "WORKING").otherwise("CANCELED").alias("status"),
+        F.col("l_quantity").alias("filledQuantity"), F.when(o % 11 != 0, px).alias("price"),
+        F.when(o % 5 != 0, F.array(F.struct(F.array(leg(F.col("l_quantity"), px), leg(o % 3, px * 1.01)).alias("executionLegs")))).alias("orderActivityCollection"))
+    return rows.withColumn("attempt", F.row_number().over(Window.partitionBy("ticker", "ts").orderBy("order_id")))
 
 
 LEXICON_ROWS = [("the", 1.9, True, False), ("and", -1.2, False, True), ("of", 0.8, True, False),
@@ -336,8 +359,14 @@ SQL: dict[str, str] = {
         CAST(1 + o_orderkey % 6 AS INTEGER) AS request,
         o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0 AS is_fda, o_totalprice AS price FROM orders""",
     "quote_signals": """SELECT event_id AS signal_id, 'T' || (user_id % 5) AS ticker, ts,
-        CAST(1 + event_id % 6 AS INTEGER) AS request, event_id % 31 = 0 AS is_fda
+        CAST(1 + event_id % 6 AS INTEGER) AS request, event_id % 31 = 0 AS is_fda, CAST(ts AS DATE) AS run
         FROM events WHERE event_type = 'purchase'""",
+    "new_highs": """SELECT CAST(date_trunc('month', entry_time) AS DATE) AS run, ticker, entry_time AS ts, entry_price AS price, atr,
+        CAST(1 + ticker % 6 AS INTEGER) AS request, ticker % 31 = 0 AS is_fda FROM entries""",
+    "trade_orders": """SELECT l_partkey AS ticker, l_shipdate AS ts, o_orderstatus = 'F' AS is_filled, l_quantity AS q1, CAST(l_orderkey % 3 AS DOUBLE) AS q2,
+        p_retailprice * (1 - l_discount) AS px, l_orderkey % 5 <> 0 AS has_legs, l_orderkey % 11 <> 0 AS has_price,
+        row_number() OVER (PARTITION BY l_partkey, l_shipdate ORDER BY l_orderkey * 8 + l_linenumber) AS attempt
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
     "lexicon": """SELECT * FROM (VALUES ('the', 1.9e0, true, false), ('and', -1.2e0, false, true),
         ('of', 0.8e0, true, false), ('in', -0.4e0, false, true), ('is', 2.1e0, true, false),
         ('or', -2.3e0, false, true)) t(word, valence, is_pos, is_neg)""",
@@ -364,7 +393,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "bars_calm": ("ticks",), "bars_wild": ("ticks",), "quotes": ("polls",), "adv": ("polls",), "quote_bars": ("polls",),
     "holdings": ("polls",), "trade_events": ("polls",), "news_tickers": ("news_once",),
     "backfill": ("news_once",), "news": ("news_once", "backfill"), "share_counts": ("fundamentals_text",),
-    "true_range": ("bars_calm",), "atr": ("true_range",), "entries": ("atr",), "stops": ("entries",),
+    "true_range": ("bars_calm",), "atr": ("true_range",), "entries": ("atr",), "stops": ("entries",), "new_highs": ("entries",),
     "positions": ("stops",),
 }
 

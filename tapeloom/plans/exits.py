@@ -60,11 +60,30 @@ def _diverges(bars: str, w: int) -> str:
     return f"CASE WHEN size({bars}) >= {2 * w + 3} THEN transform({last}, p -> {rule})[0] ELSE false END"
 
 
-def exit_signals(bars: DataFrame, positions: DataFrame, s: Series = Series(), cfg: Exit = Exit()) -> DataFrame:
+def exit_signals(bars: DataFrame, positions: DataFrame, s: Series = Series(), cfg: Exit = Exit(), sold: DataFrame | None = None) -> DataFrame:
     """First exit of each position: the stop, else (once armed) divergence, else significant bearish volume.
 
+    With ``sold`` (ticker, ts, exit_fill: the bars on which an exit order fills) a position stays open, and its exit is
+    tried again, until an exit falls on such a bar; ``exit_fill`` is then added.
+    """
+    what = ["exit_time", F.col("close").alias("exit_price"), "exit_reason", *(["exit_fill"] if sold is not None else [])]
+    fired = _fired(bars, positions, s, cfg, sold).filter("sold")
+    exits = fired.groupBy("ticker", "entry_time").agg(F.min_by(F.struct(*what), "exit_time").alias("_x"))
+    return positions.join(exits.select("ticker", "entry_time", "_x.*"), ["ticker", "entry_time"], "left")
+
+
+def exit_tries(bars: DataFrame, positions: DataFrame, s: Series = Series(), cfg: Exit = Exit(), sold: DataFrame | None = None) -> DataFrame:
+    """Every exit of a position that was tried, up to the one that sold it: (ticker, entry_time, exit_time, exit_price, exit_reason, sold)."""
+    fired = materialise(_fired(bars, positions, s, cfg, sold).select("ticker", "entry_time", "exit_time", F.col("close").alias("exit_price"), "exit_reason", "sold"), "fired")
+    last = fired.filter("sold").groupBy("ticker", "entry_time").agg(F.min("exit_time").alias("_last"))
+    return fired.join(last, ["ticker", "entry_time"], "left").filter(F.col("_last").isNull() | (F.col("exit_time") <= F.col("_last"))).drop("_last")
+
+
+def _fired(bars: DataFrame, positions: DataFrame, s: Series, cfg: Exit, sold: DataFrame | None) -> DataFrame:
+    """Bars of a position's life on which an exit rule holds, up to one on which it must have been sold.
+
     A position is followed bar by bar only up to a time by which it must have closed: the first bar, enough
-    bars after its entry, on which the volume rule holds while the hour arms it. That bar does not depend on
+    bars after its entry, on which the volume rule holds while the hour arms it and an order fills. That bar does not depend on
     the position, so it is found by an as-of join on the bar number; the pairs formed after that are the
     bars a position really lived through.
     """
@@ -84,6 +103,9 @@ def exit_signals(bars: DataFrame, positions: DataFrame, s: Series = Series(), cf
     certain = rows.filter((F.col("_ratio") <= cfg.cvd_threshold) & (F.col("idx") >= cfg.cvd_bars)
                           & (hour_of_day(F.col("ts"), PACIFIC) >= cfg.armed_hour_pt))
 
+    if sold is not None:
+        certain = certain.join(sold.select("ticker", "ts"), ["ticker", "ts"], "left_semi")
+
     # entry bar number: the first bar at or after the entry
     held = asof_join(positions, rows.select("ticker", "ts", F.col("idx").alias("entry_idx")), ["entry_idx"],
                      left_ts="entry_time", width_sec=s.width_sec, forward=True)
@@ -106,6 +128,7 @@ def exit_signals(bars: DataFrame, positions: DataFrame, s: Series = Series(), cf
               .when(armed & F.expr(_diverges("_bars", cfg.swing_window)), "SWING_DIVERGENCE")
               .when(armed & weak, "BEARISH_VOLUME"))
     fired = pairs.withColumn("exit_reason", reason).filter(F.col("exit_reason").isNotNull())
-    exits = fired.groupBy("ticker", "entry_time").agg(F.min_by(
-        F.struct("exit_time", F.col("close").alias("exit_price"), "exit_reason"), "exit_time").alias("_x"))
-    return positions.join(exits.select("ticker", "entry_time", "_x.*"), ["ticker", "entry_time"], "left")
+    if sold is None:
+        return fired.withColumn("sold", F.lit(True))
+    fills = sold.select("ticker", F.col("ts").alias("exit_time"), "exit_fill", F.lit(True).alias("sold"))
+    return fired.join(fills, ["ticker", "exit_time"], "left").withColumn("sold", F.coalesce("sold", F.lit(False)))

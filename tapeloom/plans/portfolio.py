@@ -12,6 +12,7 @@ from ..operators.matching import asof_join, open_at
 from ..operators.ordered import Running, Series, running, uncut
 from ..session import materialise
 from .exits import pnl_pct
+from .trading_run import needed_slots, pool_entries, with_entries
 
 
 def slot_request(request: Column, cfg: Sizing = Sizing()) -> Column:
@@ -92,26 +93,34 @@ def entry_price(signals: DataFrame, quotes: DataFrame, bars: DataFrame, *, tie:
 
 
 def entry_gates(signals: DataFrame, quotes: DataFrame, bars: DataFrame, held: DataFrame, per_slot: float,
-                cfg: Entry = Entry(), sizing: Sizing = Sizing(), *, tie: tuple[str, ...] = ()) -> DataFrame:
+                cfg: Entry = Entry(), sizing: Sizing = Sizing(), *, run: str = "run", order: tuple[str, ...] = ("ts", "signal_id"),
+                tie: tuple[str, ...] = ()) -> DataFrame:
     """Outcome label of each entry attempt, in the order of the gates, with price, slots and quantity.
 
-    Approvals skip the liquidity, ceiling and VWAP gates and ask for the whole pool.
+    The signals of a run share its pool in ``order``: each claims what it asks for or what is left (``slots``), adds slots
+    until they buy one share (``slots_used``), and gives all back if a gate fails. Approvals skip the liquidity,
+    ceiling and VWAP gates and claim all that is left.
     """
     rows = open_at(signals, held)
     rows = entry_price(rows, quotes, bars, tie=tie)
     rows = trailing_vwap(rows, bars, window_sec=cfg.vwap_window_sec)
-    slots = F.when(F.col("is_fda"), F.lit(cfg.pool)).otherwise(slot_request(F.col("request"), sizing))
-    rows = rows.withColumn("slots", slots).withColumn("remaining", F.lit(cfg.pool) - F.col("slots"))
-    rows = share_quantity(rows, F.lit(per_slot), cfg)
     normal = ~F.col("is_fda")
-    outcome = (F.when(F.col("is_open"), "SKIP_OPEN_POSITION")
-               .when(normal & ~Q.is_liquid(F.col("bid"), F.col("ask"), cfg), "GATE_LIQUIDITY")
-               .when(F.col("price").isNull(), "ABORT_NO_PRICE")
-               .when(~under_ceiling(F.col("price"), F.col("is_fda"), cfg), "ABORT_PRICE_CEILING")
-               .when(~over_vwap(F.col("price"), F.col("vwap"), F.col("is_fda")), "ABORT_VWAP")
-               .when(F.col("quantity") < 1, "ABORT_NO_SHARE").otherwise("ENTER"))
-    return (rows.withColumn("outcome", outcome)
-            .withColumn("pre_session", is_pre_session(F.col("ts"), cfg.pre_session_end_sec)).drop("remaining", "is_open"))
+    gate = (F.when(normal & ~Q.is_liquid(F.col("bid"), F.col("ask"), cfg), "GATE_LIQUIDITY")
+            .when(F.col("price").isNull(), "ABORT_NO_PRICE")
+            .when(~under_ceiling(F.col("price"), F.col("is_fda"), cfg), "ABORT_PRICE_CEILING")
+            .when(~over_vwap(F.col("price"), F.col("vwap"), F.col("is_fda")), "ABORT_VWAP"))
+    rows = rows.withColumns({"_gate": gate, "request": slot_request(F.col("request"), sizing), "need": needed_slots(F.col("price"), per_slot, cfg)})
+    rows = materialise(rows, "gated")  # read for the entries and for the outcomes
+    at = F.struct(*order)
+    entries = pool_entries(rows.filter(F.col("_gate").isNull() & ~F.col("is_open")), at, cfg, run=run)
+    rows = with_entries(rows, entries, at, cfg, run=run)
+    outcome = (F.when(F.col("is_open"), "SKIP_OPEN_POSITION").when(F.col("left") <= 0, "SKIP_NO_SLOTS")
+               .when(F.col("_gate").isNotNull(), F.col("_gate")).when(F.col("slots_used") < 1, "ABORT_NO_SHARE").otherwise("ENTER"))
+    spend = F.col("slots_used") * F.lit(per_slot)
+    quantity = F.when(F.col("slots_used") > 0, floor_div(spend, F.col("price"))).otherwise(F.lit(0)).cast("bigint")
+    claimed = F.when(F.col("is_fda"), F.col("left")).otherwise(F.least("request", "left"))
+    return rows.withColumns({"outcome": outcome, "slots": claimed, "quantity": quantity,
+                             "pre_session": is_pre_session(F.col("ts"), cfg.pre_session_end_sec)}).drop("is_open", "_gate", "need", "paused")
 
 
 def allocate_slots(signals: DataFrame, cfg: Entry = Entry(), sizing: Sizing = Sizing(), *,
@@ -192,11 +201,3 @@ def report(trips: DataFrame) -> DataFrame:
         "pnl_pct": pnl_pct(F.col("sold_at"), F.col("bought_at")),
         "pnl_usd": (F.col("sold_at") - F.col("bought_at")) * F.col("quantity"),
         "holding_sec": (F.unix_micros("exit_time") - F.unix_micros("entry_time")) / F.lit(1e6)})
-
-
-def run_complete(allocated: DataFrame, cfg: Entry = Entry(), *, run: str = "run") -> DataFrame:
-    """A run is complete once its pool is spent and every accepted position has an exit."""
-    return allocated.groupBy(run).agg(
-        F.sum("allocated").alias("slots_spent"),
-        F.count(F.when((F.col("allocated") > 0) & F.col("exit_time").isNull(), 1)).alias("still_open")).withColumn(
-        "is_complete", (F.col("slots_spent") >= cfg.pool) & (F.col("still_open") == 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import (
     EVENT_ENTRY, EVENT_ENTRY_UNFILLED, EVENT_EXIT, EVENT_EXIT_UNFILLED, TRADE_LOG_COLUMNS,
@@ -17,8 +17,9 @@ def order_legs(orders: DataFrame) -> DataFrame:
     return legs.select("order_id", "status", F.col("_l.quantity").alias("leg_qty"), F.col("_l.price").alias("leg_px"))
 
 
-def order_fills(orders: DataFrame) -> DataFrame:
-    """Status, filled quantity and average fill price, computed inside each order row (no shuffle)."""
+def order_fills(orders: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Status, filled quantity and average fill price, computed inside each order row (no shuffle); ``keep`` names
+    columns to carry along."""
     legs = F.flatten(F.transform(F.coalesce("orderActivityCollection", F.array().cast(
         "array<struct<executionLegs: array<struct<quantity: double, price: double>>>>")),
         lambda a: F.coalesce(a["executionLegs"], F.array().cast("array<struct<quantity: double, price: double>>"))))
@@ -29,7 +30,7 @@ def order_fills(orders: DataFrame) -> DataFrame:
     rows = orders.withColumn("_t", total)
     price = (F.when(F.col("_t.q") > 0, F.col("_t.n") / F.col("_t.q"))
              .when((F.col("status") == "FILLED") & truthy(F.col("price")).isNotNull(), F.col("price")))
-    return rows.select("order_id", "status", F.coalesce("filledQuantity", F.lit(0.0)).alias("filled_quantity"),
+    return rows.select(*keep, "order_id", "status", F.coalesce("filledQuantity", F.lit(0.0)).alias("filled_quantity"),
                        price.alias("avg_fill_price"))
 
 
@@ -59,6 +60,27 @@ def trade_log_rows(trades: DataFrame) -> DataFrame:
                          F.coalesce("headline", F.lit("")).alias("headline")).select(*TRADE_LOG_COLUMNS)
 
 
-def append_trade_log(trades: DataFrame, path: str) -> None:
-    """Append to a CSV folder; each part file carries the header once. Usable in ``foreachBatch``."""
-    trade_log_rows(trades).write.mode("append").option("header", True).csv(path)
+#: Beside the batches of a log: its header, and which batches are whole.
+HEADER, MANIFEST = "_header", "_manifest"
+
+
+def append_trade_log(trades: DataFrame, path: str, batch: int = 0) -> None:
+    """Write one batch of a CSV log; for ``foreachBatch``.
+
+    A batch has a folder of its own and is listed in the manifest once it is whole, so a replayed batch adds nothing and
+    a broken one is not read. The log has one header, beside the batches.
+    """
+    spark = trades.sparkSession
+    rows = trade_log_rows(trades)
+    rows.write.mode("overwrite").csv(f"{path}/batch={batch}")
+    names = spark.createDataFrame([(",".join(rows.columns),)], "value string").coalesce(1)
+    names.write.mode("ignore").text(f"{path}/{HEADER}")
+    spark.range(1).select(F.lit(batch).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}/batch={batch}")
+
+
+def read_trade_log(spark: SparkSession, path: str) -> DataFrame:
+    """The whole batches of a log, columns named by its header."""
+    names = spark.read.text(f"{path}/{HEADER}").first()[0].split(",")
+    whole = spark.read.option("basePath", f"{path}/{MANIFEST}").parquet(f"{path}/{MANIFEST}").select("batch").distinct()
+    rows = spark.read.schema(", ".join([*(f"`{n}` string" for n in names), "batch int"])).csv(path, emptyValue="", nullValue="\u0000")
+    return rows.join(whole, "batch", "left_semi").select(*names)

@@ -176,9 +176,14 @@ def test_orders_and_log(spark, tmp_path):
                                     ("ENTRY_ATTEMPT_UNFILLED", "B", T0, 2.0, 0.0, None, "r", "h")],
                                    "event string, ticker string, time timestamp, price double, quantity double, pnl_pct double, reason string, headline string")
     path = str(tmp_path / "log")
-    O.append_trade_log(trades.coalesce(1), path)
-    with open(glob.glob(path + "/*.csv")[0]) as f:
-        rows = list(csv.DictReader(f))
+    for batch in (0, 1, 1):  # the second batch is delivered twice
+        O.append_trade_log(trades.coalesce(1), path, batch)
+    with open(glob.glob(path + "/_header/*.txt")[0]) as head, open(glob.glob(path + "/batch=0/*.csv")[0]) as f:
+        rows = list(csv.DictReader([*head, *f]))
     assert list(rows[0]) == ["event", "ticker", "time", "price", "value", "reason", "headline"]
+    trades.write.csv(path + "/batch=7")  # a batch that broke before it was listed
+    again = [r.asDict() for r in O.read_trade_log(spark, path).collect()]
+    key = lambda r: sorted(r.items())
+    assert sorted(again, key=key) == sorted(rows * 2, key=key)
     assert [r["price"] for r in rows] == [f"{1.00005:.4f}", "2.0000", "2.0000"]
     assert [r["value"] for r in rows] == ["qty=3", f"{0.125:+.2f}", "unfilled"]
