@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -203,8 +205,9 @@ class Lattices:
         return ids.astype(np.int32), n
 
 
-def sample(vocabulary: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> list[np.ndarray | None]:
-    """Ids of one segmentation of each text, drawn backwards through its lattice with the text's seed."""
+def sampled(vocabulary: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of one segmentation of each text, end to end, drawn backwards through its lattice with the text's seed; and
+    how many ids each text has."""
     found = [_RUN.findall(f" {t}") if t else [] for t in texts]
     counts = np.fromiter(map(len, found), np.int64, len(found))
     names: dict[str, int] = {}
@@ -214,9 +217,13 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], seeds: np.ndarray) -
     place = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
     codes, taken = lattices.draw(run, mixed(seeds.astype(np.uint64)[owner] + mixed(place.astype(np.uint64))))
     ids, n = lattices.spell(codes)
-    of_text = np.bincount(np.repeat(owner, taken), weights=n, minlength=len(texts)).astype(np.int64)
-    parts = np.split(ids, np.cumsum(of_text)[:-1])
-    return [None if t is None else p for t, p in zip(texts, parts, strict=True)]
+    return ids, np.bincount(np.repeat(owner, taken), weights=n, minlength=len(texts)).astype(np.int64)
+
+
+def sample(vocabulary: Vocabulary, texts: list[str | None], seeds: np.ndarray) -> list[np.ndarray | None]:
+    """The ids of each text; none for none."""
+    ids, sizes = sampled(vocabulary, texts, seeds)
+    return [None if t is None else p for t, p in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True)]
 
 
 def decode(ids: list[int] | np.ndarray | None, pieces: list[bytes]) -> str | None:
@@ -242,22 +249,28 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
+#: Characters of the texts whose lattices are held at once.
+TOGETHER = 100_000
+
+
 def _encoded(model: bytes, sharpness: float):
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Adds the pieces to batches of (id, content, seed): few texts at a time, so that memory stays small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(model, sharpness)
-        for content, seed in batches:
-            ids: list = []
-            seeds = seed.to_numpy(np.int64).view(np.uint64)
-            texts = [t if isinstance(t, str) else None for t in content]
+        for batch in batches:
+            content = batch.column("content")
+            upto = np.cumsum(pc.fill_null(pc.utf8_length(content), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            seeds = batch.column("seed").to_numpy().view(np.uint64)
             at = 0
-            while at < len(texts):  # by length, so that arrays stay small
-                to, n = at, 0
-                while to < len(texts) and (to == at or n < 250_000):
-                    n += len(texts[to] or "")
-                    to += 1
-                ids += sample(vocabulary, texts[at:to], seeds[at:to])
+            while at < len(upto):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER)))
+                part = batch.slice(at, to - at)
+                ids, sizes = sampled(vocabulary, content.slice(at, to - at).to_pylist(), seeds[at:to])
+                offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids), mask=pc.is_null(part.column("content")))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("content"), lists], ["id", "content", "pieces"])
                 at = to
-            yield pd.Series(ids, dtype=object)
 
     return run
 
@@ -271,20 +284,8 @@ def _decoded(model: bytes):
     return run
 
 
-def sampled_ids(text: Column, seed: Column, model: bytes, sharpness: float = 1.0) -> Column:
-    kind = T.ArrayType(T.IntegerType())
-    return F.pandas_udf(_hinted(_encoded(model, sharpness), "two"), kind)(text, seed)
-
-
 def text_of(ids: Column, model: bytes) -> Column:
-    return F.pandas_udf(_hinted(_decoded(model), "one"), T.StringType())(ids)
-
-
-def _hinted(fn, inputs: str):
-    """Type hints that tell Spark the shape of an iterator function."""
-    fn.__annotations__ = {"batches": Iterator[pd.Series] if inputs == "one" else Iterator[tuple[pd.Series, pd.Series]],
-                          "return": Iterator[pd.Series]}
-    return fn
+    return F.pandas_udf(_decoded(model), T.StringType())(ids)
 
 
 def encode_articles(articles: DataFrame, model: str = MODEL, key: str = "id", text: str = "content",
@@ -300,9 +301,12 @@ def encode_articles(articles: DataFrame, model: str = MODEL, key: str = "id", te
     ignored; no rows give no rows.
     """
     rows = narrowed(articles, id=key, content=text)
-    return rows.withColumn("pieces", sampled_ids(F.col("content"), F.xxhash64("id", F.lit(salt)), model_bytes(model), sharpness))
+    kind = dict(rows.dtypes)["id"]
+    return rows.withColumn("seed", F.xxhash64("id", F.lit(salt))).mapInArrow(
+        _encoded(model_bytes(model), sharpness), f"id {kind}, content string, pieces array<int>")
 
 
 def decode_articles(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces", to: str = "decoded") -> DataFrame:
-    """Adds the text that a list of pieces spells: exactly the encoded one. Null for null."""
+    """Adds the text that a list of pieces spells: exactly the encoded one, null for null, as column ``to``, in place of
+    a column of that name."""
     return encoded.withColumn(to, text_of(F.col(f"`{pieces}`"), model_bytes(model)))
