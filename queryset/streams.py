@@ -15,21 +15,41 @@ from .core import query
 from .views import with_views
 
 
-def stream_of(spark, sf, name):
-    return file_stream(spark, sf, V.table(spark, sf, name).schema, pattern=f"{name}.parquet")
+BATCHES = 5
+
+
+def _dealt(spark, rows, key, label):
+    """A feed in several files, one a micro-batch, dealt by a hash: out of order in time."""
+    folder = fresh_folder(spark, label)
+    rows.repartition(BATCHES, key).write.parquet(folder)
+    return file_stream(spark, folder, rows.schema, files_per_trigger=1)
+
+
+def _in_order(spark, rows, at, label):
+    """A feed in several files, one a micro-batch, each later in time than the one before."""
+    folder, micros = fresh_folder(spark, label), F.unix_micros(F.col(at).cast("timestamp"))
+    first, last = rows.agg(F.min(micros), F.max(micros)).first()
+    part = F.least(F.floor((micros - F.lit(first)) * BATCHES / F.lit(max((last or 0) - (first or 0), 1))), F.lit(BATCHES - 1))
+    for n in range(BATCHES):
+        rows.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+    return file_stream(spark, folder, rows.schema, files_per_trigger=1)
 
 
 def _news(spark, sf):
-    return V.news_of(stream_of(spark, sf, "documents"))
+    return V.news_of(_dealt(spark, V.table(spark, sf, "documents"), "doc_id", "articles"))
 
 
 def _both(spark, sf):
-    again = _news(spark, sf).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 300 SECONDS"))
-    return _news(spark, sf).union(again)
+    """The live feed and, interleaved with it, what the backfill delivers again: each id comes twice, often in different batches."""
+    once = V.table(spark, sf, "documents")
+    feed_rows = once.withColumn("late", F.lit(0)).unionByName(once.withColumn("late", F.lit(300))).withColumn("_deal", F.hash("doc_id", "late"))
+    rows = _dealt(spark, feed_rows, "_deal", "articles")
+    late = F.make_interval(secs=F.col("late"))
+    return V.news_of(rows, keep=("late",)).withColumn("created_at", F.col("created_at") + late).drop("late")
 
 
 def _polls(spark, sf):
-    return V.polls_of(stream_of(spark, sf, "events"))
+    return V.polls_of(_in_order(spark, V.table(spark, sf, "events"), "ts", "polls"))
 
 
 def _tagged(spark, sf):
@@ -54,13 +74,14 @@ def st_news_ingest(spark, sf):
 
 @query("st_dedup_article", with_views("news", "SELECT DISTINCT id, headline_md5 FROM (SELECT id, md5(headline) AS headline_md5 FROM news)"))
 def st_dedup_article(spark, sf):
-    once = drain(SN.dedup(_both(spark, sf)), "news-dedup")
+    """Live and backfill copies in micro-batches out of order; an id is kept once, whenever its copies come."""
+    once = SN.dedup(_both(spark, sf))
     return once.select("id", F.md5(F.encode("headline", "UTF-8")).alias("headline_md5"))
 
 
 @query("st_late_backfill", with_views("news", "SELECT date_trunc('day', created_at) AS window_start, count(*) AS articles FROM news GROUP BY 1"), stamps="window_start")
 def st_late_backfill(spark, sf):
-    return drain_updates(SN.counts(_both(spark, sf)), "news-counts", ["window_start"])
+    return SN.counts(_both(spark, sf))
 
 
 @query("st_session_high", with_views("quotes", QQ.HIGHS), stamps="ts", doubles="last prior_high")
@@ -79,14 +100,15 @@ def st_halt_reopen(spark, sf):
     FROM confirmed""", **QQ.CONFIRM), doubles="up_volume down_volume")
 def st_tick_window(spark, sf):
     """All signals: decided on the stream, or, where the tape ends before the deadline, at its end."""
-    signals = V.quote_signals_of(stream_of(spark, sf, "events"))
+    signals = V.quote_signals_of(_in_order(spark, V.table(spark, sf, "events"), "ts", "signals")).drop("run")
     out = drain(SQ.confirm(signals, _polls(spark, sf), V.adv(spark, sf), V.CONFIRM), "tick-window")
     return SQ.close_tape(out, V.quote_signals(spark, sf), V.quotes(spark, sf), V.adv(spark, sf), V.CONFIRM)
 
 
 @query("st_recycled_headline")
 def st_recycled_headline(spark, sf):
-    return drain(SN.recycled(_tagged(spark, sf)), "recycled")
+    rows = V.news_of(_in_order(spark, V.table(spark, sf, "documents").withColumn("created_at", V.news_time()), "created_at", "articles"))
+    return drain(SN.recycled(rows.withColumn("ticker", F.explode("symbols"))), "recycled")
 
 
 @query("st_market_scan", with_views("quotes adv", "SELECT ticker, scan_ts, event_id, gap_pct, rvol FROM scans",
@@ -109,8 +131,6 @@ def st_bullish_refresh(spark, sf):
 @query("st_position_monitor", with_views("positions bars_calm", """SELECT ticker, entry_time, exit_time, exit_price, exit_reason FROM exits
     WHERE exit_time IS NOT NULL""", **QP.EXIT), stamps="entry_time exit_time", doubles="exit_price")
 def st_position_monitor(spark, sf):
-    folder = fresh_folder(spark, "bars")
-    V.bars_calm(spark, sf).write.parquet(folder)
-    bars = spark.read.parquet(folder)
+    bars = V.stored(V.bars_calm(spark, sf), "bars")
     held = V.stored(V.positions(spark, sf, bars), "positions")
-    return drain(SP.monitor(file_stream(spark, folder, bars.schema), held), "exits")
+    return drain(SP.monitor(_in_order(spark, bars, "ts", "bars-in-order"), held), "exits")

@@ -127,18 +127,22 @@ def news_once(spark: SparkSession, sf: str) -> DataFrame:
     return news_of(table(spark, sf, "documents"))
 
 
-def news_of(documents: DataFrame) -> DataFrame:
+def news_time() -> Column:
+    return F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("doc_id") * 7919) % 2_592_000)
+
+
+def news_of(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Whole documents as articles: the first sentence is the headline, all the rest the summary."""
     t = lambda n: F.concat(F.lit("T"), (F.col("doc_id") + n) % 5)
     first = F.regexp_extract("text", r"^[^.\n]*", 0)
-    seconds = F.lit(1_704_067_200) + (F.col("doc_id") * 7919) % 2_592_000
     return documents.select(
+        *keep,
         F.col("doc_id").alias("id"),
         F.when(F.col("doc_id") % 3 == 0, F.array(t(0), t(1), t(2), F.lit("X9")))
         .otherwise(F.array(t(0))).alias("symbols"),
         F.concat(_headline_prefix(), first).alias("headline"),
         F.expr(r"substring(text, length(regexp_extract(text, '^[^.\\n]*', 0)) + 1)").alias("summary"),
-        F.timestamp_seconds(seconds).alias("created_at"))
+        news_time().alias("created_at"))
 
 
 def news(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,25 +7,57 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import News
 from ..functions import text as X
+from ..session import fresh_folder
+from ..sources.news import first_of_each
+from .run import for_each_batch
 
 
-def dedup(news: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop repeats of an article id inside the delay by which a backfill may trail the live feed.
-    Articles without an id are all kept. State is freed as the watermark passes."""
-    marked = news.withWatermark("created_at", delay)
-    known = marked.filter(F.col("id").isNotNull()).dropDuplicatesWithinWatermark(["id"])
-    return known.union(news.filter(F.col("id").isNull()))
+def dedup(news: DataFrame, label: str = "news-once", horizon_days: int | None = None) -> DataFrame:
+    """Drain a stream of articles and return the first arrival of each id, however late any copy comes.
 
+    Every micro-batch is reduced to one row per id and anti-joined with the ids that earlier batches stored, by day. A batch
+    overwrites its own folder only, so a replayed one adds nothing. ``horizon_days`` bounds the days looked up before the oldest
+    article of the batch; without it all are. Articles without an id are all kept.
+    """
+    spark = news.sparkSession
+    path = fresh_folder(spark, label)
+    schema = T.StructType([*news.schema.fields, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
 
-def counts(news: DataFrame, window: str = "1 day", delay: str = "10 minutes") -> DataFrame:
-    """Articles per time window; rows late by at most the delay still count (update mode)."""
-    return (news.withWatermark("created_at", delay).groupBy(F.window("created_at", window).alias("_w"))
-            .agg(F.count(F.lit(1)).alias("articles")).select(F.col("_w.start").alias("window_start"), "articles"))
+    def keep(batch: DataFrame, number: int) -> None:
+        rows = first_of_each(batch)
+        if number:
+            stored = spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch") < number)
+            if horizon_days is not None:
+                oldest = batch.agg(F.date_sub(F.to_date(F.min("created_at")), horizon_days)).first()[0]
+                stored = stored.filter(F.col("day") >= F.lit(oldest)) if oldest else stored
+            rows = rows.join(stored.select("id"), "id", "left_anti")
+        rows.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
+
+    for_each_batch(news, keep, path)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).drop("batch", "day")
+
+
+def counts(news: DataFrame, window: str = "1 day", label: str = "news-counts") -> DataFrame:
+    """Drain a stream of articles and count them per time window, late ones too.
+
+    Counts add up, so every micro-batch writes its own and none waits for a watermark; a replayed batch overwrites
+    its own. Articles without a time are in no window.
+    """
+    spark = news.sparkSession
+    path = fresh_folder(spark, label)
+
+    def count(batch: DataFrame, number: int) -> None:
+        rows = batch.groupBy(F.window("created_at", window).alias("_w")).agg(F.count(F.lit(1)).alias("articles"))
+        rows.select(F.col("_w.start").alias("window_start"), "articles").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    for_each_batch(news, count, path)
+    rows = spark.read.schema("window_start timestamp, articles bigint, batch bigint").parquet(path)
+    return rows.groupBy("window_start").agg(F.sum("articles").alias("articles"))
 
 
 def bullish(news: DataFrame, candidates: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ executor or driver where it stopped. The state functions see one key's rows of o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,6 +40,11 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def for_each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], path: str) -> None:
+    """Run ``write`` for every micro-batch of all available input, in order, beside a checkpoint at ``path``."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def drain_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Run an update stream over all available input and return the newest row per key.
 

@@ -67,9 +67,26 @@ def test_dedup_and_recycled(spark):
     path = fresh_folder(spark, "articles")
     df.coalesce(1).write.parquet(path)
     stream = lambda: file_stream(spark, path, df.schema)
-    once = [r["id"] for r in drain(SN.dedup(stream()), "dedup").collect()]
+    once = [r["id"] for r in SN.dedup(stream()).collect()]
     assert sorted(i for i in once if i is not None) == sorted({r[0] for r in rows if r[0] is not None})
     assert once.count(None) == sum(r[0] is None for r in rows)
     tagged = df.withColumn("id", F.coalesce("id", F.lit(-1)))
     got = ids(drain(SN.recycled(stream().withColumn("id", F.coalesce("id", F.lit(-1)))), "recycled"), "created_at", "is_recycled")
     assert got == ids(N.recycled_headlines(tagged), "created_at", "is_recycled")
+
+
+def test_late_articles_are_kept_and_counted(spark):
+    """Five ids in four files, days apart and out of order, with copies in earlier and later files and a file delivered again."""
+    day = timedelta(days=1)
+    files = [[(1, T0 + 3 * day, "a"), (2, T0 + 3 * day, "b"), (None, T0, "n")], [(4, T0 - 9 * day, "late"), (1, T0 + 3 * day + timedelta(minutes=5), "a")],
+             [(5, T0 - 40 * day, "later"), (4, T0 - 8 * day, "copy"), (5, T0 - 40 * day, "later")], [(3, T0, "c"), (None, T0, "n"), (2, None, "no time")]]
+    path = fresh_folder(spark, "late")
+    for rows in files:
+        spark.createDataFrame(rows, "id long, created_at timestamp, headline string").coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    got = [(r["id"], r["headline"]) for r in SN.dedup(stream()).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (2, "b"), (4, "late"), (5, "later"), (3, "c"), (None, "n"), (None, "n")], key=str)
+    assert len(SN.dedup(stream(), horizon_days=60).collect()) == 7
+    every = spark.read.parquet(path)
+    want = {r["d"]: r["n"] for r in every.filter("created_at IS NOT NULL").groupBy(F.date_trunc("day", "created_at").alias("d")).agg(F.count("*").alias("n")).collect()}
+    assert {r["window_start"]: r["articles"] for r in SN.counts(stream()).collect()} == want and sum(want.values()) == 10
