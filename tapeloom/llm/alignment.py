@@ -65,16 +65,22 @@ class Coder:
                         else b"" if b.is_control(i) or b.is_unknown(i) else b.id_to_piece(i).replace(BLANK, " ").encode()
                         for i in range(b.get_piece_size())]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        # ids in decimal, each with a place for the mark after it
+        text = np.arange(max(len(self.a_bytes), len(self.b_bytes))).astype("S")
+        self.digits = np.zeros((len(text), text.dtype.itemsize + 1), np.uint8)
+        self.digits[:, :-1] = text.view(np.uint8).reshape(len(text), -1)
+        self.n_digits = (self.digits > 0).sum(axis=1)
 
-    def encode(self, content: str | None) -> tuple[list[int], list[int]]:
+    def encode(self, content: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids by both; none where the text is empty or either does not spell a blank and the text."""
-        if not content:
-            return [], []
-        spelt = b" " + utf8(content)
-        text = spelt.decode()
-        a, b = self._a.encode_ordinary(text), self._b.encode(text[1:])
-        same = b"".join(map(self.a_bytes.__getitem__, a)) == spelt == b"".join(map(self.b_bytes.__getitem__, b))
-        return (a, b) if same else ([], [])
+        if content:
+            spelt = b" " + utf8(content)
+            text = spelt.decode()
+            a, b = np.array(self._a.encode_ordinary(text), np.int64), self._b.encode(text[1:])
+            # byte-level tokens are cut out of the text itself: none is missing if their sizes add up
+            if self.a_sizes[a].sum() == len(spelt) and b"".join(map(self.b_bytes.__getitem__, b)) == spelt:
+                return a, np.array(b, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 _LOADED: dict[int, Coder] = {}
@@ -89,15 +95,13 @@ def _coder(byte_level: bytes, pieces: bytes) -> Coder:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers as bytes, low bytes of all first, compressed: small ones take little room."""
+    """Whole numbers in as few bytes as the largest needs, compressed."""
     width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
-    planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=6).compress(x.astype(f"<u{width}").tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel().astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
 def _rising(x: np.ndarray) -> bytes:
@@ -108,55 +112,65 @@ def _risen(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data))
 
 
+def _factors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in rising order, and which of them each key is."""
+    codes, kinds = pd.factorize(keys)
+    order = np.argsort(kinds)
+    rank = np.empty(len(kinds), np.int64)
+    rank[order] = np.arange(len(kinds))
+    return kinds[order], rank[codes]
+
+
 class Links:
-    """The links of a chunk of encoded articles: one for each run of bytes that no token of either begins in."""
+    """The links of a chunk of encoded articles: one for each run of bytes that no token of either begins in.
+
+    Byte by byte of the chunk, flags tell where tokens end; running counts of them number the tokens.
+    """
 
     def __init__(self, row, coder: Coder):
-        self.ids = list(row["ids"])
+        self.coder, self.ids = coder, list(row["ids"])
         self.n_a, self.n_b = np.array(row["n_a"], np.int64), np.array(row["n_b"], np.int64)
         self.a, self.b = _unpacked(row["a"]), _unpacked(row["b"])
-        ends_a, ends_b = np.cumsum(coder.a_sizes[self.a]), np.cumsum(coder.b_sizes[self.b])  # texts end together
-        ends = np.union1d(ends_a, ends_b)
-        self.at_a, self.at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        self.shared = (ends_a[self.at_a] == ends) & (ends_b[self.at_b] == ends) if len(ends) else np.zeros(0, bool)
-        self.owner = np.repeat(np.arange(len(self.ids)), self.n_a)[self.at_a]
-        self.pair = self.a[self.at_a] * len(coder.b_bytes) + self.b[self.at_b]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs in rising order, and how many articles of the chunk hold each."""
-        order = np.lexsort((self.owner, self.pair))
-        pair, owner = self.pair[order], self.owner[order]
-        first = np.ones(len(pair), bool)
-        first[1:] = (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])
-        return np.unique(pair[first], return_counts=True)
+        ends = np.cumsum(coder.a_sizes[self.a]), np.cumsum(coder.b_sizes[self.b])  # texts end together
+        size = int(ends[0][-1]) if len(self.a) else 0
+        in_a, in_b = (np.zeros(size + 1, bool) for _ in ends)
+        in_a[ends[0]], in_b[ends[1]] = True, True
+        cut = np.flatnonzero(in_a | in_b)
+        self.at_a, self.at_b = ((np.cumsum(x, dtype=np.int32) - x)[cut] for x in (in_a, in_b))
+        self.shared = (in_a & in_b)[cut]
+        self.pair, self.which = _factors(self.a[self.at_a] * len(coder.b_bytes) + self.b[self.at_b])
+        # links lie article by article
+        last = np.cumsum(self.n_a) - 1
+        upto = np.searchsorted(self.at_a, last, side="right")
+        upto[self.n_a == 0] = 0
+        self.upto = np.maximum.accumulate(upto) if len(upto) else upto
+
+    def per_article(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the links of each article."""
+        return np.diff(np.append(0, np.cumsum(values))[np.append(0, self.upto)])
+
+    def counts(self) -> np.ndarray:
+        """How many articles of the chunk hold each pair."""
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(np.append(0, self.upto)))
+        held = pd.unique(owner * max(len(self.pair), 1) + self.which)
+        return np.bincount(held % max(len(self.pair), 1), minlength=len(self.pair))
 
     def groups(self) -> list[str]:
         """The digest of every article's groups; empty without tokens."""
-        group_a = np.cumsum(self.shared) - self.shared  # links to groups, then tokens to groups
-        group_of_a = group_a[np.searchsorted(self.at_a, np.arange(len(self.a)))]
-        group_of_b = group_a[np.searchsorted(self.at_b, np.arange(len(self.b)))]
+        group = np.cumsum(self.shared) - self.shared  # of links; every token has one at least
+        of_a, of_b = (group[np.flatnonzero(np.diff(at, prepend=-1))] for at in (self.at_a, self.at_b))
         n = int(self.shared.sum())
-        in_a, in_b = np.bincount(group_of_a, minlength=n), np.bincount(group_of_b, minlength=n)
-        place_a = np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[group_of_a]
-        place_b = np.arange(len(self.b)) + np.cumsum(in_a)[group_of_b]
+        in_a, in_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
+        place_a = np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[of_a]
+        place_b = np.arange(len(self.b)) + np.cumsum(in_a)[of_b]
         code, mark = np.empty(len(self.a) + len(self.b), np.int64), np.empty(len(self.a) + len(self.b), np.uint8)
-        code[place_a], code[place_b] = self.a, self.b
-        mark[place_a] = np.where(np.append(group_of_a[1:], -1)[: len(self.a)] == group_of_a, ord(","), ord("|"))
-        mark[place_b] = np.where(np.append(group_of_b[1:], -1)[: len(self.b)] == group_of_b, ord(","), ord(";"))
-        kinds, which = np.unique(code, return_inverse=True)
-        text = kinds.astype("S")
-        wide = text.dtype.itemsize + 1
-        spelt = np.zeros((len(kinds), wide), np.uint8)
-        spelt[:, :-1] = text.view(np.uint8).reshape(len(kinds), wide - 1)
-        sizes = (spelt > 0).sum(axis=1)
-        digests, at = [], 0
-        for n_tokens in (self.n_a + self.n_b).tolist():
-            mine = which[at: at + n_tokens]
-            rows, ends = spelt[mine], sizes[mine]
-            rows[np.arange(n_tokens), ends] = mark[at: at + n_tokens]
-            digests.append(hashlib.sha256(rows[rows > 0].tobytes()[:-1]).hexdigest() if n_tokens else "")
-            at += n_tokens
-        return digests
+        for place, own, of, end in ((place_a, self.a, of_a, "|"), (place_b, self.b, of_b, ";")):
+            code[place], mark[place] = own, np.where(np.append(of[1:], -1)[: len(own)] == of, ord(","), ord(end))
+        rows, sizes = self.coder.digits[code], self.coder.n_digits[code]
+        rows[np.arange(len(rows)), sizes] = mark
+        flat = rows[rows > 0]
+        ends = np.append(0, np.cumsum(sizes + 1))[np.append(0, np.cumsum(self.n_a + self.n_b))]
+        return [hashlib.sha256(flat[x: y - 1].tobytes()).hexdigest() if y > x else "" for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 class PerfectHash:
@@ -242,7 +256,7 @@ def _encoded(byte_level: bytes, pieces: bytes, chunk_bytes: int):
                 ids.append(None if pd.isna(i) else i)
                 for codes, sizes, all_codes in zip(found, (n_a, n_b), (a, b), strict=True):
                     sizes.append(len(codes))
-                    all_codes.append(np.array(codes, np.int64))
+                    all_codes.append(codes)
                 size += len(content or "") + 16
                 if size >= chunk_bytes:
                     yield chunk()
@@ -274,7 +288,8 @@ def _asked(byte_level: bytes, pieces: bytes, slices: int):
         coder = _coder(byte_level, pieces)
         for batch in batches:
             for _, row in batch.iterrows():
-                pairs, counts = Links(row, coder).pairs()
+                links = Links(row, coder)
+                pairs, counts = links.pair, links.counts()
                 order, begin = _sliced(pairs, len(coder.b_bytes), slices)
                 pairs, counts = pairs[order], counts[order]
                 out = [(s, row["chunk"], _rising(pairs[x:y]), _packed(counts[x:y]))
@@ -351,20 +366,16 @@ def _aligned(byte_level: bytes, pieces: bytes, slices: int):
             return pd.DataFrame(columns=columns)
         coder = _coder(byte_level, pieces)
         links = Links(chunks.iloc[0], coder)
-        pairs, which = np.unique(links.pair, return_inverse=True)
         answers = answers.sort_values("slice")
-        order, _ = _sliced(pairs, len(coder.b_bytes), slices)
-        counts, best = (np.zeros(len(pairs), np.int64) for _ in range(2))
-        if len(pairs):
+        order, _ = _sliced(links.pair, len(coder.b_bytes), slices)
+        counts, best = (np.zeros(len(links.pair), np.int64) for _ in range(2))
+        if len(order):
             counts[order] = np.concatenate([_unpacked(x) for x in answers["counts"]])
             best[order] = np.concatenate([_unpacked(x) for x in answers["best"]])
-        n = len(links.ids)
-        sums = np.zeros(n, np.int64)
-        np.add.at(sums, links.owner, counts[which])
-        per = lambda values: np.bincount(links.owner[values], minlength=n)
+        per = links.per_article
         return pd.DataFrame({"id": pd.Series(links.ids, dtype=object), "n_a": links.n_a, "n_b": links.n_b,
-                             "n_groups": per(links.shared), "n_links": per(np.ones(len(which), bool)),
-                             "n_best": per(best[which] == 1), "count_sum": sums, "groups_sha256": links.groups()})
+                             "n_groups": per(links.shared), "n_links": per(np.ones(len(links.which), np.int64)),
+                             "n_best": per(best[links.which]), "count_sum": per(counts[links.which]), "groups_sha256": links.groups()})
 
     return run
 
