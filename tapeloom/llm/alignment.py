@@ -31,7 +31,7 @@ CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 class Layout:
     """Sizes of the work, none of which changes a result."""
 
-    chunk_bytes: int = 3_000_000   # texts of about so many bytes are aligned at once
+    chunk_bytes: int = 1_500_000   # texts of about so many bytes are aligned at once
     slice_pairs: int = 1_000_000   # pairs, counted once a chunk, that share a slice
     fan_in: int = 32               # chunks, or sums, that one task adds up
 
