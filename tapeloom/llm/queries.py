@@ -97,9 +97,9 @@ def labels(spark: SparkSession, sf: str, label: str, but: tuple[int, int]) -> Da
     return every.filter(remainder("doc_id", but[0]) != but[1]).select(F.col("doc_id").alias("id"), label)
 
 
-def held_out(scored: DataFrame, of: int, rest: int, threshold: float) -> DataFrame:
+def held_out(scored: DataFrame, of: int, rest: int, threshold: float, *more: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (remainder("id", of) == rest).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+                         (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 @query("op8_quality_classifier")
@@ -117,7 +117,7 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op2_toxicity")
 def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
-    return held_out(toxicity(articles(spark, sf), labels(spark, sf, "toxic", (3, 1))), 3, 1, 0.7)
+    return held_out(toxicity(articles(spark, sf), labels(spark, sf, "toxic", (3, 1))), 3, 1, 0.7, "evidence")
 
 
 @query("op9_secrets")

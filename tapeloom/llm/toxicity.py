@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import pickle
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.session import materialise
@@ -30,128 +29,178 @@ class Votes:
     stem: int = 5             # a longer word also counts as its first letters
     neighbours: int = 25
     block: int = 64
-    checked: int = 4000       # examples voted on by the others, for calibration
+    aside: float = 0.2        # share of the examples that only calibrates
+    checked: int = 4000       # and at most so many
     shown: int = 3            # neighbours named as evidence
 
 
-def terms(content: str | None, stem: int) -> Counter:
-    """Words of letters, lower case, and the stems of longer ones, with their counts."""
-    found = Counter(_LETTERS.findall((content or "").lower()))
-    for w in list(found):
-        if len(w) > stem:
-            found[f"{w[:stem]}~"] += found[w]
-    return found
+def _hashed(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
 
 
 class Terms:
-    """Known terms of a text: number of each, and counts. Remembers words, up to a bound."""
-
-    def __init__(self, vocabulary: list[str], stem: int, most: int = 500_000):
-        self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.stem, self.most, self.memo = stem, most, {}
-
-    def __call__(self, content: str | None) -> tuple[np.ndarray, np.ndarray]:
-        memo, number, hits = self.memo, self.number, []
-        if len(memo) > self.most:
-            memo.clear()
-        for w in _LETTERS.findall((content or "").lower()):
-            known = memo.get(w)
-            if known is None:
-                pair = (number.get(w), number.get(f"{w[:self.stem]}~") if len(w) > self.stem else None)
-                known = memo[w] = tuple(x for x in pair if x is not None)
-            hits += known
-        at, counts = np.unique(np.array(hits, np.int64), return_counts=True)
-        return at, counts.astype(np.float64)
+    """Terms of texts: words of letters, lower case, and the stems of longer ones (``abcde~``), by 64-bit hashes.
+
+    With a vocabulary (rising hashes) terms are numbers in it and others are left out. Words seen are remembered, up to a bound.
+    """
+
+    def __init__(self, stem: int, vocabulary: np.ndarray | None = None, most: int = 60_000):
+        self.stem, self.vocabulary, self.most = stem, vocabulary, most
+        self.memo: dict[str, tuple[int, int]] = {}
+
+    def _numbers(self, hashes: list[int]) -> np.ndarray:
+        found = np.array(hashes, np.uint64)
+        if self.vocabulary is None:
+            return found
+        if not len(self.vocabulary):
+            return np.full(len(found), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, found), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == found, at, -1)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The distinct terms of each text, rising, and their counts."""
+        counted = [Counter(_LETTERS.findall((t or "").lower())) for t in texts]
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        new = list(set().union(*counted) - self.memo.keys())
+        whole = self._numbers([_hashed(w) for w in new])
+        longer = [len(w) > self.stem for w in new]
+        stems = np.zeros_like(whole)
+        stems[np.array(longer, bool)] = self._numbers([_hashed(f"{w[:self.stem]}~") for w, more in zip(new, longer, strict=True) if more])
+        self.memo.update(zip(new, zip(whole.tolist(), stems.tolist(), longer, strict=True), strict=True))
+        out = []
+        for found in counted:
+            rows = [self.memo[w] for w in found]
+            n = np.fromiter(found.values(), np.int64, len(found))
+            has = np.array([r[2] for r in rows], bool)
+            kind = np.uint64 if self.vocabulary is None else np.int64
+            at = np.concatenate([np.array([r[0] for r in rows], kind), np.array([r[1] for r in rows if r[2]], kind)])
+            n = np.concatenate([n, n[has]])
+            if self.vocabulary is not None:
+                at, n = at[at >= 0], n[at >= 0]
+            at, which = np.unique(at, return_inverse=True)
+            out.append((at, np.bincount(which, weights=n, minlength=len(at)).astype(np.int64)))
+        return out
 
 
 def telling(clean: np.ndarray, toxic: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
     """Factor of every term, at least 1: the more its presence tells the classes apart, either way, the larger.
 
-    1 plus the G-square of its presence. No term is left out.
+    The root of 1 plus the G-square of its presence. No term is left out.
     """
     x = lambda n: n * np.log(np.maximum(n, 1))
     a, b, c, d = toxic, clean, sizes[1] - toxic, sizes[0] - clean
     g = x(a) + x(b) + x(c) + x(d) + x(np.float64(sum(sizes))) - x(a + b) - x(c + d) - x(a + c) - x(b + d)
-    return 1 + np.maximum(2 * g, 0)
+    return np.sqrt(1 + np.maximum(2 * g, 0))
 
 
-def weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF of length 1."""
-    w = (1 + np.log(counts)) * idf[at]
+    w = (1 + np.log(counts)) * idf
     return w / np.sqrt(w @ w) if len(w) else w
 
 
+def similar_first(matrix: np.ndarray, block: int) -> np.ndarray:
+    """An order of rows that brings alike ones together: halves along the main direction, again and again."""
+    out, todo = [], [np.arange(len(matrix))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= block:
+            out.append(rows)
+            continue
+        own = matrix[rows] - matrix[rows].mean(axis=0)
+        along = own @ np.linalg.eigh(own.T @ own)[1][:, -1]
+        rows = rows[np.argsort(along, kind="stable")]
+        half = -(-len(rows) // (2 * block)) * block
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class BlockMaxIndex:
-    """Postings of the examples by term; the ``dense`` most frequent terms as a matrix instead, in ``groups`` of columns.
+    """Examples in blocks of alike ones, with the largest weight that every frequent term has in every block.
 
-    A cosine is at most its part from the postings plus, for each group, the product of the two lengths in it.
+    Counts are kept, not weights: four bytes a posting. The ``dense`` most frequent terms have a row of weights for each
+    example, and ``most`` holds their maxima by block, rounded up; the other terms have posting lists. ``terms`` and ``counts`` are
+    those of all examples end to end, ``sizes`` how many each has.
     """
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], features: int, block: int = 64,
-                 dense: int = 128, groups: int = 4):
-        self.ids, self.labels, self.block = np.array(ids, np.int64), np.array(labels, np.float64), block
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(at) for at, _ in vectors])
-        term = np.concatenate([at for at, _ in vectors] or [np.zeros(0)]).astype(np.int32)
-        w = np.concatenate([x for _, x in vectors] or [np.zeros(0)])
-        held = np.bincount(term, minlength=features)
-        self.column = np.full(features, -1, np.int32)
+    def __init__(self, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, block: int = 64, dense: int = 128):
+        n = len(sizes)
+        self.idf, self.block = idf, block
+        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        held = np.bincount(terms, minlength=len(idf))
+        self.column = np.full(len(idf), -1, np.int32)
         often = np.argsort(-held, kind="stable")[:dense]
         self.column[often] = np.arange(len(often))
-        column = self.column[term]
-        inside = column >= 0
-        self.matrix = np.zeros((len(ids), dense))
-        self.matrix[doc[inside], column[inside]] = w[inside]
-        self.groups = np.arange(0, dense, max(1, dense // groups))
-        self.lengths = np.ascontiguousarray(np.sqrt(np.add.reduceat(self.matrix**2, self.groups, axis=1)).T)
-        rest = np.flatnonzero(~inside)
-        rest = rest[np.argsort(term[rest], kind="stable")]
-        self.doc, self.weight = doc[rest], w[rest]
+        weight = (1 + np.log(counts)) * idf[terms]
+        length = np.sqrt(np.bincount(example, weights=weight * weight, minlength=n))
+        inside = np.flatnonzero(self.column[terms] >= 0)
+        matrix = np.zeros((n, len(often)))
+        matrix[example[inside], self.column[terms[inside]]] = weight[inside] / length[example[inside]]
+        self.order = similar_first(matrix, block)
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n)
+        self.matrix, self.labels, self.length = matrix[self.order], labels[self.order].astype(np.float64), length[self.order]
+        self.starts = np.arange(0, n, block)
+        self.most = np.maximum.reduceat(self.matrix, self.starts, axis=0) * (1 + 1e-12) if n else self.matrix
+        rest = np.flatnonzero(self.column[terms] < 0)
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.example = place[example[rest]].astype(np.uint16 if n <= 1 << 16 else np.int32)
+        self.count = np.minimum(counts[rest], 65535).astype(np.uint16)
+        self.tf = 1 + np.log(np.maximum(np.arange(int(self.count.max(initial=1)) + 1), 1))
         held[often] = 0
-        self.begin = np.concatenate([[0], np.cumsum(held)])
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0, ties to smaller ids, ``but`` one id; exactly.
-
-        Blocks of examples are scored from the highest bound down, in growing steps, until no bound reaches the
-        k-th best cosine so far.
+        self.begin = np.append(0, np.cumsum(held))
+
+    def _listed(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the terms with posting lists add to the cosine of each example."""
+        a, b = self.begin[at], self.begin[at + 1]
+        sizes = b - a
+        if not sizes.sum():
+            return np.zeros(len(self.length))
+        where = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        part = np.bincount(self.example[where], weights=self.tf[self.count[where]] * np.repeat(w * self.idf[at], sizes), minlength=len(self.length))
+        return part / np.where(self.length > 0, self.length, 1)
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest cosine above 0, exactly, and all that tie with the last of them; nearest first.
+
+        Blocks are opened from the highest bound down, in growing steps, until no bound reaches the k-th cosine. A bound is what
+        the listed terms add at most in the block, plus the sum of the block's maxima of the frequent ones.
         """
         docs, cos = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at) or not len(self.ids):
+        if not len(at) or not len(self.length):
             return docs, cos
         column = self.column[at]
-        often, other = column >= 0, at[column < 0]
+        often = column >= 0
         asked = np.zeros(self.matrix.shape[1])
         asked[column[often]] = w[often]
-        runs = [slice(a, b) for a, b in zip(self.begin[other].tolist(), self.begin[other + 1].tolist(), strict=True)]
-        part = np.zeros(len(self.ids))
-        if runs:
-            part += np.bincount(np.concatenate([self.doc[r] for r in runs]), minlength=len(part),
-                                weights=np.repeat(w[~often], self.begin[other + 1] - self.begin[other]) * np.concatenate([self.weight[r] for r in runs]))
-        bounds = part + np.sqrt(np.add.reduceat(asked**2, self.groups)) @ self.lengths
-        step, floor = 2 * self.block, 0.0
-        while True:
-            more = np.flatnonzero((bounds > 0) & (bounds >= floor - 1e-9))
-            if not len(more):
-                break
-            if len(more) > step:
-                more = more[np.argpartition(-bounds[more], step)[:step]]
-            exact = part[more] + self.matrix[more] @ asked
-            bounds[more] = -1
-            docs, cos = np.concatenate([docs, more[exact > 0]]), np.concatenate([cos, exact[exact > 0]])
-            if len(cos) > k:
-                floor = np.partition(cos, -k - 1)[-k - 1]
+        part = self._listed(at[~often], w[~often])
+        bounds = np.maximum.reduceat(part, self.starts) + self.most @ asked
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        step, floor = 2, 0.0
+        while len(order) and bounds[order[0]] >= floor - 1e-9:
+            now, order = order[:step], order[step:]
+            now = now[bounds[now] >= floor - 1e-9]
+            rows = (self.starts[now][:, None] + np.arange(self.block)).ravel()
+            rows = rows[rows < len(self.length)]
+            exact = part[rows] + self.matrix[rows] @ asked
+            docs, cos = np.concatenate([docs, rows[exact > 1e-12]]), np.concatenate([cos, exact[exact > 1e-12]])
+            if len(cos) >= k:
+                floor = np.partition(cos, -k)[-k]
                 docs, cos = docs[cos >= floor - 1e-9], cos[cos >= floor - 1e-9]
             step *= 2
-        if but is not None:
-            docs, cos = docs[self.ids[docs] != but], cos[self.ids[docs] != but]
-        best = np.lexsort((self.ids[docs], -np.round(cos, 12)))[:k]
+        near = np.round(cos, 12)
+        best = np.lexsort((docs, -near))
+        last = near[best[min(k, len(best)) - 1]] if len(best) else 0
+        best = best[near[best] >= last]
         return docs[best], cos[best]
 
-    def vote(self, at: np.ndarray, w: np.ndarray, k: int, but: int | None = None) -> tuple[float, np.ndarray]:
-        """Share of toxic neighbours, the nearer the heavier; NaN without neighbours. And the neighbours."""
-        docs, cos = self.nearest(at, w, k, but)
+    def vote(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[float, np.ndarray]:
+        """Share of toxic neighbours, the nearer the heavier; NaN without neighbours. And the neighbours, by the caller's numbers."""
+        docs, cos = self.nearest(at, w, k)
         near = 1 / (1.02 - np.minimum(cos, 1.0))
-        return (float(near @ self.labels[docs] / near.sum()) if len(docs) else float("nan")), docs
+        return (float(near @ self.labels[docs] / near.sum()) if len(docs) else float("nan")), self.order[docs]
 
 
 class Calibration:
@@ -177,95 +226,90 @@ class Calibration:
 
 # ---------------------------------------------------------------- Spark
 
-def _named(stem: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"term": list(set().union(*(terms(t, stem) for t in batch["content"])))})
+#: Characters of the texts whose terms are held at once.
+TOGETHER = 200_000
 
-    return run
+
+def _portions(texts: list) -> Iterator[slice]:
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= TOGETHER or i == len(texts) - 1:
+            yield slice(at, i + 1)
+            at, n = i + 1, 0
 
 
-def _held(vocabulary: list[str], stem: int):
+def _hashes(stem: int):
+    """Hashes and counts of the examples' terms, packed."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, n = Terms(vocabulary, stem), np.zeros(len(vocabulary), np.int64)
+        find = Terms(stem)
         for batch in batches:
-            for content in batch["content"]:
-                n[find(content)[0]] += 1
-        used = np.flatnonzero(n)
-        yield pd.DataFrame({"term": used, "n": n[used]})
+            texts = batch["content"].tolist()
+            for s in _portions(texts):
+                found = find(texts[s])
+                yield pd.DataFrame({"id": batch["id"].iloc[s], "toxic": batch["toxic"].iloc[s], "at": [a.tobytes() for a, _ in found],
+                                    "n": [n.astype(np.uint32).tobytes() for _, n in found]})
 
     return run
 
 
-def _vectors(vocabulary: list[str], stem: int):
+def _held(vocabulary: np.ndarray, stem: int):
+    """How many texts hold each term of the vocabulary."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = Terms(vocabulary, stem)
+        find, held = Terms(stem, vocabulary), np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            found = [find(t) for t in batch["content"]]
-            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "at": [x[0].astype(np.int32) for x in found],
-                                "n": [x[1].astype(np.int32) for x in found]})
+            texts = batch["content"].tolist()
+            for s in _portions(texts):
+                for at, _ in find(texts[s]):
+                    held[at] += 1
+        used = np.flatnonzero(held)
+        yield pd.DataFrame({"term": used, "n": held[used]})
 
     return run
 
 
 @dataclass(frozen=True)
 class Examples:
-    """The examples' terms and counts, packed for the tasks; a Python worker makes the index of it once."""
+    """The examples as flat arrays, for the tasks; a Python worker makes the index of it once."""
 
     name: str
-    data: bytes
-
-    @staticmethod
-    def of(ids, labels, found: list[tuple[np.ndarray, np.ndarray]], vocabulary: list[str], idf: np.ndarray) -> Examples:
-        steps = [np.diff(at, prepend=np.int32(0)) for at, _ in found]
-        flat = [np.concatenate(x or [np.zeros(0, np.int32)]) for x in (steps, [n for _, n in found])]
-        sizes = np.array([len(at) for at, _ in found], np.int64)
-        return Examples(uuid.uuid4().hex, zlib.compress(pickle.dumps((ids, labels, sizes, *flat, "\n".join(vocabulary), idf)), 1))
-
-    def index(self, votes: Votes) -> tuple[Terms, np.ndarray, BlockMaxIndex]:
+    ids: list
+    labels: np.ndarray
+    sizes: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    vocabulary: np.ndarray
+    idf: np.ndarray
+
+    def index(self, votes: Votes) -> tuple[Terms, BlockMaxIndex]:
         if self.name not in _MADE:
             _MADE.clear()
-            ids, labels, sizes, steps, counts, words, idf = pickle.loads(zlib.decompress(self.data))
-            cuts = np.cumsum(sizes)[:-1]
-            vectors = [(at := np.cumsum(d), weighted(at, n, idf)) for d, n in zip(np.split(steps, cuts), np.split(counts, cuts), strict=True)
-                       ] if len(ids) else []
-            _MADE[self.name] = (Terms(words.split("\n") if words else [], votes.stem), idf,
-                                BlockMaxIndex(ids, labels, vectors, len(idf), votes.block))
+            _MADE[self.name] = (Terms(votes.stem, self.vocabulary), BlockMaxIndex(self.labels, self.sizes, self.terms, self.counts, self.idf, votes.block))
         return _MADE[self.name]
 
 
-_MADE: dict[str, tuple[Terms, np.ndarray, BlockMaxIndex]] = {}
-
+_MADE: dict[str, tuple[Terms, BlockMaxIndex]] = {}
 
-def _own(examples: Examples, some: set[int], votes: Votes):
-    """Votes of the others on some of the examples."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            find, idf, index = examples.index(votes)
-            batch = batch[batch["id"].isin(some)]
-            found = [(i, find(t)) for i, t in zip(batch["id"], batch["content"], strict=True)]
-            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"],
-                                "vote": [index.vote(at, weighted(at, n, idf), votes.neighbours, but=i)[0] for i, (at, n) in found]})
-
-    return run
 
+def _voted(examples: Examples, steps: Calibration | None, votes: Votes):
+    """Votes on texts and the nearest examples; as probabilities with ``steps``."""
 
-def _voted(examples: Examples, steps: Calibration, votes: Votes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, tuple[float, np.ndarray]] = {}
+        memo: dict[bytes, tuple[float, list]] = {}
+        find, index = examples.index(votes)
         for batch in batches:
-            find, idf, index = examples.index(votes)
-            if len(memo) > 50_000:
+            if len(memo) > 20_000:
                 memo.clear()
-            found = []
-            for content in batch["content"]:
-                at, counts = find(content)
-                key = hashlib.sha256(at.tobytes() + counts.tobytes()).digest()
-                if key not in memo:
-                    vote, docs = index.vote(at, weighted(at, counts, idf), votes.neighbours)
-                    memo[key] = steps(vote), index.ids[docs[: votes.shown]]
-                found.append(memo[key])
+            found, texts = [], batch["content"].tolist()
+            for s in _portions(texts):
+                for at, counts in find(texts[s]):
+                    key = hashlib.sha256(at.tobytes() + counts.tobytes()).digest()
+                    if key not in memo:
+                        vote, docs = index.vote(at, weighted(counts, examples.idf[at]), votes.neighbours)
+                        memo[key] = vote if steps is None else steps(vote), [examples.ids[d] for d in docs[: votes.shown].tolist()]
+                    found.append(memo[key])
             yield pd.DataFrame({"id": batch["id"], "score": [x[0] for x in found], "evidence": [x[1] for x in found]})
 
     return run
@@ -276,12 +320,12 @@ def toxicity(articles: DataFrame, moderated: DataFrame, key: str = "id", text: s
 
     ``moderated`` (id, toxic 0 or 1) are the only labels used; at most ``votes.rows`` of them, taken by a hash
     of their ids, are the examples. All terms of the examples, of both classes, span the space, their document
-    frequencies are counted over all articles; a term weighs the more, the more it tells the classes apart. The nearest examples by exact cosine vote, the nearer the
-    heavier, and the vote becomes the frequency that examples with such a vote had when the others voted
-    on them. ``evidence`` names the nearest examples (ids).
+    frequencies are counted over all articles; a term weighs the more, the more it tells the classes apart. The nearest examples
+    by exact cosine vote, the nearer the heavier, all that tie with the last one too. A part of the examples is set aside: it neither
+    votes nor weighs terms, and tells how often texts with such a vote are toxic. ``evidence`` names the nearest examples (ids).
 
     Only the text makes the score. Null and empty texts and those without a term of any example have no neighbours:
-    their score is the share of toxic ones among examples without neighbours. An id labelled twice is toxic
+    their score is the share of toxic ones among the examples set aside without neighbours. An id labelled twice is toxic
     if any label says so; equal texts are one example. Without labels every score is 0.5. Other columns are ignored; no rows give no rows.
     """
     rows = narrowed(articles, id=key, content=text)
@@ -290,25 +334,32 @@ def toxicity(articles: DataFrame, moderated: DataFrame, key: str = "id", text: s
               .orderBy(F.xxhash64("id"), "id").limit(votes.rows))
     known = rows.join(F.broadcast(labels), "id").groupBy("id", "toxic").agg(F.min("content").alias("content"))
     known = materialise(known.groupBy("content").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")), "moderated")
-    named = known.mapInPandas(_named(votes.stem), "term string").distinct()
-    vocabulary = sorted(named.toArrow().column("term").to_pylist())
-    held = rows.select("content").mapInPandas(_held(vocabulary, votes.stem), "term int, n bigint")
+    found = known.mapInPandas(_hashes(votes.stem), f"id {kind}, toxic int, at binary, n binary").toArrow().sort_by("id")
+    ids, toxic = found.column("id").to_pylist(), found.column("toxic").to_numpy()
+    sizes = np.array([len(b.as_buffer()) // 8 if b.as_buffer() else 0 for b in found.column("at")], np.int64)
+    hashes, counts = (np.frombuffer(b"".join(found.column(c).to_pylist()), t) for c, t in (("at", np.uint64), ("n", np.uint32)))
+    del found
+    vocabulary, terms = np.unique(hashes, return_inverse=True)
+    terms = terms.astype(np.int32)
+    del hashes
+    counted = rows.select("content").mapInPandas(_held(vocabulary, votes.stem), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(vocabulary))
-    counted = held.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     frequency[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
-    total = rows.count()
-    idf = np.log((1 + total) / (1 + frequency)) + 1
-    examples = (known.select("id", "toxic", "content")
-                .mapInPandas(_vectors(vocabulary, votes.stem), f"id {kind}, toxic int, at array<int>, n array<int>").toArrow())
-    ids, toxic = examples.column("id").to_numpy(), examples.column("toxic").to_numpy()
-    found = [(at.values.to_numpy(), n.values.to_numpy()) for at, n in zip(examples.column("at"), examples.column("n"), strict=True)]
-    classes = [np.bincount(np.concatenate([found[i][0] for i in np.flatnonzero(toxic == y)] or [np.zeros(0, np.int32)]),
-                           minlength=len(vocabulary)).astype(float) for y in (0, 1)]
-    idf *= telling(*classes, (int((toxic == 0).sum()), int((toxic == 1).sum())))
-    shipped = Examples.of(ids, toxic, found, vocabulary, idf)
-    some = set(np.sort(ids)[:: -(-len(ids) // votes.checked) or 1].tolist())
-    del examples, found
-    own = (known.select("id", "toxic", "content").mapInPandas(_own(shipped, some, votes), f"id {kind}, toxic int, vote double")
-           .toArrow().to_pandas().sort_values("id"))
-    steps = Calibration(own["vote"].to_numpy(float), own["toxic"].to_numpy(float))
-    return rows.mapInPandas(_voted(shipped, steps, votes), f"id {kind}, score double, evidence array<bigint>")
+    idf = np.log((1 + rows.count()) / (1 + frequency)) + 1
+    # every few in the order of their ids' hashes, so that both parts are alike
+    aside = np.zeros(len(ids), bool)
+    every = max(1, round(1 / votes.aside), -(-len(ids) // votes.checked))
+    aside[np.argsort([_hashed(str(i)) for i in ids], kind="stable")[every - 1:: every]] = True
+    of = np.repeat(~aside, sizes)
+    own = np.repeat(toxic, sizes)
+    classes = [np.bincount(terms[of & (own == y)], minlength=len(vocabulary)).astype(float) for y in (0, 1)]
+    idf *= telling(*classes, (int((toxic[~aside] == 0).sum()), int((toxic[~aside] == 1).sum())))
+    shipped = Examples(uuid.uuid4().hex, [i for i, out in zip(ids, aside, strict=True) if not out], toxic[~aside], sizes[~aside], terms[of],
+                       np.minimum(counts[of], 65535).astype(np.uint16), vocabulary, idf)
+    spoken = f"id {kind}, score double, evidence array<{kind}>"
+    checks = rows.sparkSession.createDataFrame([(i,) for i, out in zip(ids, aside, strict=True) if out], f"id {kind}")
+    told = known.join(F.broadcast(checks), "id", "left_semi").select("id", "content").mapInPandas(_voted(shipped, None, votes), spoken)
+    told = {r["id"]: r["score"] for r in told.select("id", "score").collect()}  # of the examples set aside
+    pairs = [(told[i], y) for i, y, out in zip(ids, toxic.tolist(), aside, strict=True) if out]
+    steps = Calibration(np.array([np.nan if v is None else v for v, _ in pairs], float), np.array([y for _, y in pairs], float))
+    return rows.mapInPandas(_voted(shipped, steps, votes), spoken)

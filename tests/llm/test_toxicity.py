@@ -14,26 +14,74 @@ def text(toxic):
     return " ".join(found)
 
 
+def examples(rng, n, features, most, spread):
+    """Sizes, terms and counts of random examples end to end; and their vectors as a matrix."""
+    idf = np.linspace(1, spread, features)
+    found = [np.unique(np.minimum(rng.zipf(1.3, rng.integers(0, most)), features) - 1) for _ in range(n)]
+    counts = [rng.integers(1, 4, len(at)) for at in found]
+    dense = np.zeros((n, features))
+    for i, (at, c) in enumerate(zip(found, counts)):
+        dense[i, at] = X.weighted(c, idf[at])
+    return np.array([len(at) for at in found]), np.concatenate(found), np.concatenate(counts), idf, dense
+
+
 def test_nearest_is_brute_force():
+    """All cosines, and all ties with the k-th, for blocks and numbers of dense columns that cover all ways through."""
     rng = np.random.default_rng(2)
-    vectors = []
-    for _ in range(700):
-        at = np.sort(rng.choice(40, rng.integers(0, 6), replace=False))
-        vectors.append((at, X.weighted(at, rng.integers(1, 4, len(at)).astype(float), np.ones(40))))
-    ids = rng.permutation(5000)[:700].tolist()
-    dense = np.zeros((700, 40))
-    for i, (at, w) in enumerate(vectors):
-        dense[i, at] = w
-    for block in (4, 64):
-        index = X.BlockMaxIndex(ids, [0] * 700, vectors, 40, block)
-        for i in range(0, 700, 7):
-            for k in (1, 5, 25):
-                docs, cos = index.nearest(*vectors[i], k, but=ids[i])
+    for features, most, spread in ((40, 6, 1), (300, 40, 9)):
+        sizes, terms, counts, idf, dense = examples(rng, 700, features, most, spread)
+        for block, columns in ((4, 8), (64, 128), (5, 400), (1000, 16)):
+            index = X.BlockMaxIndex(rng.integers(0, 2, 700), sizes, terms, counts, idf, block, columns)
+            assert sorted(index.order.tolist()) == list(range(700))
+            for i in range(0, 700, 7):
+                at = np.flatnonzero(dense[i])
                 exact = np.round(dense @ dense[i], 12)
-                exact[i] = -1
-                best = sorted((j for j in range(700) if exact[j] > 0), key=lambda j: (-exact[j], ids[j]))[:k]
-                assert index.ids[docs].tolist() == [ids[j] for j in best]
-                assert np.allclose(cos, exact[best])
+                for k in (1, 5, 25):
+                    docs, cos = index.nearest(at, dense[i, at], k)
+                    ranked = np.sort(exact[exact > 1e-12])[::-1]
+                    want = np.flatnonzero((exact >= ranked[min(k, len(ranked)) - 1]) & (exact > 1e-12)) if len(ranked) else []
+                    assert sorted(index.order[docs].tolist()) == sorted(want)
+                    assert np.allclose(cos, exact[index.order[docs]]) and (np.diff(np.round(cos, 12)) <= 0).all()
+
+
+def test_blocks_are_skipped():
+    rng = np.random.default_rng(4)
+    sizes = np.full(4000, 3)
+    group = rng.integers(0, 20, 4000)
+    terms = np.sort(group[:, None] * 6 + np.array([rng.permutation(6)[:3] for _ in range(4000)]), axis=1)
+    index = X.BlockMaxIndex(group % 2, sizes, terms.ravel(), np.ones(12_000, int), np.ones(120))
+    opened, product = [], index.matrix
+    class Counted:
+        shape = product.shape
+        def __getitem__(self, rows):
+            opened.append(len(rows))
+            return product[rows]
+    index.matrix = Counted()
+    index.nearest(terms[0], X.weighted(np.ones(3), np.ones(3)), 5)
+    assert sum(opened) < 1000
+
+
+def test_vote_and_calibration_by_hand():
+    index = X.BlockMaxIndex(np.array([1, 0, 1]), np.array([1, 1, 1]), np.array([0, 0, 1]), np.ones(3, int), np.ones(2))
+    vote, docs = index.vote(np.array([0]), np.ones(1), 25)
+    assert vote == 0.5 and sorted(docs.tolist()) == [0, 1]  # equally near
+    w = X.weighted(np.array([1, 1]), np.array([3.0, 1.0]))
+    vote, docs = index.vote(np.array([0, 1]), w, 25)
+    near = 1 / (1.02 - np.array([w[0], w[0], w[1]]))
+    assert abs(vote - near[[0, 2]].sum() / near.sum()) < 1e-12 and docs.tolist()[2] == 2
+    steps = X.Calibration(np.array([0.1, 0.2, 0.9, np.nan]), np.array([0.0, 0.0, 1.0, 0.0]))
+    share = 2 / 6
+    assert abs(steps(0.0) - share / 3) < 1e-12 and abs(steps(0.95) - (1 + share) / 2) < 1e-12 and abs(steps(float("nan")) - share / 2) < 1e-12
+
+
+def test_terms_with_and_without_vocabulary():
+    texts = ["Idiots IDIOT idioTS 5x", None, "", "été longwords longword"]
+    free = X.Terms(5)(texts)
+    vocabulary = np.unique(np.concatenate([a for a, _ in free]))
+    for (a, n), (b, m) in zip(free, X.Terms(5, vocabulary)(texts)):
+        assert vocabulary[b].tolist() == a.tolist() and n.tolist() == m.tolist()
+    named = dict(zip(free[0][0].tolist(), free[0][1].tolist()))
+    assert named == {X._hashed("idiots"): 2, X._hashed("idiot"): 1, X._hashed("idiot~"): 2, X._hashed("x"): 1}
 
 
 def test_held_out(spark):
@@ -72,19 +120,9 @@ def test_all_terms_of_the_examples_count(spark):
     assert len(got["evidence"][1002]) == 3 and len(got["evidence"][1003]) == 0
 
 
-def test_nearest_with_postings_is_brute_force():
-    rng = np.random.default_rng(3)
-    vectors = []
-    for _ in range(900):
-        at = np.unique(np.minimum(rng.zipf(1.3, rng.integers(0, 40)), 300) - 1)
-        vectors.append((at, X.weighted(at, rng.integers(1, 4, len(at)).astype(float), np.linspace(1, 9, 300))))
-    dense = np.zeros((900, 300))
-    for i, (at, w) in enumerate(vectors):
-        dense[i, at] = w
-    for columns in (8, 128, 400):
-        index = X.BlockMaxIndex(list(range(900)), [0] * 900, vectors, 300, 4, columns)
-        for i in range(0, 900, 9):
-            docs, cos = index.nearest(*vectors[i], 25, but=i)
-            exact = np.round(dense @ dense[i], 12)
-            exact[i] = -1
-            assert docs.tolist() == sorted((j for j in range(900) if exact[j] > 0), key=lambda j: (-exact[j], j))[:25]
+def test_text_ids(spark):
+    rows = [(f"a{i}", text(i % 4 == 0)) for i in range(200)]
+    articles = spark.createDataFrame(rows, "id string, content string")
+    moderated = spark.createDataFrame([(f"a{i}", int(i % 4 == 0)) for i in range(150)], "id string, toxic int")
+    got = X.toxicity(articles, moderated).collect()
+    assert all(e in {r[0] for r in rows} for r in got for e in r["evidence"]) and {r["id"] for r in got} == {r[0] for r in rows}
