@@ -77,7 +77,7 @@ def _over(counter: list[np.ndarray], spilled: np.ndarray, radius: int) -> np.nda
     return above
 
 
-def within(left, right, asked: np.ndarray, radius: int, every: int = 8) -> np.ndarray:
+def within(left, right, asked: np.ndarray, radius: int, every: int = 8, bits: int = BITS) -> np.ndarray:
     """Lanes of ``asked`` in which the two prints differ in at most ``radius`` bits.
 
     ``left(b, at)`` and ``right(b, at)`` give bit plane b for the words ``at``. Differences are added into
@@ -87,7 +87,7 @@ def within(left, right, asked: np.ndarray, radius: int, every: int = 8) -> np.nd
     live = asked[at]
     counter = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]
     spilled = np.zeros(len(at), np.uint64)
-    for b in range(BITS):
+    for b in range(bits):
         carry = left(b, at) ^ right(b, at)
         for k, digit in enumerate(counter):
             counter[k], carry = digit ^ carry, digit & carry
