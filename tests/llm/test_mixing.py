@@ -55,5 +55,19 @@ def test_edges(spark):
     rows = [(None, "a b", "x", ""), (None, "a b", "x", ""), (1, None, "x", ""), (1, None, "y", ""), (2, "q " * 50_000, "x", ""), (2, "q " * 50_000, "x", "")]
     got = checked(spark, rows)
     assert (got[got["size"] == 0]["taken"] == 0).all()
-    for _, part in got.groupby(["id", "size"], dropna=False):
-        assert part["taken"].nunique() == 1  # repeated rows are taken alike
+    assert len(M.take(spark.createDataFrame(rows, SCHEMA), key="id", text="content", feed="feed").collect()) > 0
+
+
+def test_rows_without_or_with_one_id_meet_the_target(spark):
+    """A source whose rows all lack an id, all share one, or are all equal, is mixed like any other."""
+    words = lambda i: " ".join(f"w{i}" for _ in range(50))
+    for make in (lambda i: (None, words(i)), lambda i: (7, words(i)), lambda i: (None, words(0)), lambda i: (7, words(0))):
+        rows = [(*make(i), "hot", "x") for i in range(400)] + [(1000 + i, words(i), "other", "x") for i in range(600)]
+        got = checked(spark, rows)
+        feed = got["feed_size"] == 20_000
+        want = aims({"hot": 20_000, "other": 30_000})["hot"]
+        assert feed.sum() == 400 and abs(got["taken"][feed].sum() - want) <= 25.5
+        taken = M.take(spark.createDataFrame(rows, SCHEMA).repartition(6), key="id", text="content", feed="feed")
+        assert taken.columns == SCHEMA.replace(",", "").split()[::2]
+        assert abs(taken.filter("feed = 'hot'").count() * 50 - want) <= 25.5
+        assert sorted(got["taken"].tolist()) == sorted(checked(spark, rows[::-1])["taken"].tolist())
