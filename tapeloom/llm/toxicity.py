@@ -116,41 +116,58 @@ def similar_first(matrix: np.ndarray, block: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _chunks(n: int, size: int = 1_000_000) -> Iterator[slice]:
+    return (slice(at, min(n, at + size)) for at in range(0, n, size))
+
+
 class BlockMaxIndex:
     """Examples in blocks of alike ones, with the largest weight that every frequent term has in every block.
 
-    Counts are kept, not weights: four bytes a posting. The ``dense`` most frequent terms have a row of weights for each
+    Counts are kept, not weights: four bytes a posting. The ``dense`` most frequent terms have a row for each
     example, and ``most`` holds their maxima by block, rounded up; the other terms have posting lists. ``terms`` and ``counts`` are
     those of all examples end to end, ``sizes`` how many each has.
     """
 
-    def __init__(self, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, block: int = 64, dense: int = 128):
+    def __init__(self, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, block: int = 64, dense: int = 256):
         n = len(sizes)
-        self.idf, self.block = idf, block
-        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        self.idf, self.block, self.starts = idf, block, np.arange(0, n, block)
+        kind = np.uint16 if n <= 1 << 16 else np.int32
+        example = np.repeat(np.arange(n, dtype=kind), sizes)
+        counts = np.minimum(counts, 65535).astype(np.uint16)
+        self.tf = 1 + np.log(np.maximum(np.arange(int(counts.max(initial=1)) + 1), 1))
         held = np.bincount(terms, minlength=len(idf))
         self.column = np.full(len(idf), -1, np.int32)
-        often = np.argsort(-held, kind="stable")[:dense]
-        self.column[often] = np.arange(len(often))
-        weight = (1 + np.log(counts)) * idf[terms]
-        length = np.sqrt(np.bincount(example, weights=weight * weight, minlength=n))
-        inside = np.flatnonzero(self.column[terms] >= 0)
-        matrix = np.zeros((n, len(often)))
-        matrix[example[inside], self.column[terms[inside]]] = weight[inside] / length[example[inside]]
-        self.order = similar_first(matrix, block)
-        place = np.empty(n, np.int32)
+        self.often = np.argsort(-held, kind="stable")[:dense]
+        self.column[self.often] = np.arange(len(self.often))
+        square, table = np.zeros(n), np.zeros((n, len(self.often)), np.uint16)
+        for s in _chunks(len(terms)):
+            square += np.bincount(example[s], weights=(self.tf[counts[s]] * idf[terms[s]]) ** 2, minlength=n)
+            column = self.column[terms[s]]
+            inside = np.flatnonzero(column >= 0)
+            table[example[s][inside], column[inside]] = counts[s][inside]
+        self.length = np.where(square > 0, np.sqrt(square), 1.0)
+        self.table = table
+        self.order = similar_first(self._weights(), block)
+        place = np.empty(n, kind)
         place[self.order] = np.arange(n)
-        self.matrix, self.labels, self.length = matrix[self.order], labels[self.order].astype(np.float64), length[self.order]
-        self.starts = np.arange(0, n, block)
-        self.most = np.maximum.reduceat(self.matrix, self.starts, axis=0) * (1 + 1e-12) if n else self.matrix
+        self.table, self.length, self.labels = table[self.order], self.length[self.order], labels[self.order].astype(np.float64)
         rest = np.flatnonzero(self.column[terms] < 0)
         rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.example = place[example[rest]].astype(np.uint16 if n <= 1 << 16 else np.int32)
-        self.count = np.minimum(counts[rest], 65535).astype(np.uint16)
-        self.tf = 1 + np.log(np.maximum(np.arange(int(self.count.max(initial=1)) + 1), 1))
-        held[often] = 0
+        self.example, self.count = place[example[rest]], counts[rest]
+        held[self.often] = 0
         self.begin = np.append(0, np.cumsum(held))
 
+    def _weights(self) -> np.ndarray:
+        """Rows of the frequent terms' weights, in vectors of length 1."""
+        seen = np.where(self.table > 0, self.tf[self.table], 0.0)
+        return seen * self.idf[self.often] / self.length[:, None]
+
+    def ready(self) -> BlockMaxIndex:
+        """Makes what needs not travel: the rows of weights and the maxima of the blocks."""
+        self.matrix = self._weights()
+        self.most = np.maximum.reduceat(self.matrix, self.starts, axis=0) * (1 + 1e-12) if len(self.starts) else self.matrix
+        return self
+
     def _listed(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What the terms with posting lists add to the cosine of each example."""
         a, b = self.begin[at], self.begin[at + 1]
@@ -159,48 +176,74 @@ class BlockMaxIndex:
             return np.zeros(len(self.length))
         where = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         part = np.bincount(self.example[where], weights=self.tf[self.count[where]] * np.repeat(w * self.idf[at], sizes), minlength=len(self.length))
-        return part / np.where(self.length > 0, self.length, 1)
+        return part / self.length
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0, exactly, and all that tie with the last of them; nearest first.
+    def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (terms, weights) the k examples of the largest cosine above 0, exactly, and all that tie with the last of
+        them; nearest first.
 
-        Blocks are opened from the highest bound down, in growing steps, until no bound reaches the k-th cosine. A bound is what
-        the listed terms add at most in the block, plus the sum of the block's maxima of the frequent ones.
+        A bound of a block is what the listed terms add at most in it, plus the sum of the block's maxima of the frequent ones. Each
+        vector opens its best blocks first, which gives it a k-th cosine, then only blocks whose bound reaches that. A
+        block is opened for all vectors of a batch that want it at once.
         """
-        docs, cos = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at) or not len(self.length):
-            return docs, cos
-        column = self.column[at]
-        often = column >= 0
-        asked = np.zeros(self.matrix.shape[1])
-        asked[column[often]] = w[often]
-        part = self._listed(at[~often], w[~often])
-        bounds = np.maximum.reduceat(part, self.starts) + self.most @ asked
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        step, floor = 2, 0.0
-        while len(order) and bounds[order[0]] >= floor - 1e-9:
-            now, order = order[:step], order[step:]
-            now = now[bounds[now] >= floor - 1e-9]
-            rows = (self.starts[now][:, None] + np.arange(self.block)).ravel()
-            rows = rows[rows < len(self.length)]
-            exact = part[rows] + self.matrix[rows] @ asked
-            docs, cos = np.concatenate([docs, rows[exact > 1e-12]]), np.concatenate([cos, exact[exact > 1e-12]])
-            if len(cos) >= k:
-                floor = np.partition(cos, -k)[-k]
-                docs, cos = docs[cos >= floor - 1e-9], cos[cos >= floor - 1e-9]
-            step *= 2
-        near = np.round(cos, 12)
-        best = np.lexsort((docs, -near))
-        last = near[best[min(k, len(best)) - 1]] if len(best) else 0
-        best = best[near[best] >= last]
-        return docs[best], cos[best]
-
-    def vote(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[float, np.ndarray]:
+        n, q = len(self.length), len(asked)
+        if not n or not q:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * q
+        dense, part = np.zeros((q, len(self.often))), np.zeros((q, n))
+        for i, (at, w) in enumerate(asked):
+            column = self.column[at]
+            often = column >= 0
+            dense[i, column[often]] = w[often]
+            part[i] = self._listed(at[~often], w[~often])
+        bounds = np.maximum.reduceat(part, self.starts, axis=1) + dense @ self.most.T
+        scores = [[] for _ in range(q)]  # (places, cosines)
+        floor = np.full(q, 1e-12)
+
+        def open_blocks(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                who = np.flatnonzero(wanted[:, b])
+                rows = slice(self.starts[b], min(n, self.starts[b] + self.block))
+                cos = part[who, rows] + dense[who] @ self.matrix[rows].T
+                hit, at = np.nonzero(cos >= floor[who][:, None] - 1e-9)
+                for i in np.unique(hit).tolist():
+                    own = at[hit == i]
+                    scores[who[i]].append((own + rows.start, cos[i, own]))
+
+        def raise_floors() -> None:
+            for i, found in enumerate(scores):
+                if found:
+                    places, cos = (np.concatenate(x) for x in zip(*found, strict=True))
+                    if len(cos) >= k:
+                        floor[i] = max(floor[i], np.partition(cos, -k)[-k])
+                        kept = cos >= floor[i] - 1e-9
+                        places, cos = places[kept], cos[kept]
+                    scores[i] = [(places, cos)]
+
+        rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+        seen = np.zeros_like(bounds, bool)
+        for upto in (2, 8, 32, len(self.starts)):
+            wanted = (rank < upto) & ~seen & (bounds >= floor[:, None] - 1e-9)
+            open_blocks(wanted)
+            seen |= wanted
+            raise_floors()
+        out = []
+        for found in scores:
+            places, cos = found[0] if found else (np.zeros(0, np.int64), np.zeros(0))
+            places, cos = places[cos > 1e-12], cos[cos > 1e-12]
+            near = np.round(cos, 12)
+            best = np.lexsort((places, -near))
+            last = near[best[min(k, len(best)) - 1]] if len(best) else 0
+            best = best[near[best] >= last]
+            out.append((places[best], cos[best]))
+        return out
+
+    def votes(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, np.ndarray]]:
         """Share of toxic neighbours, the nearer the heavier; NaN without neighbours. And the neighbours, by the caller's numbers."""
-        docs, cos = self.nearest(at, w, k)
-        near = 1 / (1.02 - np.minimum(cos, 1.0))
-        return (float(near @ self.labels[docs] / near.sum()) if len(docs) else float("nan")), self.order[docs]
+        out = []
+        for places, cos in self.nearest(asked, k):
+            near = 1 / (1.02 - np.minimum(cos, 1.0))
+            out.append((float(near @ self.labels[places] / near.sum()) if len(places) else float("nan"), self.order[places]))
+        return out
 
 
 class Calibration:
@@ -272,25 +315,24 @@ def _held(vocabulary: np.ndarray, stem: int):
 
 @dataclass(frozen=True)
 class Examples:
-    """The examples as flat arrays, for the tasks; a Python worker makes the index of it once."""
+    """The index of the examples, for the tasks, and what makes vectors of texts."""
 
     name: str
     ids: list
-    labels: np.ndarray
-    sizes: np.ndarray
-    terms: np.ndarray
-    counts: np.ndarray
+    index: BlockMaxIndex
     vocabulary: np.ndarray
-    idf: np.ndarray
 
-    def index(self, votes: Votes) -> tuple[Terms, BlockMaxIndex]:
+    def ready(self, votes: Votes) -> tuple[Terms, BlockMaxIndex]:
+        """Once in each Python worker."""
         if self.name not in _MADE:
             _MADE.clear()
-            _MADE[self.name] = (Terms(votes.stem, self.vocabulary), BlockMaxIndex(self.labels, self.sizes, self.terms, self.counts, self.idf, votes.block))
+            _MADE[self.name] = Terms(votes.stem, self.vocabulary), self.index.ready()
         return _MADE[self.name]
 
 
 _MADE: dict[str, tuple[Terms, BlockMaxIndex]] = {}
+#: Vectors looked up together.
+AT_ONCE = 48
 
 
 def _voted(examples: Examples, steps: Calibration | None, votes: Votes):
@@ -298,19 +340,26 @@ def _voted(examples: Examples, steps: Calibration | None, votes: Votes):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[bytes, tuple[float, list]] = {}
-        find, index = examples.index(votes)
+        find, index = examples.ready(votes)
+
+        def look_up(new: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> None:
+            for key, (vote, docs) in zip(new, index.votes(list(new.values()), votes.neighbours), strict=True):
+                memo[key] = vote if steps is None else steps(vote), [examples.ids[d] for d in docs[: votes.shown].tolist()]
+
         for batch in batches:
             if len(memo) > 20_000:
                 memo.clear()
-            found, texts = [], batch["content"].tolist()
+            keys, new, texts = [], {}, batch["content"].tolist()
             for s in _portions(texts):
                 for at, counts in find(texts[s]):
-                    key = hashlib.sha256(at.tobytes() + counts.tobytes()).digest()
-                    if key not in memo:
-                        vote, docs = index.vote(at, weighted(counts, examples.idf[at]), votes.neighbours)
-                        memo[key] = vote if steps is None else steps(vote), [examples.ids[d] for d in docs[: votes.shown].tolist()]
-                    found.append(memo[key])
-            yield pd.DataFrame({"id": batch["id"], "score": [x[0] for x in found], "evidence": [x[1] for x in found]})
+                    keys.append(hashlib.sha256(at.tobytes() + counts.tobytes()).digest())
+                    if keys[-1] not in memo and keys[-1] not in new:
+                        new[keys[-1]] = at, weighted(counts, index.idf[at])
+                        if len(new) == AT_ONCE:
+                            look_up(new)
+                            new = {}
+            look_up(new)
+            yield pd.DataFrame({"id": batch["id"], "score": [memo[k][0] for k in keys], "evidence": [memo[k][1] for k in keys]})
 
     return run
 
@@ -339,8 +388,9 @@ def toxicity(articles: DataFrame, moderated: DataFrame, key: str = "id", text: s
     sizes = np.array([len(b.as_buffer()) // 8 if b.as_buffer() else 0 for b in found.column("at")], np.int64)
     hashes, counts = (np.frombuffer(b"".join(found.column(c).to_pylist()), t) for c, t in (("at", np.uint64), ("n", np.uint32)))
     del found
-    vocabulary, terms = np.unique(hashes, return_inverse=True)
-    terms = terms.astype(np.int32)
+    vocabulary, terms = np.unique(hashes), np.empty(len(hashes), np.int32)
+    for s in _chunks(len(hashes)):
+        terms[s] = np.searchsorted(vocabulary, hashes[s])
     del hashes
     counted = rows.select("content").mapInPandas(_held(vocabulary, votes.stem), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(vocabulary))
@@ -351,11 +401,14 @@ def toxicity(articles: DataFrame, moderated: DataFrame, key: str = "id", text: s
     every = max(1, round(1 / votes.aside), -(-len(ids) // votes.checked))
     aside[np.argsort([_hashed(str(i)) for i in ids], kind="stable")[every - 1:: every]] = True
     of = np.repeat(~aside, sizes)
-    own = np.repeat(toxic, sizes)
+    own = np.repeat(toxic.astype(np.int8), sizes)
     classes = [np.bincount(terms[of & (own == y)], minlength=len(vocabulary)).astype(float) for y in (0, 1)]
     idf *= telling(*classes, (int((toxic[~aside] == 0).sum()), int((toxic[~aside] == 1).sum())))
-    shipped = Examples(uuid.uuid4().hex, [i for i, out in zip(ids, aside, strict=True) if not out], toxic[~aside], sizes[~aside], terms[of],
-                       np.minimum(counts[of], 65535).astype(np.uint16), vocabulary, idf)
+    terms, counts = terms[of], counts[of]
+    del of, own
+    shipped = Examples(uuid.uuid4().hex, [i for i, out in zip(ids, aside, strict=True) if not out],
+                       BlockMaxIndex(toxic[~aside], sizes[~aside], terms, counts, idf, votes.block), vocabulary)
+    del terms, counts
     spoken = f"id {kind}, score double, evidence array<{kind}>"
     checks = rows.sparkSession.createDataFrame([(i,) for i, out in zip(ids, aside, strict=True) if out], f"id {kind}")
     told = known.join(F.broadcast(checks), "id", "left_semi").select("id", "content").mapInPandas(_voted(shipped, None, votes), spoken)

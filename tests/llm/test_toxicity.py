@@ -31,13 +31,13 @@ def test_nearest_is_brute_force():
     for features, most, spread in ((40, 6, 1), (300, 40, 9)):
         sizes, terms, counts, idf, dense = examples(rng, 700, features, most, spread)
         for block, columns in ((4, 8), (64, 128), (5, 400), (1000, 16)):
-            index = X.BlockMaxIndex(rng.integers(0, 2, 700), sizes, terms, counts, idf, block, columns)
+            index = X.BlockMaxIndex(rng.integers(0, 2, 700), sizes, terms, counts, idf, block, columns).ready()
             assert sorted(index.order.tolist()) == list(range(700))
-            for i in range(0, 700, 7):
-                at = np.flatnonzero(dense[i])
-                exact = np.round(dense @ dense[i], 12)
-                for k in (1, 5, 25):
-                    docs, cos = index.nearest(at, dense[i, at], k)
+            chosen = range(0, 700, 7)
+            asked = [(np.flatnonzero(dense[i]), dense[i][dense[i] > 0]) for i in chosen]
+            for k in (1, 5, 25):
+                for i, (docs, cos) in zip(chosen, index.nearest(asked, k)):
+                    exact = np.round(dense @ dense[i], 12)
                     ranked = np.sort(exact[exact > 1e-12])[::-1]
                     want = np.flatnonzero((exact >= ranked[min(k, len(ranked)) - 1]) & (exact > 1e-12)) if len(ranked) else []
                     assert sorted(index.order[docs].tolist()) == sorted(want)
@@ -49,24 +49,24 @@ def test_blocks_are_skipped():
     sizes = np.full(4000, 3)
     group = rng.integers(0, 20, 4000)
     terms = np.sort(group[:, None] * 6 + np.array([rng.permutation(6)[:3] for _ in range(4000)]), axis=1)
-    index = X.BlockMaxIndex(group % 2, sizes, terms.ravel(), np.ones(12_000, int), np.ones(120))
+    index = X.BlockMaxIndex(group % 2, sizes, terms.ravel(), np.ones(12_000, int), np.ones(120)).ready()
     opened, product = [], index.matrix
     class Counted:
         shape = product.shape
         def __getitem__(self, rows):
-            opened.append(len(rows))
+            opened.append(rows.stop - rows.start)
             return product[rows]
     index.matrix = Counted()
-    index.nearest(terms[0], X.weighted(np.ones(3), np.ones(3)), 5)
+    index.nearest([(terms[0], X.weighted(np.ones(3), np.ones(3)))], 5)
     assert sum(opened) < 1000
 
 
 def test_vote_and_calibration_by_hand():
-    index = X.BlockMaxIndex(np.array([1, 0, 1]), np.array([1, 1, 1]), np.array([0, 0, 1]), np.ones(3, int), np.ones(2))
-    vote, docs = index.vote(np.array([0]), np.ones(1), 25)
+    index = X.BlockMaxIndex(np.array([1, 0, 1]), np.array([1, 1, 1]), np.array([0, 0, 1]), np.ones(3, int), np.ones(2)).ready()
+    [(vote, docs)] = index.votes([(np.array([0]), np.ones(1))], 25)
     assert vote == 0.5 and sorted(docs.tolist()) == [0, 1]  # equally near
     w = X.weighted(np.array([1, 1]), np.array([3.0, 1.0]))
-    vote, docs = index.vote(np.array([0, 1]), w, 25)
+    [(vote, docs)] = index.votes([(np.array([0, 1]), w)], 25)
     near = 1 / (1.02 - np.array([w[0], w[0], w[1]]))
     assert abs(vote - near[[0, 2]].sum() / near.sum()) < 1e-12 and docs.tolist()[2] == 2
     steps = X.Calibration(np.array([0.1, 0.2, 0.9, np.nan]), np.array([0.0, 0.0, 1.0, 0.0]))
