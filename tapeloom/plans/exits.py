@@ -65,28 +65,94 @@ def exit_signals(bars: DataFrame, positions: DataFrame, s: Series = Series(), cf
 
     With ``sold`` (ticker, ts, exit_fill: the bars on which an exit order fills) a position stays open, and its exit is
     tried again, until an exit falls on such a bar; ``exit_fill`` is then added.
+
+    While a position is younger than the lookback, its rules see only bars it lived through: these few bars are paired with
+    it. From then on the rules read the same bars for every position, so they are flags of a bar, and the first bar that
+    fires is found by ``first_passage``: no position is paired with the bars of its later life.
     """
-    what = ["exit_time", F.col("close").alias("exit_price"), "exit_reason", *(["exit_fill"] if sold is not None else [])]
-    fired = _fired(bars, positions, s, cfg, sold).filter("sold")
-    exits = fired.groupBy("ticker", "entry_time").agg(F.min_by(F.struct(*what), "exit_time").alias("_x"))
+    rows = _numbered(bars, s, cfg)
+    near = with_halo(rows, s, before=cfg.lookback_bars - 1)
+    frame = Window.partitionBy(*s.group).orderBy(*s.order).rowsBetween(-(cfg.lookback_bars - 1), 0)
+    flagged = core_rows(near.withColumn("_bars", F.collect_list(F.struct("close", "volume")).over(frame)))
+    flagged = flagged.withColumns({"_turned": F.expr(_diverges("_bars", cfg.swing_window)), "_weak": F.col("_ratio") <= cfg.cvd_threshold})
+    flagged = uncut(flagged.drop("_bars"))
+    fills = sold.select("ticker", "ts", *[c for c in sold.columns if c == "exit_fill"]).withColumn("_sells", F.lit(True)) if sold is not None else None
+    flagged = flagged.join(fills, ["ticker", "ts"], "left") if sold is not None else flagged.withColumn("_sells", F.lit(True))
+    flagged = materialise(flagged, "flagged-bars")
+
+    held = asof_join(positions.select("ticker", "entry_time", "entry_price", "stop_price"), rows.select("ticker", "ts", F.col("idx").alias("entry_idx")), ["entry_idx"],
+                     left_ts="entry_time", width_sec=s.width_sec, forward=True)
+    held = materialise(held.filter(F.col("entry_idx").isNotNull()), "held")
+    fill = [F.col("exit_fill")] if sold is not None else []
+
+    # the first bars of a life, by blocks of bar numbers
+    young = cfg.lookback_bars - 1
+    block = lambda c: F.floor(c / F.lit(young))
+    span = held.withColumn("_block", F.explode(F.sequence(block(F.col("entry_idx")), block(F.col("entry_idx") + young - 1))))
+    pairs = (span.join(flagged.withColumn("_block", block(F.col("idx"))), ["ticker", "_block"])
+             .filter((F.col("idx") >= F.col("entry_idx")) & (F.col("idx") < F.col("entry_idx") + young)).withColumnRenamed("ts", "exit_time"))
+    early = _reasons(pairs, cfg).filter(F.col("exit_reason").isNotNull() & F.col("_sells"))
+
+    # the rest of it: what a block of bars can do to a position, from the block's extremes
+    armed = hour_of_day(F.col("ts"), PACIFIC) >= cfg.armed_hour_pt
+    rule = F.col("_turned") | F.col("_weak")
+    usable = flagged.filter("_sells")
+    leaves = usable.select("ticker", "idx", F.col("close").alias("lo"), F.when(rule, F.col("close")).alias("flo"), F.when(rule, F.col("close")).alias("fhi"),
+                           (rule & armed).alias("armed"))
+    moved = lambda c: F.coalesce(F.abs(F.col(c) - F.col("entry_price")) / F.col("entry_price") * 100.0 >= cfg.armed_move_pct, F.lit(False)) & (F.col("entry_price") != 0)
+    fires = (F.col("lo") <= F.col("stop_price")) | F.coalesce("armed", F.lit(False)) | moved("flo") | moved("fhi")
+    late = first_passage(held.withColumn("_from", F.col("entry_idx") + young), leaves,
+                         {"lo": F.min("lo"), "flo": F.min("flo"), "fhi": F.max("fhi"), "armed": F.max("armed")}, fires)
+    late = late.join(usable, ["ticker", "idx"]).withColumn("exit_reason", F.when(F.col("close") <= F.col("stop_price"), "STOP")
+                                                           .when(F.col("_turned"), "SWING_DIVERGENCE").otherwise("BEARISH_VOLUME")).withColumnRenamed("ts", "exit_time")
+
+    what = ["ticker", "entry_time", F.struct("exit_time", F.col("close").alias("exit_price"), "exit_reason", *fill).alias("_x")]
+    exits = early.select(*what).unionByName(late.select(*what)).groupBy("ticker", "entry_time").agg(F.min_by("_x", "_x.exit_time").alias("_x"))
     return positions.join(exits.select("ticker", "entry_time", "_x.*"), ["ticker", "entry_time"], "left")
 
 
-def exit_tries(bars: DataFrame, positions: DataFrame, s: Series = Series(), cfg: Exit = Exit(), sold: DataFrame | None = None) -> DataFrame:
-    """Every exit of a position that was tried, up to the one that sold it: (ticker, entry_time, exit_time, exit_price, exit_reason, sold)."""
-    fired = materialise(_fired(bars, positions, s, cfg, sold).select("ticker", "entry_time", "exit_time", F.col("close").alias("exit_price"), "exit_reason", "sold"), "fired")
-    last = fired.filter("sold").groupBy("ticker", "entry_time").agg(F.min("exit_time").alias("_last"))
-    return fired.join(last, ["ticker", "entry_time"], "left").filter(F.col("_last").isNull() | (F.col("exit_time") <= F.col("_last"))).drop("_last")
+FAN = 5  # 32 bars, or blocks of bars, to a block
 
 
-def _fired(bars: DataFrame, positions: DataFrame, s: Series, cfg: Exit, sold: DataFrame | None) -> DataFrame:
-    """Bars of a position's life on which an exit rule holds, up to one on which it must have been sold.
+def first_passage(seekers: DataFrame, leaves: DataFrame, extremes: dict[str, Column], hits: Column, *, key: str = "ticker",
+                  mark: tuple[str, ...] = ("entry_time",)) -> DataFrame:
+    """The first leaf of its key, from number ``_from`` on, that ``hits`` each seeker: its columns and ``idx``; none for those never hit.
 
-    A position is followed bar by bar only up to a time by which it must have closed: the first bar, enough
-    bars after its entry, on which the volume rule holds while the hour arms it and an order fills. That bar does not depend on
-    the position, so it is found by an as-of join on the bar number; the pairs formed after that are the
-    bars a position really lived through.
+    Leaves (key, idx, ...) are summed up by ``extremes`` in blocks of 32, those in blocks of 32 blocks, and so on; ``hits`` must hold for a
+    block if it holds for a leaf in it. A seeker meets, level by level, only what comes after it in its own block; in the
+    first block that can hit it, it goes down again. So it meets a logarithmic number of blocks, whatever lies between.
     """
+    top = leaves.agg(F.max("idx")).first()[0]
+    if top is None:
+        return seekers.withColumn("idx", F.lit(None).cast("bigint")).limit(0)
+    levels = [leaves.withColumnRenamed("idx", "node").withColumn("level", F.lit(0))]
+    while top >> FAN * (len(levels) - 1):
+        below = levels[-1].withColumn("node", F.shiftright("node", FAN))
+        levels.append(below.groupBy(key, "node").agg(*[e.alias(c) for c, e in extremes.items()]).withColumn("level", F.lit(len(levels))))
+    blocks = levels[0]
+    for more in levels[1:]:
+        blocks = blocks.unionByName(more)
+    blocks = materialise(blocks.withColumn("_up", F.shiftright("node", FAN)), "blocks")
+    each = seekers.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))))
+    own = F.expr(f"shiftright(_from, cast({FAN} * level as int))")
+    each = each.withColumn("_own", own).withColumn("_up", F.shiftright("_own", FAN))
+    after = (F.col("node") > F.col("_own")) | ((F.col("level") == 0) & (F.col("node") == F.col("_own")))
+
+    def first(pairs: DataFrame) -> DataFrame:
+        """Of the blocks that can hit a seeker, the first: lower levels come before higher ones."""
+        kept = pairs.filter(hits).select(key, *mark, F.struct("level", "node").alias("_at"))
+        return kept.groupBy(key, *mark).agg(F.min("_at").alias("_at")).select(key, *mark, "_at.level", "_at.node")
+
+    found = materialise(first(each.join(blocks, [key, "level", "_up"]).filter(after)), "passages")
+    for level in range(len(levels) - 1, 0, -1):
+        above = found.filter(F.col("level") == level).select(key, *mark, F.col("node").alias("_up"))
+        down = first(above.join(seekers, [key, *mark]).join(blocks.filter(F.col("level") == level - 1), [key, "_up"]))
+        found = materialise(found.filter(F.col("level") < level).unionByName(down), "passages")
+    return seekers.join(found.select(key, *mark, F.col("node").alias("idx")), [key, *mark])
+
+
+def _numbered(bars: DataFrame, s: Series, cfg: Exit) -> DataFrame:
+    """Bars with their number in the key and the net volume ratio of the last few changes."""
     change = F.col("close") - F.col("prev_close")
     rows = running(bars.select("ticker", "ts", "close", "volume"), s, [
         Running("idx", "count", F.lit(1), inclusive=False),
@@ -98,8 +164,38 @@ def _fired(bars: DataFrame, positions: DataFrame, s: Series, cfg: Exit, sold: Da
     rows = core_rows(near.withColumns({"_u": up, "_d": down}))
     total = F.col("_u") + F.col("_d")
     ratio = F.when(total > 0, (F.col("_u") - F.col("_d")) / total).otherwise(F.lit(0.0))
-    # bar numbers and ratios are read three times below: store these few columns once
-    rows = materialise(rows.select("ticker", "ts", "close", "volume", "idx", ratio.alias("_ratio")), "bar-numbers")
+    # bar numbers and ratios are read several times: store these few columns once
+    return materialise(rows.select("ticker", "ts", "close", "volume", "idx", ratio.alias("_ratio")), "bar-numbers")
+
+
+def _reasons(pairs: DataFrame, cfg: Exit) -> DataFrame:
+    """Adds the exit reason of each pair of a position and a bar it lived through, from the bars since its entry."""
+    lived = Window.partitionBy("ticker", "entry_time").orderBy("exit_time").rowsBetween(-(cfg.lookback_bars - 1), 0)
+    pairs = pairs.withColumn("_bars", F.collect_list(F.struct("close", "volume")).over(lived))
+    armed = secondary_armed(F.col("exit_time"), F.col("close"), F.col("entry_price"), cfg) & (F.size("_bars") >= 2)
+    weak = F.expr(_net_ratio("_bars", cfg.cvd_bars)) <= cfg.cvd_threshold
+    reason = (F.when(F.col("close") <= F.col("stop_price"), "STOP")
+              .when(armed & F.expr(_diverges("_bars", cfg.swing_window)), "SWING_DIVERGENCE")
+              .when(armed & weak, "BEARISH_VOLUME"))
+    return pairs.withColumn("exit_reason", reason)
+
+
+def exit_tries(bars: DataFrame, positions: DataFrame, s: Series = Series(), cfg: Exit = Exit(), sold: DataFrame | None = None) -> DataFrame:
+    """Every exit of a position that was tried, up to the one that sold it: (ticker, entry_time, exit_time, exit_price, exit_reason, sold)."""
+    fired = materialise(_fired(bars, positions, s, cfg, sold).select("ticker", "entry_time", "exit_time", F.col("close").alias("exit_price"), "exit_reason", "sold"), "fired")
+    last = fired.filter("sold").groupBy("ticker", "entry_time").agg(F.min("exit_time").alias("_last"))
+    return fired.join(last, ["ticker", "entry_time"], "left").filter(F.col("_last").isNull() | (F.col("exit_time") <= F.col("_last"))).drop("_last")
+
+
+def _fired(bars: DataFrame, positions: DataFrame, s: Series, cfg: Exit, sold: DataFrame | None) -> DataFrame:
+    """Bars of a position's life on which an exit rule holds, up to one on which it must have been sold.
+
+    A position is followed bar by bar only up to a time by which it must have closed: the first bar, enough
+    bars after its entry, on which the volume rule holds while the hour arms it and an order fills. That bar does not depend on
+    the position, so it is found by an as-of join on the bar number; the pairs formed after that are the
+    bars a position really lived through.
+    """
+    rows = _numbered(bars, s, cfg)
     certain = rows.filter((F.col("_ratio") <= cfg.cvd_threshold) & (F.col("idx") >= cfg.cvd_bars)
                           & (hour_of_day(F.col("ts"), PACIFIC) >= cfg.armed_hour_pt))
 
@@ -120,14 +216,7 @@ def _fired(bars: DataFrame, positions: DataFrame, s: Series, cfg: Exit, sold: Da
     spans = held.select("ticker", "entry_time", "entry_price", "stop_price", "_until")
     pairs = range_join(rows.select("ticker", "ts", "close", "volume"), spans, F.col("entry_time"), F.col("_until"),
                        width_sec=s.width_sec).withColumnRenamed("point_ts", "exit_time")
-    lived = Window.partitionBy("ticker", "entry_time").orderBy("exit_time").rowsBetween(-(cfg.lookback_bars - 1), 0)
-    pairs = pairs.withColumn("_bars", F.collect_list(F.struct("close", "volume")).over(lived))
-    armed = secondary_armed(F.col("exit_time"), F.col("close"), F.col("entry_price"), cfg) & (F.size("_bars") >= 2)
-    weak = F.expr(_net_ratio("_bars", cfg.cvd_bars)) <= cfg.cvd_threshold
-    reason = (F.when(F.col("close") <= F.col("stop_price"), "STOP")
-              .when(armed & F.expr(_diverges("_bars", cfg.swing_window)), "SWING_DIVERGENCE")
-              .when(armed & weak, "BEARISH_VOLUME"))
-    fired = pairs.withColumn("exit_reason", reason).filter(F.col("exit_reason").isNotNull())
+    fired = _reasons(pairs, cfg).filter(F.col("exit_reason").isNotNull())
     if sold is None:
         return fired.withColumn("sold", F.lit(True))
     fills = sold.select("ticker", F.col("ts").alias("exit_time"), "exit_fill", F.lit(True).alias("sold"))

@@ -166,20 +166,27 @@ def single_position(signals: DataFrame, *, run: str = "run", seq: str = "seq", s
 
 
 def _chained(rows: DataFrame, run: str, seq: str, width_sec: int) -> DataFrame:
-    """Accepted (run, seq) of all islands."""
+    """Accepted (run, seq) of all islands. A signal alone on its island is accepted as it stands; only the others are followed."""
+    sizes = rows.groupBy(run, "_island").agg(F.count(F.lit(1)).alias("_rows"))
+    marked = materialise(rows.join(sizes, [run, "_island"]), "sized-islands")
+    alone, rows = marked.filter("_rows = 1").select(run, seq), marked.filter("_rows > 1").drop("_rows")
     spans = rows.filter(F.col("_end") > F.col("_start"))
     nodes = spans.withColumn("_next", F.col(seq))
     jumps = materialise(asof_join(
         spans, nodes.select(run, "_island", F.col("_start").alias("_at"), F.col(seq).alias("_tie"), "_next"), ["_next"],
         keys=(run, "_island"), left_ts="_end", right_ts="_at", tie=("_tie",), width_sec=width_sec, forward=True)
         .select(run, "_island", seq, "_start", "_next"), "jumps")
-    reached = jumps.groupBy(run, "_island").agg(F.min_by(seq, F.struct("_start", seq)).alias(seq))
-    hops = jumps.filter(F.col("_next").isNotNull()).select(run, seq, F.col("_next"))
-    while not hops.isEmpty():
-        ahead = reached.join(hops, [run, seq]).select(run, "_island", F.col("_next").alias(seq))
-        reached = materialise(reached.unionByName(ahead).distinct(), "reached")
-        second = hops.select(run, F.col(seq).alias("_next"), F.col("_next").alias("_far"))
-        hops = materialise(hops.join(second, [run, "_next"]).select(run, seq, F.col("_far").alias("_next")), "hops")
+    reached = materialise(jumps.groupBy(run, "_island").agg(F.min_by(seq, F.struct("_start", seq)).alias(seq)), "heads")
+    hops = jumps.filter(F.col("_next").isNotNull()).select(run, "_island", seq, "_next")
+    while True:
+        # a chain never meets itself, so what is reached by longer hops is new; an island is left once nothing is
+        ahead = materialise(reached.join(hops, [run, "_island", seq]).select(run, "_island", F.col("_next").alias(seq)), "ahead")
+        if ahead.isEmpty():
+            break
+        reached = reached.unionByName(ahead)
+        growing = hops.join(ahead.select(run, "_island").distinct(), [run, "_island"], "left_semi")
+        second = growing.select(run, "_island", F.col(seq).alias("_next"), F.col("_next").alias("_far"))
+        hops = materialise(growing.join(second, [run, "_island", "_next"]).select(run, "_island", seq, F.col("_far").alias("_next")), "hops")
     won = materialise(spans.join(reached.select(run, seq), [run, seq], "left_semi"), "accepted")
     # a position that ends as it starts never blocks; it is refused inside an accepted one that comes before it
     instant = rows.filter(F.col("_end") <= F.col("_start"))
@@ -189,7 +196,7 @@ def _chained(rows: DataFrame, run: str, seq: str, width_sec: int) -> DataFrame:
     same = won.select(run, "_start", F.col(seq).alias("_first"))
     free = (inside.filter(~F.col("is_open")).join(same, [run, "_start"], "left")
             .filter(F.col("_first").isNull() | (F.col("_first") > F.col(seq))))
-    return won.select(run, seq).unionByName(free.select(run, seq))
+    return won.select(run, seq).unionByName(free.select(run, seq)).unionByName(alone)
 
 
 def report(trips: DataFrame) -> DataFrame:
