@@ -236,8 +236,8 @@ def nearest_vectors(items: DataFrame, queries: Column, k: int = 20, key: str = "
     all their rows are candidates, so copies neither fill nor break the graph.
 
     Rows whose vector is null, zero or holds null or non-finite components take no part, nor do those without
-    an id or with another number of components than most. With fewer than ``k`` candidates near enough to
-    be met, those are returned. An id that comes twice with different vectors is a candidate twice.
+    an id or with another number of components than most. A query whose walk meets fewer than ``k`` candidates is compared with
+    all; with fewer than ``k`` in the table, all are returned. An id that comes twice with different vectors is a candidate twice.
     Other columns are ignored; an empty table gives no rows.
     """
     rows = items.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double") + 0.0).alias("vector"),
@@ -259,13 +259,45 @@ def nearest_vectors(items: DataFrame, queries: Column, k: int = 20, key: str = "
                         .join(own, "vector").select("query", "node", "vector"), "queries")
     # the query's code has nothing in the added component: near is the plain inner product
     plain = asked.select("query", "node", "vector").mapInPandas(_query_codes, "query bigint, node bigint, code binary, factor float")
-    met = search(hoods, plain, graph).distinct()
-    scored = (met.join(asked.select("query", F.col("vector").alias("_q")), "query").join(nodes.select("node", "vector", "members"), "node")
-              .select("query", F.explode("members").alias("id"),
-                      F.aggregate(F.zip_with("_q", "vector", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
-              .filter("id <> query"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).cast("int")
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
+    def ranked(met: DataFrame) -> DataFrame:
+        scored = (met.join(asked.select("query", F.col("vector").alias("_q")), "query").join(nodes.select("node", "vector", "members"), "node")
+                  .select("query", F.explode("members").alias("id"),
+                          F.aggregate(F.zip_with("_q", "vector", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
+                  .filter("id <> query"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).cast("int")
+        return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
+
+    found = materialise(ranked(search(hoods, plain, graph).distinct()), "ranked")
+    enough = min(k, rows.select("id", "vector").distinct().count() - 1)
+    has = found.groupBy("query").agg(F.count("*").alias("n"))
+    short = materialise(asked.join(has, "query", "left").filter(F.coalesce("n", F.lit(0)) < enough).select("query", "vector"), "short")
+    if short.isEmpty():
+        return found
+    return found.join(short, "query", "left_anti").unionByName(ranked(_compared_with_all(short, nodes, k)))
+
+
+def _compared_with_all(queries: DataFrame, nodes: DataFrame, k: int, block: int = 500) -> DataFrame:
+    """(query, node): for queries whose walk met too few, the best of all nodes, in blocks of about ``block`` queries."""
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for at in range(blocks):
+        mine = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == at).collect()  # a block
+        names, x = np.array([r["query"] for r in mine], np.int64), np.array([r["vector"] for r in mine], np.float64)
+
+        def best(batches: Iterator[pd.DataFrame], names=names, x=x) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty or not len(names):
+                    continue
+                near = x @ np.stack(batch["vector"].to_numpy()).astype(np.float64).T
+                top = np.argsort(-near, axis=1, kind="stable")[:, : k + 8]  # more than k, as sums may differ in their last digits
+                yield pd.DataFrame({"query": np.repeat(names, top.shape[1]), "node": batch["node"].to_numpy()[top.ravel()],
+                                    "near": np.take_along_axis(near, top, 1).ravel()})
+
+        pairs = nodes.select("node", "vector").mapInPandas(best, "query bigint, node bigint, near double")
+        order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "node"))
+        pairs = pairs.withColumn("_r", order).filter(F.col("_r") <= k + 8).select("query", "node")
+        out = pairs if out is None else out.unionByName(pairs)
+    return materialise(out, "compared")
 
 
 def _query_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -50,3 +50,11 @@ def test_small_and_odd_tables(spark):
     got = found(spark, rows)
     assert got == {0: [(1, 1.0), (20, 0.5), (8, -1.0)], 20: [(0, 0.5), (1, 0.5), (8, -0.5)]}
     assert found(spark, []) == {} and found(spark, rows[3:5]) == {} and found(spark, [(0, [1.0])]) == {}
+
+
+def test_queries_that_meet_too_few_are_compared_with_all(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 12)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = found(spark, rows, degree=2, tables=1, leaf=3, rounds=1, beam=3, width=1, steps=1), brute(rows, lambda i: i % 20 == 0, 20)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
