@@ -145,7 +145,11 @@ def planted(articles: DataFrame, hosts: int) -> DataFrame:
     Each of at most ``hosts`` texts, chosen by a hash, lends the words around and the words inside.
     """
     word = lambda k: F.regexp_replace(F.element_at("_words", (F.pmod(F.xxhash64("content", F.lit(k)), F.size("_words")) + 1).cast("int")), "[^A-Za-z]", "")
-    own = (articles.filter("content RLIKE '[A-Za-z]'").select("content").orderBy(F.xxhash64("content"), "content").limit(hosts)
+    lettered, place = articles.filter("content RLIKE '[A-Za-z]'").select("content"), F.xxhash64("content")
+    # few enough by their hashes before any of them travels
+    share = min(1.0, 4 * hosts / max(1, lettered.count()))
+    few = lettered.filter(F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates()
+    own = (few.orderBy(place, "content").limit(hosts)
            .withColumn("_words", F.filter(F.split("content", r"\s+"), lambda w: w.rlike("[A-Za-z]"))))
     own = own.withColumns({"word": word(1), "word2": word(2), "word3": word(3),
                            "_at": (F.pmod(F.xxhash64("content", F.lit(4)), F.length("content")) + 1).cast("int")})
