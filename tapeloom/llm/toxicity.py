@@ -46,7 +46,12 @@ class Terms:
 
     def __init__(self, stem: int, vocabulary: np.ndarray | None = None, most: int = 60_000):
         self.stem, self.vocabulary, self.most = stem, vocabulary, most
-        self.memo: dict[str, tuple[int, int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        kind = np.uint64 if self.vocabulary is None else np.int64
+        self.memo: dict[str, int] = {}  # word to its place in the next three
+        self.whole, self.stems, self.longer = np.zeros(0, kind), np.zeros(0, kind), np.zeros(0, bool)
 
     def _numbers(self, hashes: list[int]) -> np.ndarray:
         found = np.array(hashes, np.uint64)
@@ -61,21 +66,20 @@ class Terms:
         """The distinct terms of each text, rising, and their counts."""
         counted = [Counter(_LETTERS.findall((t or "").lower())) for t in texts]
         if len(self.memo) > self.most:
-            self.memo.clear()
+            self._forget()
         new = list(set().union(*counted) - self.memo.keys())
         whole = self._numbers([_hashed(w) for w in new])
-        longer = [len(w) > self.stem for w in new]
+        longer = np.array([len(w) > self.stem for w in new], bool)
         stems = np.zeros_like(whole)
-        stems[np.array(longer, bool)] = self._numbers([_hashed(f"{w[:self.stem]}~") for w, more in zip(new, longer, strict=True) if more])
-        self.memo.update(zip(new, zip(whole.tolist(), stems.tolist(), longer, strict=True), strict=True))
+        stems[longer] = self._numbers([_hashed(f"{w[:self.stem]}~") for w in new if len(w) > self.stem])
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        self.whole, self.stems, self.longer = (np.append(*x) for x in ((self.whole, whole), (self.stems, stems), (self.longer, longer)))
         out = []
         for found in counted:
-            rows = [self.memo[w] for w in found]
+            slot = np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found))
             n = np.fromiter(found.values(), np.int64, len(found))
-            has = np.array([r[2] for r in rows], bool)
-            kind = np.uint64 if self.vocabulary is None else np.int64
-            at = np.concatenate([np.array([r[0] for r in rows], kind), np.array([r[1] for r in rows if r[2]], kind)])
-            n = np.concatenate([n, n[has]])
+            has = self.longer[slot]
+            at, n = np.concatenate([self.whole[slot], self.stems[slot[has]]]), np.concatenate([n, n[has]])
             if self.vocabulary is not None:
                 at, n = at[at >= 0], n[at >= 0]
             at, which = np.unique(at, return_inverse=True)
@@ -171,12 +175,12 @@ class BlockMaxIndex:
     def _listed(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What the terms with posting lists add to the cosine of each example."""
         a, b = self.begin[at], self.begin[at + 1]
-        sizes = b - a
-        if not sizes.sum():
+        some = np.flatnonzero(b > a)
+        if not len(some):
             return np.zeros(len(self.length))
-        where = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        part = np.bincount(self.example[where], weights=self.tf[self.count[where]] * np.repeat(w * self.idf[at], sizes), minlength=len(self.length))
-        return part / self.length
+        runs = [slice(x, y) for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)]
+        weight = self.tf[np.concatenate([self.count[r] for r in runs])] * np.repeat((w * self.idf[at])[some], (b - a)[some])
+        return np.bincount(np.concatenate([self.example[r] for r in runs]), weights=weight, minlength=len(self.length)) / self.length
 
     def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector (terms, weights) the k examples of the largest cosine above 0, exactly, and all that tie with the last of
@@ -196,28 +200,26 @@ class BlockMaxIndex:
             dense[i, column[often]] = w[often]
             part[i] = self._listed(at[~often], w[~often])
         bounds = np.maximum.reduceat(part, self.starts, axis=1) + dense @ self.most.T
-        scores = [[] for _ in range(q)]  # (places, cosines)
         floor = np.full(q, 1e-12)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # vector, place, cosine: those that reach the floor
 
         def open_blocks(wanted: np.ndarray) -> None:
+            met = [[x] for x in best]
             for b in np.flatnonzero(wanted.any(axis=0)).tolist():
                 who = np.flatnonzero(wanted[:, b])
                 rows = slice(self.starts[b], min(n, self.starts[b] + self.block))
                 cos = part[who, rows] + dense[who] @ self.matrix[rows].T
-                hit, at = np.nonzero(cos >= floor[who][:, None] - 1e-9)
-                for i in np.unique(hit).tolist():
-                    own = at[hit == i]
-                    scores[who[i]].append((own + rows.start, cos[i, own]))
-
-        def raise_floors() -> None:
-            for i, found in enumerate(scores):
-                if found:
-                    places, cos = (np.concatenate(x) for x in zip(*found, strict=True))
-                    if len(cos) >= k:
-                        floor[i] = max(floor[i], np.partition(cos, -k)[-k])
-                        kept = cos >= floor[i] - 1e-9
-                        places, cos = places[kept], cos[kept]
-                    scores[i] = [(places, cos)]
+                hit, at = np.nonzero(cos >= floor[who, None] - 1e-9)
+                for x, more in zip(met, (who[hit], at + rows.start, cos[hit, at]), strict=True):
+                    x.append(more)
+            who, places, cos = (np.concatenate(x) for x in met)
+            order = np.lexsort((-cos, who))
+            who, places, cos = who[order], places[order], cos[order]
+            first = np.searchsorted(who, np.arange(q + 1))
+            full = np.flatnonzero(np.diff(first) >= k)
+            floor[full] = np.maximum(floor[full], cos[first[full] + k - 1])
+            kept = (cos >= floor[who] - 1e-9) & (cos > 1e-12)
+            best[:] = who[kept], places[kept], cos[kept]
 
         rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
         seen = np.zeros_like(bounds, bool)
@@ -225,16 +227,14 @@ class BlockMaxIndex:
             wanted = (rank < upto) & ~seen & (bounds >= floor[:, None] - 1e-9)
             open_blocks(wanted)
             seen |= wanted
-            raise_floors()
         out = []
-        for found in scores:
-            places, cos = found[0] if found else (np.zeros(0, np.int64), np.zeros(0))
-            places, cos = places[cos > 1e-12], cos[cos > 1e-12]
+        first = np.searchsorted(best[0], np.arange(q + 1))
+        for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            places, cos = best[1][x:y], best[2][x:y]
             near = np.round(cos, 12)
-            best = np.lexsort((places, -near))
-            last = near[best[min(k, len(best)) - 1]] if len(best) else 0
-            best = best[near[best] >= last]
-            out.append((places[best], cos[best]))
+            order = np.lexsort((places, -near))
+            order = order[near[order] >= near[order[min(k, len(order)) - 1]]] if len(order) else order
+            out.append((places[order], cos[order]))
         return out
 
     def votes(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, np.ndarray]]:
